@@ -43,6 +43,12 @@ class Powers:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, dtype=U64)
 
+    def __getstate__(self) -> dict:
+        return {}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__()
+
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n + 1:
             size = max(n + 1, 1 << 20)
