@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveworks.llm import minhash
+from sieveworks.llm import decontaminate, minhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,14 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.matches(docs, _read(spark, sf_dir, "benchmark"))
+    found = found.select("doc_id", F.col("_found.n_words").alias("n_words"), decontaminate.n_hit(F.col("_found")).alias("n_hit"), F.array_sort(F.col("_found.items").cast("array<string>")).alias("items"))
+    bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), bad.alias("contaminated"))
+
+
 #: Words between blanks after folding A-Z, empty ones dropped.
 _WORDS = """list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
 
@@ -36,5 +45,24 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
-SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL}
+_TOKENS = """regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"""
+
+OP7_SQL = f"""
+WITH docs AS (SELECT doc_id, {_TOKENS.format(text="coalesce(text, '')")} AS w FROM documents),
+items AS (SELECT item_id, {_TOKENS.format(text="coalesce(text, '')")} AS w FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS s
+  FROM (SELECT item_id, w, least(13, len(w)) AS n FROM items WHERE len(w) > 0) t, unnest(range(1, len(w) - n + 2)) u(i)
+), lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i+n-1], ' ') AS s FROM docs, lengths, unnest(range(1, len(w) - n + 2)) u(i) WHERE len(w) >= n
+), hits AS MATERIALIZED (SELECT p.doc_id, p.i, p.n, v.item_id FROM places p JOIN windows v ON p.n = v.n AND p.s = v.s),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM hits, unnest(range(i, i + n)) u(k) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items,
+  sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
+"""
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op7_decontaminate": op7_decontaminate}
+SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op7_decontaminate": OP7_SQL}

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
 
 
+class Shared:
+    """A broadcast object whose class also travels by value; the caller bounds its size."""
+
+    def __init__(self, spark: SparkSession, value: Any) -> None:
+        self._sent, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    @property
+    def value(self) -> Any:
+        if self._value is None:
+            self._value = pickle.loads(self._sent.value)
+        return self._value
+
+
 def folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a local one only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
