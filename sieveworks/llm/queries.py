@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import decontaminate, minhash
+from sieveworks.llm import decontaminate, minhash, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), bad.alias("contaminated"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeats(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 #: Words between blanks after folding A-Z, empty ones dropped.
 _WORDS = """list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
 
@@ -64,5 +70,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coa
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op7_decontaminate": op7_decontaminate}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op7_decontaminate": op7_decontaminate, "op8_suffix_dedup": op8_suffix_dedup}
 SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op7_decontaminate": OP7_SQL}
