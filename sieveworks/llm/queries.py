@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import decontaminate, minhash, suffixes
+from sieveworks.llm import decontaminate, minhash, secrets, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,13 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_spans")
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    counts = [F.expr(f"bigint(size(filter(_spans, s -> s.kind = '{kind}')))").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(written(F.filter("_spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.matches(docs, _read(spark, sf_dir, "benchmark"))
@@ -70,5 +77,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coa
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op7_decontaminate": op7_decontaminate, "op8_suffix_dedup": op8_suffix_dedup}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_secrets": op2_secrets, "op7_decontaminate": op7_decontaminate, "op8_suffix_dedup": op8_suffix_dedup}
 SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op7_decontaminate": OP7_SQL}
