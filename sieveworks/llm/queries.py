@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import decontaminate, minhash, secrets, suffixes
+from sieveworks.llm import decontaminate, minhash, secrets, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(F.filter("_spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")), "score")
+    held_out = F.coalesce(toxicity.fold("doc_id") == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.matches(docs, _read(spark, sf_dir, "benchmark"))
@@ -77,5 +84,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coa
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_secrets": op2_secrets, "op7_decontaminate": op7_decontaminate, "op8_suffix_dedup": op8_suffix_dedup}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_secrets": op2_secrets, "op4_toxicity": op4_toxicity, "op7_decontaminate": op7_decontaminate, "op8_suffix_dedup": op8_suffix_dedup}
 SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op7_decontaminate": OP7_SQL}
