@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import decontaminate, minhash, secrets, suffixes, toxicity
+from sieveworks.llm import decontaminate, minhash, mixing, quality, secrets, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, thin = mixing.plans(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixing.decided(thin, plan).select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.fit(docs, _read(spark, sf_dir, "labels"))
+    found = quality.measured(docs).select("doc_id", "_counts", quality.base_failed().alias("base_failed"), quality.expression(rules).alias("rule"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *(F.col(f"_counts.{n}").alias(n) for n in names), "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.matches(docs, _read(spark, sf_dir, "benchmark"))
@@ -67,6 +80,37 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a AS doc_id, min(
 
 _TOKENS = """regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"""
 
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix-1'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents
+), sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+weighed AS (
+  SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 2 * source_size AS cap FROM sources
+), levels AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
+  FROM weighed WINDOW before AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), marked AS (SELECT *, NOT (cap::DOUBLE / weight < level) AS free FROM levels),
+aims AS (
+  SELECT source, source_size, CASE WHEN free THEN least((SELECT arg_min(level, cap::DOUBLE / weight) FROM marked WHERE free) * weight, cap::DOUBLE) ELSE cap::DOUBLE END AS target FROM marked
+), ratios AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS ratio FROM aims),
+plan AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS rest, target - floor(ratio) * source_size AS words FROM ratios),
+ranked AS (
+  SELECT d.*, p.source_size, p.target, p.whole, p.words,
+    CASE WHEN p.rest > 0 THEN (u / (1 - u)) / (p.rest / (1 - p.rest)) END AS rnk
+  FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+), summed AS (
+  SELECT *, rnk IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rnk, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= words AS chosen FROM ranked
+), gaps AS (SELECT source, first(words) - coalesce(sum(size) FILTER (WHERE chosen), 0) AS gap FROM summed WHERE rnk IS NOT NULL GROUP BY source),
+fills AS (
+  SELECT s.source, arg_max(s.doc_id, {'a': s.size, 'b': -s.rnk, 'c': -s.doc_id}) AS fill
+  FROM summed s JOIN gaps g ON s.source IS NOT DISTINCT FROM g.source WHERE s.rnk IS NOT NULL AND NOT s.chosen AND s.size > 0 AND s.size <= g.gap GROUP BY s.source
+)
+SELECT s.doc_id, s.size, s.source_size, s.target, (s.size * (s.whole + (s.chosen OR coalesce(s.doc_id = f.fill, false))::INT))::BIGINT AS taken
+FROM summed s LEFT JOIN fills f ON s.source IS NOT DISTINCT FROM f.source
+"""
+
 OP7_SQL = f"""
 WITH docs AS (SELECT doc_id, {_TOKENS.format(text="coalesce(text, '')")} AS w FROM documents),
 items AS (SELECT item_id, {_TOKENS.format(text="coalesce(text, '')")} AS w FROM benchmark),
@@ -84,5 +128,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coa
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_secrets": op2_secrets, "op4_toxicity": op4_toxicity, "op7_decontaminate": op7_decontaminate, "op8_suffix_dedup": op8_suffix_dedup}
-SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op7_decontaminate": OP7_SQL}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_secrets": op2_secrets, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_quality_rules": op6_quality_rules, "op7_decontaminate": op7_decontaminate, "op8_suffix_dedup": op8_suffix_dedup}
+SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op7_decontaminate": OP7_SQL}
