@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import decontaminate, minhash, mixing, quality, secrets, suffixes, toxicity
+from sieveworks.llm import decontaminate, minhash, mixing, quality, scratch, secrets, sharding, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(F.filter("_spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.sharded(_read(spark, sf_dir, "documents"), f"{scratch.folder(spark)}/shards-{uuid.uuid4().hex}")
+    return rows.select("doc_id", "shard", "shard_rows", "shard_bytes", "version")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")), "score")
@@ -128,5 +135,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coa
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_secrets": op2_secrets, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_quality_rules": op6_quality_rules, "op7_decontaminate": op7_decontaminate, "op8_suffix_dedup": op8_suffix_dedup}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_secrets": op2_secrets, "op3_sharding": op3_sharding, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_quality_rules": op6_quality_rules, "op7_decontaminate": op7_decontaminate, "op8_suffix_dedup": op8_suffix_dedup}
 SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op7_decontaminate": OP7_SQL}
