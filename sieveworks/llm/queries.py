@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import decontaminate, minhash, mixing, quality, scratch, secrets, sharding, suffixes, toxicity
+from sieveworks.llm import decontaminate, fuzzylines, licenses, minhash, mixing, quality, scratch, secrets, sharding, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,17 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fuzzylines.repeated_lines(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_spans(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_licenses")
+    written = F.transform("_licenses", lambda s: F.concat_ws(":", s["license"], s["start"], s["stop"], F.round(100 * s["coverage"]).cast("int")))
+    return found.select("doc_id", F.size("_licenses").cast("long").alias("n_licenses"), F.array_join(written, ",").alias("licenses"))
+
+
 #: Words between blanks after folding A-Z, empty ones dropped.
 _WORDS = """list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
 
@@ -135,5 +146,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coa
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_secrets": op2_secrets, "op3_sharding": op3_sharding, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_quality_rules": op6_quality_rules, "op7_decontaminate": op7_decontaminate, "op8_suffix_dedup": op8_suffix_dedup}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_secrets": op2_secrets, "op3_sharding": op3_sharding, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_quality_rules": op6_quality_rules, "op7_decontaminate": op7_decontaminate, "op8_suffix_dedup": op8_suffix_dedup, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_licenses": op10_licenses}
 SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op7_decontaminate": OP7_SQL}
