@@ -7,6 +7,9 @@ MATCHES coordinates share one of the first ``shared - MATCHES + 1`` pairs of eit
 so the rest is skipped and only counted for pairs that meet. Pairs above the match
 threshold are confirmed on their full sets.
 
+A pair that agrees often enough is next held against a finer sketch, one bit from each
+of 512 further coordinates, so that few pairs below the similarity reach confirmation.
+
 Copies of one text in great numbers stay linear: per posting list, everybody is first
 compared with one leader, drawn anew for each list; then only pairs from different
 components meet, in blocks of bounded size.
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.llm import graph, scratch
@@ -29,6 +32,9 @@ SIMILARITY = 0.75
 COORDINATES = 32
 #: Of 32 coordinates, a pair at similarity 0.75 agrees in 24 on average and in 15 or fewer once in 2,000.
 MATCHES = 16
+#: One-bit coordinates of the sketch; two sets at similarity 0.75 differ in 64 of them on average, in more than 92 once in 10,000.
+BITS = 512
+DIFFER = 92
 BLOCK = 1024
 #: Identifiers sent to every executor at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -36,6 +42,8 @@ BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20_240_601)
 _XOR = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
 _ODD = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
+_BIT_XOR = _rng.integers(0, 2**63, BITS, dtype=np.uint64)
+_BIT_ODD = _rng.integers(0, 2**63, BITS, dtype=np.uint64) | np.uint64(1)
 _SETS = _rng.integers(0, 2**63, 2, dtype=np.uint64) | np.uint64(1)
 
 
@@ -91,6 +99,30 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return thin.mapInArrow(_signed(k), "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<int>")
 
 
+def _sketched(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tk.buffers(batch.column(1))
+            for low, high, part, at in tk.chunks(data, offsets, 1 << 18):
+                # a repeated id may bring a text without words
+                sets = [s if len(s) else np.zeros(1, np.uint64) for s in distinct_sets(part, at, k)]
+                every = np.concatenate(sets)
+                begin = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+                bits = np.empty((len(sets), BITS), dtype=bool)
+                for c in range(BITS):
+                    bits[:, c] = (np.minimum.reduceat(((every ^ _BIT_XOR[c]) * _BIT_ODD[c]) >> np.uint64(32), begin) & np.uint64(1)).astype(bool)
+                words = np.packbits(bits, axis=1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), lists], ["rep", "text", "sketch"])
+
+    return run
+
+
+def _close() -> Column:
+    """The sketches of a and b differ in few enough bits."""
+    return sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(BITS // 64)), F.lit(0)) <= DIFFER
+
+
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,25 +171,28 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMIL
     lists = tokens.join(common, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("t"))
     posted = scratch.table(lists.where(F.size("t") >= matches).select("rep", F.col("t.token").alias("tokens"), F.expr(f"slice(t.token, 1, size(t) - {matches - 1})").alias("prefix")))
     texts = only(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")), posted.select("rep"), "rep")
-    texts = scratch.table(texts.groupBy("rep").agg(F.first("text").alias("text")))
+    texts = scratch.table(texts.groupBy("rep").agg(F.first("text").alias("text")).mapInArrow(_sketched(k), "rep long, text string, sketch array<long>"))
+    posted = scratch.table(posted.join(texts.select("rep", "sketch"), "rep"))
 
     posts = posted.select("rep", F.explode("prefix").alias("token"))
     leads = posts.groupBy("token").agg(F.min_by("rep", F.xxhash64("rep", "token")).alias("lead"))
     near = posts.join(leads, "token").where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    sides = [posted.select(F.col("rep").alias(x), F.col("tokens").alias(f"t_{x}")) for x in "ab"]
-    agree = F.size(F.array_intersect("t_a", "t_b")) >= matches
+    sides = [posted.select(F.col("rep").alias(x), F.col("tokens").alias(f"t_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"]
+    agree = _close() & (F.size(F.array_intersect("t_a", "t_b")) >= matches)
     links = scratch.table(confirm(near.join(sides[0], "a").join(sides[1], "b").where(agree).select("a", "b"), texts, k, similarity))
 
     found = scratch.table(graph.components(links))
     placed = posted.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    listed = placed.select("rep", "component", "tokens", F.explode("prefix").alias("token"))
+    listed = placed.select("rep", "component", "tokens", "prefix", "sketch", F.explode("prefix").alias("token"))
     mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
     blocks = listed.join(mixed.select("token", F.ceil(F.col("n") / BLOCK).alias("nb")), "token").withColumn("own", F.pmod(F.xxhash64("rep"), "nb"))
-    blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)"))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).select("token", "p", "q", "own", "rep", "component", "tokens")
-    x = blocks.select("token", "p", "q", F.col("own").alias("own_a"), F.col("rep").alias("a"), F.col("component").alias("c_a"), F.col("tokens").alias("t_a"))
-    y = blocks.select("token", "p", "q", F.col("own").alias("own_b"), F.col("rep").alias("b"), F.col("component").alias("c_b"), F.col("tokens").alias("t_b"))
-    met = x.join(y, ["token", "p", "q"]).where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & ((F.col("p") == F.col("q")) | (F.col("own_a") != F.col("own_b"))) & agree)
-    rest = scratch.table(confirm(met.select("a", "b").distinct(), texts, k, similarity))
+    blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)"))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+    x, y = (blocks.select("token", "p", "q", *(F.col(c).alias(f"{n}_{side}") for c, n in (("own", "own"), ("rep", "r"), ("component", "c"), ("tokens", "t"), ("prefix", "p"), ("sketch", "s")))) for side in "ab")
+    apart = (F.col("r_a") < F.col("r_b")) & (F.col("c_a") != F.col("c_b")) & ((F.col("p") == F.col("q")) | (F.col("own_a") != F.col("own_b")))
+    # a pair is met at the first token that its prefixes share
+    once = F.array_intersect("p_a", "p_b")[0] == F.col("token")
+    met = x.join(y, ["token", "p", "q"]).where(apart & _close() & once & agree).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
+    rest = scratch.table(confirm(met, texts, k, similarity))
 
     final = graph.components(links.union(rest))
     member = classes.drop("sig").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
