@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveworks.operators.stores import NOISE_ONLY, blank_as, first_per  # noqa: F401
+from sieveworks.operators.stores import blank_as, first_per
 
 # --- joins -----------------------------------------------------------------
 

@@ -47,7 +47,8 @@ def known(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return keys.join(rows.select(on).distinct(), on, "left_semi")
 
 
-NOISE_ONLY = F.expr("size(dubious_flags) = 1 AND dubious_flags[0] = 'noise'")
+def noise_only() -> Column:
+    return F.expr("size(dubious_flags) = 1 AND dubious_flags[0] = 'noise'")
 
 
 def with_flag(cls: DataFrame, flag: str) -> DataFrame:
@@ -56,7 +57,7 @@ def with_flag(cls: DataFrame, flag: str) -> DataFrame:
 
 def dubious(cls: DataFrame, exclude_noise: bool = True) -> DataFrame:
     out = cls.where(F.size("dubious_flags") > 0)
-    return out.where(~NOISE_ONLY) if exclude_noise else out
+    return out.where(~noise_only()) if exclude_noise else out
 
 
 def critical_dubious(cls: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def first_per(rows: DataFrame, keys: list, order: list) -> DataFrame:
 
 
 def priority_queue(cls: DataFrame, limit: int) -> DataFrame:
-    return cls.where(~NOISE_ONLY).orderBy(F.desc("priority_score"), "fact_id").limit(limit)
+    return cls.where(~noise_only()).orderBy(F.desc("priority_score"), "fact_id").limit(limit)
 
 
 def numbered_changes(reports: DataFrame) -> DataFrame:

@@ -254,7 +254,7 @@ def _(v):
 @query("b24_derived_predicates", "SELECT fact_id, len(dubious_flags) = 1 AND dubious_flags[1] = 'noise' AS is_noise, len(dubious_flags) > 0 AND NOT (len(dubious_flags) = 1 AND dubious_flags[1] = 'noise') AS requires_verification, impact_tier = 'critical' AND len(dubious_flags) > 0 AS critical_dubious FROM p_class")
 def _(v):
     some = F.size("dubious_flags") > 0
-    noise = F.coalesce(S.NOISE_ONLY, F.lit(False))
+    noise = F.coalesce(S.noise_only(), F.lit(False))
     return v.p_class.select("fact_id", noise.alias("is_noise"), (some & ~noise).alias("requires_verification"), ((F.col("impact_tier") == "critical") & some).alias("critical_dubious"))
 
 
