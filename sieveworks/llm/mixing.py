@@ -77,10 +77,10 @@ def _prepared(docs: DataFrame, propensity: Column | None) -> DataFrame:
 def plans(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, propensity: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The decision per source, and docs as thin rows with rank; see mixed()."""
     thin = scratch.table(_prepared(docs, propensity).select("_id", "_key", F.col("source").cast("string").alias("source"), "_size", "_propensity"))
-    sizes = thin.groupBy(F.col("_key").alias("key")).agg(F.first("source").alias("source"), F.sum("_size").alias("source_size"), F.count("*").alias("n"), (F.sum(F.col("_propensity") * F.col("_size")) / F.sum("_size")).alias("mean"))
+    sizes = thin.groupBy(F.col("_key").alias("key")).agg(F.first("source").alias("source"), F.sum("_size").alias("source_size"), F.count("*").alias("n"), F.try_divide(F.sum(F.col("_propensity") * F.col("_size")), F.sum("_size")).alias("mean"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = targets(sizes.select("key", "source", "source_size"), weights, share, most).join(sizes.select("key", "n", "mean"), "key")
-    plan = plan.select(F.col("key").alias("_key"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.floor(ratio).alias("_whole"), (ratio - F.floor(ratio)).alias("_rest"), (F.col("target") - F.floor(ratio) * F.col("source_size")).alias("_words"), F.coalesce("mean", F.lit(1.0)).alias("_mean"), F.ceil(F.col("n") / SLICE).alias("_slices"))
+    plan = plan.select(F.col("key").alias("_key"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.floor(ratio).alias("_whole"), (ratio - F.floor(ratio)).alias("_rest"), (F.col("target") - F.floor(ratio) * F.col("source_size")).alias("_words"), F.coalesce(F.nullif("mean", F.lit(0.0)), F.lit(1.0)).alias("_mean"), F.ceil(F.col("n") / SLICE).alias("_slices"))
     plan = scratch.table(plan)
     rows = _ranked(thin.drop("source"), plan, seed)
     slices = rows.where("_rank is not null").groupBy("_key", "_slice").agg(F.sum("_size").alias("s"), F.first("_words").alias("w"))

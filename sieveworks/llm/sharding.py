@@ -133,14 +133,17 @@ def sharded(docs: DataFrame, root: str, target: int = TARGET_BYTES) -> DataFrame
 
     Null texts count no bytes and null ids sort first; repeated rows are stored as they
     come; an empty table gives an empty result. docs may have any other columns, except
-    names that begin with _shard or _run.
+    names that begin with _shard or _run; columns named as those added give way to them
+    in the result, not in the store.
     """
     store = Store(docs.sparkSession, root)
     store.append(docs)
     version = store.compact(target)
-    shards = store.manifest(version).select(F.col("path").alias("_shard_path"), F.concat_ws("-", F.lit("ids"), "first_id", "last_id").alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"))
+    found = {"shard": F.concat_ws("-", F.lit("ids"), "first_id", "last_id"), "shard_rows": F.col("n_rows"), "shard_bytes": F.col("n_bytes")}
+    shards = store.manifest(version).select(F.col("path").alias("_shard_path"), *(c.alias(f"_{n}") for n, c in found.items()))
+    own = [F.col(c) for c in docs.columns if c not in (*found, "version")]
     if not shards.count():
-        return docs.withColumns({"shard": F.lit(None).cast("string"), "shard_rows": F.lit(0).cast("long"), "shard_bytes": F.lit(0).cast("long"), "version": F.lit(version)})
+        return docs.select(*own, F.lit(None).cast("string").alias("shard"), F.lit(0).cast("long").alias("shard_rows"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(version).alias("version"))
     rows = store.read(store.manifest(version)).drop(_BYTES)
     out = rows.join(F.broadcast(shards) if shards.count() <= BROADCAST_SHARDS else shards, "_shard_path")
-    return out.select(*docs.columns, "shard", "shard_rows", "shard_bytes", F.lit(version).alias("version"))
+    return out.select(*own, *(F.col(f"_{n}").alias(n) for n in found), F.lit(version).alias("version"))
