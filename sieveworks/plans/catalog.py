@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.operators import stores as S
-from sieveworks.plans import graphs, relational, rules  # noqa: F401
+from sieveworks.plans import extras, graphs, relational, rules  # noqa: F401
 from sieveworks.plans.proxies import REGISTRY, Views
 
 
