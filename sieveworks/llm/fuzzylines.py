@@ -102,17 +102,19 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
-def _verified(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                longest = max(len(a), len(b))
-                keep.append(abs(len(a) - len(b)) <= (1 - similarity) * longest and edit_distance(a, b) <= (1 - similarity) * longest)
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+class Alike:
+    """Whether the edit distance of two normal forms is small enough."""
 
-    return run
+    def __init__(self, similarity: float) -> None:
+        self.share = 1 - similarity
+
+    def __call__(self, a: str, b: str) -> bool:
+        most = self.share * max(len(a), len(b))
+        return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+
+
+def _as_it_is(form: str) -> str:
+    return form
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,7 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for node, number in {(w["node"], w["number"]) for w in wanted}:
                 nodes.append(node)
                 forms.append(normal_form(lines[number]))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(forms, pa.string())], ["node", "form"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(forms, pa.string())], ["node", "text"])
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -145,19 +147,14 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     tokens = [F.shiftleft(F.lit(t).cast("long"), 32) + F.shiftleft(part(i), 13) + part(j) for t, (i, j) in enumerate(itertools.combinations(range(len(_BLOCKS)), 2))]
     posts = wide.select("node", "sim", F.explode(F.array(*tokens)).alias("token"))
     shared = posts.groupBy("token").count().where("count > 1").select("token")
-    facts = scratch.table(posts.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.first("sim").alias("sim")))
-    agree = F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= DIFFER
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.table(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = scratch.table(nodes.join(wanted, "node").groupBy(F.col("place.row").alias("row")).agg(F.collect_list(F.struct("node", F.col("place.number").alias("number"))).alias("wanted")))
-        texts = only(thin, wanted.select("row"), "row").dropDuplicates(["row"]).join(wanted, "row").select("wanted", "text")
-        forms = scratch.table(texts.mapInArrow(_picked, "node long, form string"))
-        both = pairs.join(forms.select(F.col("node").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("node").alias("b"), F.col("form").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long")
-
-    found = graph.components(linking.linked(facts, agree, confirm))
+    facts = scratch.table(posts.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.array(F.first("sim")).alias("sketch")))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        places = scratch.table(nodes.join(wanted, "node").groupBy(F.col("place.row").alias("row")).agg(F.collect_list(F.struct("node", F.col("place.number").alias("number"))).alias("wanted")))
+        texts = only(thin, places.select("row"), "row").dropDuplicates(["row"]).join(places, "row").select("wanted", "text")
+        return scratch.table(texts.mapInArrow(_picked, "node long, text string"))
+
+    found = graph.components(linking.linked(facts, 1, DIFFER, texts_of, _as_it_is, Alike(similarity)))
     grouped = nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).select("node", "group", "place", "n")
     stay = grouped.groupBy("group").agg(F.min("place").alias("stay"), F.sum("n").alias("n")).where("n > 1")
     repeats = grouped.select("node", "group").join(stay.select("group", "stay"), "group").select("node", "stay")

@@ -2,43 +2,136 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.llm import graph, scratch
 
 BLOCK = 1024
+#: Rows that are resolved together, about.
+ROWS = 512
 
 
 def _sided(facts: DataFrame, side: str, node: str) -> DataFrame:
     return facts.select(F.col("node").alias(node), *(F.col(c).alias(f"{c}_{side}") for c in facts.columns if c != "node"))
 
 
-def linked(facts: DataFrame, agree: Column, confirm: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
-    """Confirmed pairs (a, b) that connect what all confirmed pairs would connect.
+def _apart(words: int) -> Column:
+    return sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(words)), F.lit(0))
 
-    facts has node, tokens (an array in an order common to all nodes) and what agree
-    reads, with _a and _b behind the names. Nodes are candidates if they share a token
-    and agree. First all nodes with a token meet one of them, drawn anew for each token;
-    then only nodes of different components meet, in blocks of bounded size, each pair
-    at the first token that both have.
+
+def _confirmed(prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            kept = batch.filter(pa.array([alike(prepare(x), prepare(y)) for x, y in texts], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+
+    return run
+
+
+def _resolved(prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool], differ: int):
+    """Of each block, links that join its components as all links would: the closest pairs first."""
+
+    def block(rows: pa.Table, token: int, split: bool) -> Iterator[tuple[int, int]]:
+        n = rows.num_rows
+        nodes, component, own = (rows.column(c).to_numpy() for c in ("node", "component", "own"))
+        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
+        texts = rows.column("text")
+        # tokens that come before this one: a pair that shares one of them has met there
+        before = [frozenset(t[: t.index(token)]) for t in rows.column("tokens").to_pylist()]
+        parent = {c: c for c in component.tolist()}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        away: list[np.ndarray] = []
+        left: list[np.ndarray] = []
+        right: list[np.ndarray] = []
+        for i in range(n - 1):
+            bits = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]).sum(axis=1, dtype=np.uint16)
+            meet = (bits <= differ) & (component[i + 1 :] != component[i]) & (nodes[i + 1 :] != nodes[i])
+            if split:
+                meet &= own[i + 1 :] != own[i]
+            j = np.flatnonzero(meet)
+            away.append(bits[j])
+            left.append(np.full(len(j), i, np.int32))
+            right.append((j + i + 1).astype(np.int32))
+        order = np.argsort(np.concatenate(away), kind="stable") if away else np.zeros(0, np.int64)
+        a, b = (np.concatenate(x)[order] if away else np.zeros(0, np.int32) for x in (left, right))
+        ready: dict[int, Any] = {}
+        for k in range(len(order)):
+            i, j = int(a[k]), int(b[k])
+            p, q = root(int(component[i])), root(int(component[j]))
+            if p == q:
+                continue
+            if not before[i].isdisjoint(before[j]):
+                continue
+            for m in (i, j):
+                if m not in ready:
+                    ready[m] = prepare(texts[m].as_py())
+            if alike(ready[i], ready[j]):
+                parent[max(p, q)] = min(p, q)
+                yield int(nodes[i]), int(nodes[j])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("token", "ascending"), ("p", "ascending"), ("q", "ascending"), ("node", "ascending")])
+        keys = [table.column(c).to_numpy() for c in ("token", "p", "q")]
+        edges = np.flatnonzero(np.any([np.append(True, k[1:] != k[:-1]) for k in keys], axis=0)).tolist()
+        out: list[tuple[int, int]] = []
+        for low, high in zip(edges, [*edges[1:], table.num_rows], strict=True):
+            out += block(table.slice(low, high - low), int(keys[0][low]), bool(keys[1][low] != keys[2][low]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+def linked(facts: DataFrame, words: int, differ: int, texts_of: Callable[[DataFrame], DataFrame], prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool], agree: Column | None = None) -> DataFrame:
+    """Pairs (a, b) that are alike and connect what all such pairs would connect.
+
+    facts: node, tokens (an array in an order common to all nodes), sketch (an array of
+    words longs) and what agree reads, with _a and _b behind the names. Candidates share
+    a token, differ in at most differ bits and agree; alike() decides on whole texts,
+    which texts_of() gives as (node, text).
+
+    First all nodes with a token meet one of them, drawn anew for each token. Then only
+    nodes of different components meet, in blocks of bounded size, each pair at the
+    first token that both have; of a block come the links that join components, never
+    all pairs.
     """
+    close = _apart(words) <= differ
+    close = close if agree is None else close & agree
     posts = facts.select("node", F.explode("tokens").alias("token"))
     leads = posts.groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token")).alias("lead"))
     near = posts.join(leads, "token").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    near = near.join(_sided(facts, "a", "a"), "a").join(_sided(facts, "b", "b"), "b").where(agree).select("a", "b")
-    links = scratch.table(confirm(near))
+    near = scratch.table(near.join(_sided(facts, "a", "a"), "a").join(_sided(facts, "b", "b"), "b").where(close).select("a", "b"))
+    texts = texts_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    both = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    links = scratch.table(both.select("a", "b", "x", "y").mapInArrow(_confirmed(prepare, alike), "a long, b long"))
 
     found = graph.components(links)
     placed = scratch.table(facts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    listed = placed.select("node", F.explode("tokens").alias("token"), *(c for c in placed.columns if c != "node"))
+    rest = [c for c in placed.columns if c != "node"]
+    listed = placed.select("node", F.explode("tokens").alias("token"), *rest)
     mixed = listed.select("token", "component").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-    blocks = listed.join(mixed.select("token", F.ceil(F.col("n") / block).alias("parts")), "token").withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
+    blocks = listed.join(mixed.select("token", F.ceil(F.col("n") / BLOCK).alias("parts")), "token").withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
     blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
-    x, y = (blocks.select("token", "p", "q", *(F.col(c).alias(f"{c}_{side}") for c in ["node", "own", *(c for c in placed.columns if c != "node")])) for side in "ab")
-    apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & ((F.col("p") == F.col("q")) | (F.col("own_a") != F.col("own_b")))
-    once = F.array_intersect("tokens_a", "tokens_b")[0] == F.col("token")
-    met = x.join(y, ["token", "p", "q"]).where(apart & agree & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    return scratch.table(links.union(confirm(met)))
+    x, y = (blocks.select("token", "p", "q", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "own", *rest))) for side in "ab")
+    once = F.array_intersect("tokens_a", "tokens_b")[0] == F.col("x.token")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("token", "p", "q")]
+    meets = (F.col("component_a") != F.col("component_b")) & ((F.col("x.p") == F.col("x.q")) | (F.col("own_a") != F.col("own_b"))) & close & once
+    open_ = x.alias("x").join(y.alias("y"), [*same, meets], "left_semi")
+    open_ = scratch.table(open_.select("token", "p", "q", *(F.col(f"{c}_a").alias(c) for c in ("node", "own", "component", "tokens", "sketch"))))
+    parts = max(1, open_.count() // ROWS)
+    texts = texts_of(open_.select("node").distinct())
+    dealt = open_.join(texts, "node").withColumn("part", F.pmod(F.xxhash64("token", "p", "q"), F.lit(parts)))
+    more = dealt.groupBy("part").applyInArrow(_resolved(prepare, alike, differ), "a long, b long")
+    return scratch.table(links.union(more))

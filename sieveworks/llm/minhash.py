@@ -10,9 +10,7 @@ threshold are confirmed on their full sets.
 A pair that agrees often enough is next held against a finer sketch, one bit from each
 of 512 further coordinates, so that few pairs below the similarity reach confirmation.
 
-Copies of one text in great numbers stay linear: per posting list, everybody is first
-compared with one leader, drawn anew for each list; then only pairs from different
-components meet, in blocks of bounded size.
+Copies of one text in great numbers stay linear: see linking.
 """
 
 from __future__ import annotations
@@ -21,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveworks.llm import graph, scratch
+from sieveworks.llm import graph, linking, scratch
 from sieveworks.llm import textkit as tk
 
 SHINGLE = 5
@@ -35,7 +33,6 @@ MATCHES = 16
 #: One-bit coordinates of the sketch; two sets at similarity 0.75 differ in 64 of them on average, in more than 92 once in 10,000.
 BITS = 512
 DIFFER = 92
-BLOCK = 1024
 #: Identifiers sent to every executor at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -113,39 +110,25 @@ def _sketched(k: int):
                     bits[:, c] = (np.minimum.reduceat(((every ^ _BIT_XOR[c]) * _BIT_ODD[c]) >> np.uint64(32), begin) & np.uint64(1)).astype(bool)
                 words = np.packbits(bits, axis=1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), lists], ["rep", "text", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), lists], ["node", "text", "sketch"])
 
     return run
 
 
-def _close() -> Column:
-    """The sketches of a and b differ in few enough bits."""
-    return sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(BITS // 64)), F.lit(0)) <= DIFFER
+def _set(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return distinct_sets(data, np.array([0, len(data)]), SHINGLE)[0]
 
 
-def _confirm(k: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for column in (2, 3):
-                data, offsets = tk.buffers(batch.column(column))
-                sides.append([s for _, _, part, at in tk.chunks(data, offsets) for s in distinct_sets(part, at, k)])
-            keep = []
-            for left, right in zip(*sides, strict=True):
-                union = len(np.union1d(left, right))
-                keep.append(union > 0 and 100 * (len(left) + len(right) - union) >= percent * union)
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
-
-    return run
+class Alike:
+    """Whether two full sets are similar enough."""
 
+    def __init__(self, similarity: float) -> None:
+        self.percent = round(100 * similarity)
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; texts holds (rep, text)."""
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_confirm(k, round(100 * similarity)), "a long, b long")
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> bool:
+        union = len(np.union1d(x, y))
+        return union > 0 and 100 * (len(x) + len(y) - union) >= self.percent * union
 
 
 def only(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -154,7 +137,7 @@ def only(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, matches: int = MATCHES) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     component_id is the smallest doc_id reachable over links. Empty or null texts have
@@ -162,7 +145,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMIL
     null doc_id takes the component of its copies (null without any) and is not kept.
     Only doc_id and text are read, so other columns may have any name.
     """
-    base = scratch.table(signatures(docs, k))
+    base = scratch.table(signatures(docs))
     same = ["n_shingles", "fp1", "fp2"]
     classes = scratch.table(base.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).where("rep is not null"))
 
@@ -171,30 +154,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMIL
     lists = tokens.join(common, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("t"))
     posted = scratch.table(lists.where(F.size("t") >= matches).select("rep", F.col("t.token").alias("tokens"), F.expr(f"slice(t.token, 1, size(t) - {matches - 1})").alias("prefix")))
     texts = only(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")), posted.select("rep"), "rep")
-    texts = scratch.table(texts.groupBy("rep").agg(F.first("text").alias("text")).mapInArrow(_sketched(k), "rep long, text string, sketch array<long>"))
-    posted = scratch.table(posted.join(texts.select("rep", "sketch"), "rep"))
-
-    posts = posted.select("rep", F.explode("prefix").alias("token"))
-    leads = posts.groupBy("token").agg(F.min_by("rep", F.xxhash64("rep", "token")).alias("lead"))
-    near = posts.join(leads, "token").where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    sides = [posted.select(F.col("rep").alias(x), F.col("tokens").alias(f"t_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"]
-    agree = _close() & (F.size(F.array_intersect("t_a", "t_b")) >= matches)
-    links = scratch.table(confirm(near.join(sides[0], "a").join(sides[1], "b").where(agree).select("a", "b"), texts, k, similarity))
-
-    found = scratch.table(graph.components(links))
-    placed = posted.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    listed = placed.select("rep", "component", "tokens", "prefix", "sketch", F.explode("prefix").alias("token"))
-    mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-    blocks = listed.join(mixed.select("token", F.ceil(F.col("n") / BLOCK).alias("nb")), "token").withColumn("own", F.pmod(F.xxhash64("rep"), "nb"))
-    blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)"))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
-    x, y = (blocks.select("token", "p", "q", *(F.col(c).alias(f"{n}_{side}") for c, n in (("own", "own"), ("rep", "r"), ("component", "c"), ("tokens", "t"), ("prefix", "p"), ("sketch", "s")))) for side in "ab")
-    apart = (F.col("r_a") < F.col("r_b")) & (F.col("c_a") != F.col("c_b")) & ((F.col("p") == F.col("q")) | (F.col("own_a") != F.col("own_b")))
-    # a pair is met at the first token that its prefixes share
-    once = F.array_intersect("p_a", "p_b")[0] == F.col("token")
-    met = x.join(y, ["token", "p", "q"]).where(apart & _close() & once & agree).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
-    rest = scratch.table(confirm(met, texts, k, similarity))
-
-    final = graph.components(links.union(rest))
+    texts = scratch.table(texts.groupBy("rep").agg(F.first("text").alias("text")).mapInArrow(_sketched(SHINGLE), "node long, text string, sketch array<long>"))
+    facts = scratch.table(posted.select(F.col("rep").alias("node"), F.col("prefix").alias("tokens"), F.col("tokens").alias("all")).join(texts.select("node", "sketch"), "node"))
+    links = linking.linked(facts, BITS // 64, DIFFER, lambda nodes: texts.select("node", "text"), _set, Alike(similarity), F.size(F.array_intersect("all_a", "all_b")) >= matches)
+    final = graph.components(links)
     member = classes.drop("sig").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = base.drop("sig").join(member, same, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
