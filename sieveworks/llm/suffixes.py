@@ -4,10 +4,11 @@ A string of WIDTH bytes is filed under the smallest hash among the grams inside
 equal strings meet wherever they stand. Runs of strings with one such key form a block.
 Three steps, each with whole texts dealt into batches of bounded size:
 
-1. Every text sends its distinct keys; keys seen in two texts or more survive.
+1. Every text sends its distinct keys, cut to 40 bits besides their bucket; those seen in
+   two texts or more survive (with rare others, which do no harm).
 2. Blocks of surviving keys are sent once per batch with the smallest document that
-   holds them. Where a key has several different blocks, their suffixes are sorted by
-   mergesort; two suffixes are compared through prefix hashes and binary search for
+   holds them. Where a key has several different blocks, their suffixes are dealt by
+   their first eight bytes and sorted by mergesort; two suffixes are compared through prefix hashes and binary search for
    their common extension, and neighbours that agree are verified byte by byte.
    Each string learns the smallest document in which it starts.
 3. The answers go back to the batches, which mark the bytes covered by strings that
@@ -159,13 +160,20 @@ def smallest_holders(blocks: list[bytes], holders: np.ndarray, group: np.ndarray
     which = np.repeat(np.arange(len(blocks)), counts)
     edges = np.concatenate([[0], np.cumsum(counts)])
     starts = np.arange(edges[-1]) - edges[which] + base[which]
-    order = sort_suffixes(data, starts, group[which], width)
+    head = np.zeros(len(starts), _U)
+    for i in range(min(8, width)):
+        head = head << _U(8) | data[starts + i].astype(_U)
+    order = np.lexsort((head, group[which]))
+    fresh = np.append(True, (head[order][1:] != head[order][:-1]) | (np.diff(group[which[order]]) != 0))
+    class_ = np.cumsum(fresh)
+    shared = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+    order[shared] = order[shared][sort_suffixes(data, starts[order[shared]], class_[shared], width)]
     same = np.zeros(len(order), bool)
-    for low in range(1, len(order), 1 << 16):
-        a, b = order[low - 1 : low - 1 + (1 << 16)], order[low : low + (1 << 16)]
-        a = a[: len(b)]
-        reach = np.arange(width)
-        same[low : low + len(b)] = (group[which[a]] == group[which[b]]) & (data[starts[a][:, None] + reach] == data[starts[b][:, None] + reach]).all(axis=1)
+    reach = np.arange(width)
+    second = shared[1:][(class_[shared[1:]] == class_[shared[:-1]])]
+    for low in range(0, len(second), 1 << 16):
+        at = second[low : low + (1 << 16)]
+        same[at] = (data[starts[order[at - 1]][:, None] + reach] == data[starts[order[at]][:, None] + reach]).all(axis=1)
     run = np.flatnonzero(~same)
     least = np.minimum.reduceat(holders[which[order]], run)
     out = np.empty(len(order), np.int64)
@@ -173,6 +181,21 @@ def smallest_holders(blocks: list[bytes], holders: np.ndarray, group: np.ndarray
     return [out[edges[i] : edges[i + 1]] for i in range(len(blocks))]
 
 
+def _tags(keys: np.ndarray) -> np.ndarray:
+    """Bits 8 to 47 of each key as five bytes."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, 1:6]
+
+
+def _untagged(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return out.view(_U)[:, 0]
+
+
+def _codes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys % _U(buckets)) << _U(40) | (keys >> _U(8) & _U((1 << 40) - 1))
+
+
 def _send_keys(buckets: int, width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -194,14 +217,14 @@ def _send_keys(buckets: int, width: int, gram: int):
             order = np.lexsort((bucket, own))
             keys, own, bucket = keys[order], own[order], bucket[order]
             cut = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1])))
-            blobs = [k.tobytes() for k in np.split(keys, cut[1:])]
+            blobs = [k.tobytes() for k in np.split(_tags(keys), cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(own[cut], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "batch", "blob"])
 
     return run
 
 
 def _survive(table: pa.Table) -> pa.Table:
-    blobs = [np.frombuffer(b, _U) for b in table.column("blob").to_pylist()]
+    blobs = [_untagged(b) for b in table.column("blob").to_pylist()]
     keys = np.concatenate(blobs)
     batch = np.repeat(table.column("batch").to_numpy(), [len(b) for b in blobs])
     order = np.argsort(keys, kind="stable")
@@ -214,7 +237,10 @@ def _survive(table: pa.Table) -> pa.Table:
     keep = np.append(True, (keys[1:] != keys[:-1]) | (batch[1:] != batch[:-1])) if len(keys) else np.zeros(0, bool)
     keys, batch = keys[keep], batch[keep]
     cut = np.flatnonzero(np.append(True, batch[1:] != batch[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return pa.table({"batch": pa.array(batch[cut], pa.int64()), "blob": pa.array([k.tobytes() for k in np.split(keys, cut[1:])] if len(cut) else [], pa.binary())})
+    tags = keys.view(np.uint8).reshape(-1, 8)[:, :5]
+    blobs = [k.tobytes() for k in np.split(tags, cut[1:])] if len(cut) else []
+    bucket = table.column("bucket")[0].as_py()
+    return pa.table({"batch": pa.array(batch[cut], pa.int64()), "bucket": pa.array([bucket] * len(cut), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
 def _ids(docs: pa.Table) -> np.ndarray:
@@ -223,7 +249,7 @@ def _ids(docs: pa.Table) -> np.ndarray:
 
 def _send_blocks(buckets: int, width: int, gram: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        alive = [np.frombuffer(b, _U) for b in answers.column("blob").to_pylist()]
+        alive = [_untagged(b) | _U(bucket) << _U(40) for bucket, b in zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True)]
         empty = pa.table({"bucket": pa.array([], pa.int64()), "batch": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
         if not alive or not docs.num_rows:
             return empty
@@ -233,9 +259,10 @@ def _send_blocks(buckets: int, width: int, gram: int):
         held: dict[bytes, list] = {}  # block: key, smallest document, whether there is another
         for low, high, parts in pieces(offsets, width):
             runs = Runs(data, low, high, parts, width, gram)
-            at = np.searchsorted(table, runs.key)
+            codes = _codes(runs.key, buckets)
+            at = np.searchsorted(table, codes)
             at[at == len(table)] = 0
-            good = np.flatnonzero(table[at] == runs.key)
+            good = np.flatnonzero(table[at] == codes)
             raw = data[low:high].tobytes()
             for a, b, key, doc in zip((runs.begin[good] - low).tolist(), (runs.last[good] - low + width).tolist(), runs.key[good].tolist(), ids[runs.text[good]].tolist(), strict=True):
                 entry = held.get(block := raw[a:b])
@@ -384,7 +411,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_kept: bo
     n = int(max(8, -(-total // batch_bytes)))
     dealt = thin.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n))).repartition(n, "batch")
     keys = dealt.mapInArrow(_send_keys(n, width, gram), "bucket long, batch long, blob binary")
-    alive = keys.repartition(n, "bucket").groupBy("bucket").applyInArrow(_survive, "batch long, blob binary").repartition(n, "batch")
+    alive = keys.repartition(n, "bucket").groupBy("bucket").applyInArrow(_survive, "batch long, bucket long, blob binary").repartition(n, "batch")
     blocks = dealt.groupBy("batch").cogroup(alive.groupBy("batch")).applyInArrow(_send_blocks(n, width, gram), "bucket long, batch long, blob binary")
     told = blocks.repartition(n, "bucket").groupBy("bucket").applyInArrow(_decide(width), "batch long, blob binary").repartition(n, "batch")
     kind = "doc_id long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept_sha256 string" + ", kept binary" * with_kept
