@@ -146,8 +146,10 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     part = lambda i: F.shiftrightunsigned("sim", 64 - _BLOCKS[i][1]).bitwiseAND(2 ** (_BLOCKS[i][1] - _BLOCKS[i][0]) - 1)
     tokens = [F.shiftleft(F.lit(t).cast("long"), 32) + F.shiftleft(part(i), 13) + part(j) for t, (i, j) in enumerate(itertools.combinations(range(len(_BLOCKS)), 2))]
     posts = wide.select("node", "sim", F.explode(F.array(*tokens)).alias("token"))
-    shared = posts.groupBy("token").count().where("count > 1").select("token")
-    facts = scratch.table(posts.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.array(F.first("sim")).alias("sketch")))
+    # most lines that share a token do so by chance; a semi-join keeps those with a close line, one row for each post at most
+    near = F.expr(f"x.token = y.token AND x.node <> y.node AND bit_count(x.sim ^ y.sim) <= {DIFFER}")
+    alive = posts.alias("x").join(posts.alias("y"), near, "left_semi").select("node").distinct()
+    facts = scratch.table(wide.join(alive, "node", "left_semi").select("node", F.array(*tokens).alias("tokens"), F.array("sim").alias("sketch")))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         places = scratch.table(nodes.join(wanted, "node").groupBy(F.col("place.row").alias("row")).agg(F.collect_list(F.struct("node", F.col("place.number").alias("number"))).alias("wanted")))
