@@ -32,7 +32,7 @@ from sieveworks.llm import textkit as tk
 WIDTH = 50
 GRAM = 24
 #: Bytes of text in a batch; larger inputs get more batches.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Bytes of one text that are looked at together.
 PIECE = 1 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -314,13 +314,22 @@ def _decide(width: int):
         groups: dict[int, list[bytes]] = {}
         for block, entry in of.items():
             groups.setdefault(entry[0], []).append(block)
-        mixed = [b for v in groups.values() if len(v) > 1 for b in v]
-        numbers = np.repeat(np.arange(sum(len(v) > 1 for v in groups.values())), [len(v) for v in groups.values() if len(v) > 1])
         least: dict[bytes, np.ndarray] = {}
-        if mixed:
-            least = dict(zip(mixed, smallest_holders(mixed, np.array([of[b][1] for b in mixed], dtype=np.int64), numbers, width), strict=True))
-        rows: list[tuple[int, int, int, int, int]] = []  # batch, row of the block, start, stop, document
-        keys, prints = [], []
+        mixed: list[list[bytes]] = []
+        size = 0
+        for group in [*(v for v in groups.values() if len(v) > 1), None]:
+            if mixed and (group is None or size > PIECE):
+                blocks = [b for v in mixed for b in v]
+                holders = np.array([of[b][1] for b in blocks], dtype=np.int64)
+                least |= zip(blocks, smallest_holders(blocks, holders, np.repeat(np.arange(len(mixed)), [len(v) for v in mixed]), width), strict=True)
+                mixed, size = [], 0
+            if group is not None:
+                mixed.append(group)
+                size += sum(map(len, group))
+        del groups
+        parts: list[np.ndarray] = []  # batch, row of the block, start, stop, document
+        rows: list[tuple[int, int, int, int, int]] = []
+        keys = []
         sizes = np.cumsum([0, *(len(b) for b in of)])
         c = tk.prefix_hashes(np.frombuffer(b"".join(of), np.uint8))
         _, down = tk.POWERS.upto(int(sizes[-1]))
@@ -336,8 +345,11 @@ def _decide(width: int):
                 if not more:  # its only holder learns nothing from itself
                     ranges = [r for r in ranges if r[2] < doc]
             rows += [(batch, i, a, b, low) for batch in batches for a, b, low in ranges]
-        rows.sort()
-        packed = np.array(rows, dtype=np.int64).reshape(-1, 5)
+            if len(rows) > 50_000:
+                parts.append(np.array(rows, dtype=np.int64))
+                rows = []
+        packed = np.concatenate([*parts, np.array(rows, dtype=np.int64).reshape(-1, 5)])
+        packed = packed[np.argsort(packed[:, 0], kind="stable")]
         named = np.array(keys, dtype=_U)
         cut = np.flatnonzero(np.append(True, np.diff(packed[:, 0]) != 0)) if len(packed) else np.zeros(0, np.int64)
         out = []
