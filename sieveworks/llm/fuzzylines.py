@@ -1,14 +1,15 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line dedup: MinHash bands of character and word grams, edit similarity, connected groups.
 
 Lines are compared in a normal form (letters A-Z folded, digits as 0, runs of other ASCII
-signs as one blank). Two SimHashes of 64 bits that differ in at most DIFFER bits agree
-fully in two of five blocks, so ten pairs of blocks find all such lines. Pairs are
-verified by edit distance, and of each connected group the first occurrence stays.
+signs as one blank). Forms of fewer than TINY letters meet exactly, by pieces of which an
+edit spares one. Longer ones meet in bands of minimum hashes, in tiers by length that
+overlap so far that any two forms of edit similarity 0.75 have a tier in common: grams of
+four bytes in short lines, pairs of neighbouring words in long ones. Pairs are verified
+by edit distance, and of each connected group the first occurrence stays.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,15 @@ from sieveworks.llm import graph, linking, scratch
 from sieveworks.llm import textkit as tk
 from sieveworks.llm.minhash import only
 
-DIFFER = 3
+#: Of the 64 sketch bits of a candidate; similar lines with half of their grams in common differ in 16.
+DIFFER = 30
 SIMILARITY = 0.75
-#: Lines of fewer words are compared as they are: an edit changes too much of them.
-LEAST_WORDS = 4
-_BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
+#: Forms of fewer letters meet by exact pieces.
+TINY = 16
+BANDS = 24
+#: Minimum hashes in a band, by tier: grams of forms below 64 letters, of those below 134, word pairs from 100 on.
+_IN_BAND = {1: 2, 2: 3, 3: 3}
+_SEEDS = tk.mix(np.arange(1, 73, dtype=np.uint64)) | np.uint64(1)
 _NOT_NEWLINE = tk._table([(0x0A, 0x0A)])
 _NORMAL = tk.FOLD.copy()
 _NORMAL[49:58] = 48
@@ -43,8 +48,55 @@ def _line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, first, np.arange(len(starts)) - first[texts]
 
 
+def tiers(letters: np.ndarray, count: np.ndarray) -> dict[int, np.ndarray]:
+    """Which forms belong to each tier, by letters and words; beyond 100 letters forms of very long words have grams of bytes too."""
+    return {1: (letters >= 12) & (letters < 64), 2: (letters >= 48) & ((letters < 134) | (letters > 10 * count)), 3: (letters >= 100) & (letters <= 24 * count)}
+
+
+def _grams(words: tk.Words, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of four bytes of some lines, each word with a blank behind it, and where those of each line begin."""
+    of = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    size = words.ends[of] - words.starts[of] + 1
+    ends = np.cumsum(size)
+    at = np.repeat(words.starts[of] - ends + size, size) + np.arange(ends[-1])
+    at[ends - 1] = 0
+    raw = words.data[at]
+    raw[ends - 1] = 32
+    raw = raw.astype(np.uint64)
+    last = np.cumsum(count) - 1
+    n = np.diff(np.append(0, ends[last])) - 3
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    at = np.repeat(ends[last] - n - 3 - first, n) + np.arange(n.sum())
+    return tk.mix(raw[at] | raw[at + 1] << np.uint64(8) | raw[at + 2] << np.uint64(16) | raw[at + 3] << np.uint64(24)), first
+
+
+def _pairs(hashes: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of neighbouring words of some lines, with the first and the last word alone."""
+    n = count + 1
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    at = np.repeat(begin - first, n) + np.arange(n.sum())
+    left, right = hashes[at - 1], hashes[np.minimum(at, len(hashes) - 1)]
+    left[first] = 1
+    right[first + count] = 2
+    return tk.mix(left * np.uint64(0xD6E8FEB86659FD93) + right), first
+
+
+def _signed(features: np.ndarray, first: np.ndarray, tier: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line a token for each band, and a sketch of one bit of 64 minimum hashes."""
+    rows = _IN_BAND[tier]
+    tokens, bits = np.zeros((len(first), BANDS), np.uint64), np.zeros((len(first), 64), np.uint8)
+    for i in range(max(64, BANDS * rows)):
+        least = tk.mix(np.minimum.reduceat(features * _SEEDS[i], first))
+        if i < 64:
+            bits[:, i] = least >> np.uint64(63)
+        if i < BANDS * rows:
+            tokens[:, i // rows] = tk.mix(tokens[:, i // rows] + least)
+    low = np.arange(BANDS, dtype=np.uint64) << np.uint64(2) | np.uint64(tier)
+    return tokens & ~np.uint64(127) | low, np.packbits(bits, axis=1).view(np.uint64)[:, 0]
+
+
 def hashed_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the lines with words: text, number in it, hash of the normal form, SimHash (0 for short lines), words."""
+    """Of the lines with words: text, number in it, hash of the normal form (its low bits are 0), letters, words, and by tier (lines, tokens, sketches)."""
     starts, first, number = _line_starts(data, offsets)
     words = tk.Words(_NORMAL[data], offsets, tk.ALNUM_WORDS)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
@@ -57,24 +109,81 @@ def hashed_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
     up, down = tk.POWERS.upto(len(hashes))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
     ends = begin + count
-    normal = tk.mix((total[ends] - total[begin]) * down[begin] + count.astype(np.uint64))
-    if len(begin):
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-        sim = np.packbits(2 * ones > count[:, None], axis=1).view(np.uint64)[:, 0]
-    else:
-        sim = np.zeros(0, np.uint64)
-    return text[line], number[line], normal, np.where(count >= LEAST_WORDS, sim, np.uint64(0)), count
+    normal = tk.mix((total[ends] - total[begin]) * down[begin] + count.astype(np.uint64)) & ~np.uint64(3)
+    points = tk.code_points(data)
+    total = np.concatenate([[0], np.cumsum(points[words.ends] - points[words.starts])])
+    letters = total[ends] - total[begin] + count - 1
+    signed = {}
+    for tier, member in tiers(letters, count).items():
+        at = np.flatnonzero(member)
+        if len(at):
+            found = _pairs(hashes, begin[at], count[at]) if tier == 3 else _grams(words, begin[at], count[at])
+            signed[tier] = (at, *_signed(*found, tier))
+    return text[line], number[line], normal, letters, count, signed
 
 
 def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tk.buffers(batch.column(2))
         for low, high, part, at in tk.chunks(data, offsets, 1 << 18):
-            text, number, normal, sim, count = hashed_lines(part, at)
+            text, number, normal, *_ = hashed_lines(part, at)
             where = pa.array(np.searchsorted(text, np.arange(high - low + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(where, pa.array(x)) for x in (number.astype(np.int32), normal.view(np.int64), sim.view(np.int64), count.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(np.diff(where.to_numpy()), pa.int64()), *lists], ["doc_id", "row", "n_lines", "number", "normal", "sim", "words"])
+            lists = [pa.ListArray.from_arrays(where, pa.array(x)) for x in (number.astype(np.int32), normal.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(np.diff(where.to_numpy()), pa.int64()), *lists], ["doc_id", "row", "n_lines", "number", "normal"])
+
+
+def signatures(forms: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Tier, and of its forms the indices, tokens and sketches."""
+    data, offsets = tk.buffers(pa.array(forms, pa.string()))
+    text, _, _, _, _, signed = hashed_lines(data, offsets)
+    for tier, (at, tokens, sketch) in signed.items():
+        yield tier, text[at], tokens, sketch
+
+
+def _tokened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each distinct form a row for each of its tiers, which the low bits of the node give; tiny forms come as they are."""
+    for batch in batches:
+        nodes, forms = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        tiny = [i for i, x in enumerate(forms) if len(x) < TINY]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[tiny], pa.int64()), pa.array([[]] * len(tiny), pa.list_(pa.int64())), pa.array([0] * len(tiny), pa.int64()), pa.array([forms[i] for i in tiny], pa.string())], ["node", "tokens", "sketch", "form"])
+        for tier, at, tokens, sketch in signatures(forms):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tokens.size + 1, BANDS), pa.int32()), pa.array(tokens.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at] | tier), lists, pa.array(sketch.view(np.int64)), pa.nulls(len(at), pa.string())], ["node", "tokens", "sketch", "form"])
+
+
+def _cut(size: int, pieces: int) -> list[tuple[int, int]]:
+    edges = [size * i // pieces for i in range(pieces + 1)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def pieces(form: str, similarity: float, longer: bool) -> set[str]:
+    """Keys of a tiny form as the longer or the shorter of a pair: k edits spare one of k + 1 pieces and move it by k at most."""
+    out = set()
+    for size in [len(form)] if longer else range(len(form), TINY):
+        most = int((1 - similarity) * size + 1e-9)
+        if not most or size - len(form) > most:
+            continue
+        for i, (low, high) in enumerate(_cut(size, most + 1)):
+            places = [low] if longer else range(max(0, low - most), min(len(form) - (high - low), low + most) + 1)
+            out |= {f"{size}:{i}:{form[at : at + high - low]}" for at in places}
+    return out
+
+
+def _pieced(similarity: float, longer: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, f, k) for n, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in pieces(f, similarity, longer)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["node", "form", "key"])
+
+    return run
+
+
+def tiny_links(tiny: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of similar tiny forms; tiny: node, form."""
+    x, y = (tiny.select("node", "form").mapInArrow(_pieced(similarity, longer), "node long, form string, key string") for longer in (True, False))
+    most = f"int({1 - similarity!r}D * length(x.form) + 1e-9D)"
+    near = F.expr(f"x.key = y.key AND x.node <> y.node AND levenshtein(x.form, y.form) <= {most}")
+    return x.alias("x").join(y.alias("y"), near).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
 
 def normal_form(line: bytes) -> str:
@@ -133,30 +242,35 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
     The first occurrence of a group, by doc_id (null last) and number, stays. Lines without
     words are never removed; null or empty texts have no lines. Rows of one id and text
-    are one document. Only doc_id and text are read. cleaned() gives the texts.
+    are one document. Only doc_id and text are read. cleaned() gives the texts. similarity is 0.75 or more.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"))
-    rows = scratch.table(thin.mapInArrow(_lined, "doc_id long, row long, n_lines long, number array<int>, normal array<long>, sim array<long>, words array<int>"))
+    rows = scratch.table(thin.mapInArrow(_lined, "doc_id long, row long, n_lines long, number array<int>, normal array<long>"))
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("row"), F.col("x.number").alias("number"))
-    lines = rows.select("doc_id", "row", F.explode(F.arrays_zip("number", "normal", "sim", "words")).alias("x")).select(F.col("x.normal").alias("node"), F.col("x.sim").alias("sim"), F.col("x.words").alias("words"), place.alias("place"))
-    nodes = scratch.table(lines.groupBy("node").agg(F.min("place").alias("place"), F.min("sim").alias("sim"), F.min("words").alias("words"), F.count("*").alias("n")))
+    lines = rows.select("doc_id", "row", F.explode(F.arrays_zip("number", "normal")).alias("x")).select(F.col("x.normal").alias("node"), place.alias("place"))
+    nodes = scratch.table(lines.groupBy("node").agg(F.min("place").alias("place"), F.count("*").alias("n")))
 
-    wide = nodes.where(F.col("words") >= LEAST_WORDS)
-    part = lambda i: F.shiftrightunsigned("sim", 64 - _BLOCKS[i][1]).bitwiseAND(2 ** (_BLOCKS[i][1] - _BLOCKS[i][0]) - 1)
-    tokens = [F.shiftleft(F.lit(t).cast("long"), 32) + F.shiftleft(part(i), 13) + part(j) for t, (i, j) in enumerate(itertools.combinations(range(len(_BLOCKS)), 2))]
-    posts = wide.select("node", "sim", F.explode(F.array(*tokens)).alias("token"))
-    # most lines that share a token do so by chance; a semi-join keeps those with a close line, one row for each post at most
-    near = F.expr(f"x.token = y.token AND x.node <> y.node AND bit_count(x.sim ^ y.sim) <= {DIFFER}")
-    alive = posts.alias("x").join(posts.alias("y"), near, "left_semi").select("node").distinct()
-    facts = scratch.table(wide.join(alive, "node", "left_semi").select("node", F.array(*tokens).alias("tokens"), F.array("sim").alias("sketch")))
+    def forms_of(wanted: DataFrame) -> DataFrame:
+        places = scratch.table(wanted.groupBy(F.col("place.row").alias("row")).agg(F.collect_list(F.struct("node", F.col("place.number").alias("number"))).alias("wanted")))
+        texts = only(thin, places.select("row"), "row").dropDuplicates(["row"]).join(places, "row").select("wanted", "text")
+        return texts.mapInArrow(_picked, "node long, text string")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        places = scratch.table(nodes.join(wanted, "node").groupBy(F.col("place.row").alias("row")).agg(F.collect_list(F.struct("node", F.col("place.number").alias("number"))).alias("wanted")))
-        texts = only(thin, places.select("row"), "row").dropDuplicates(["row"]).join(places, "row").select("wanted", "text")
-        return scratch.table(texts.mapInArrow(_picked, "node long, text string"))
+        asked = wanted.select(F.col("node").alias("asked"), F.col("node").bitwiseAND(-4).alias("node")).distinct()
+        forms = forms_of(nodes.join(asked.select("node").distinct(), "node"))
+        return scratch.table(forms.join(asked, "node").select(F.col("asked").alias("node"), "text"))
+
+    signed = scratch.table(forms_of(nodes).mapInArrow(_tokened, "node long, tokens array<long>, sketch long, form string"))
+    wide = signed.where("form IS NULL")
+    posts = wide.select("node", "sketch", F.explode("tokens").alias("token"))
+    # most lines that share a token do so by chance; a semi-join keeps those with a close line, one row for each post at most
+    near = F.expr(f"x.token = y.token AND x.node <> y.node AND bit_count(x.sketch ^ y.sketch) <= {DIFFER}")
+    alive = posts.alias("x").join(posts.alias("y"), near, "left_semi").select("node").distinct()
+    facts = scratch.table(wide.join(alive, "node", "left_semi").select("node", "tokens", F.array("sketch").alias("sketch")))
 
-    found = graph.components(linking.linked(facts, 1, DIFFER, texts_of, _as_it_is, Alike(similarity)))
+    links = linking.linked(facts, 1, DIFFER, texts_of, _as_it_is, Alike(similarity)).select(F.col("a").bitwiseAND(-4).alias("a"), F.col("b").bitwiseAND(-4).alias("b"))
+    found = graph.components(scratch.table(links.union(tiny_links(signed.where("form IS NOT NULL"), similarity))))
     grouped = nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).select("node", "group", "place", "n")
     stay = grouped.groupBy("group").agg(F.min("place").alias("stay"), F.sum("n").alias("n")).where("n > 1")
     repeats = grouped.select("node", "group").join(stay.select("group", "stay"), "group").select("node", "stay")

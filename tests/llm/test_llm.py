@@ -312,6 +312,39 @@ def test_fuzzy_lines(spark, odd, none):
     assert fuzzylines.repeated_lines(odd).count() == len(ODD) and fuzzylines.repeated_lines(none).count() == 0
 
 
+def _edited(rng, form):
+    """form with one or two words replaced or misspelt."""
+    words = form.split(" ")
+    for i in rng.choice(len(words), size=min(len(words), int(rng.integers(1, 3))), replace=False):
+        at = int(rng.integers(len(words[i])))
+        words[i] = "".join(rng.choice(list("bdfgklmn"), size=len(words[i]))) if rng.random() < 0.5 else words[i][:at] + "z" + words[i][at + 1 :]
+    return " ".join(words)
+
+
+def test_fuzzy_lines_recall(spark):
+    rng = np.random.default_rng(4)
+    forms = []
+    for _ in range(400):
+        forms.append(" ".join("".join(rng.choice(list("abcdefghijklmnoprstuvwxy"), size=int(rng.integers(2, 9)))) for _ in range(int(rng.choice([1, 2, 3, 5, 8, 10, 20, 30, 50])))))
+        forms.append(_edited(rng, forms[-1]))
+    alike = fuzzylines.Alike(0.75)
+    pairs = [(i, i + 1) for i in range(0, 800, 2) if forms[i] != forms[i + 1] and alike(forms[i], forms[i + 1])]
+    assert len(pairs) > 250
+    docs = spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "doc_id long, text string")
+    gone = {r.doc_id for r in fuzzylines.repeated_lines(docs).where("size(removed) > 0").collect()}
+    missed = [p for p in pairs if p[1] not in gone]
+    assert len(missed) <= 0.02 * len(pairs), [(forms[a], forms[b]) for a, b in missed]
+
+
+def test_tiny_lines_brute_force(spark):
+    rng = np.random.default_rng(6)
+    forms = sorted({"".join(rng.choice(list("abc "), size=int(rng.integers(1, fuzzylines.TINY)))).strip() for _ in range(300)} - {""})
+    alike = fuzzylines.Alike(0.75)
+    want = {(i, j) for i, a in enumerate(forms) for j, b in enumerate(forms) if i < j and alike(a, b)}
+    tiny = spark.createDataFrame(list(enumerate(forms)), "node long, form string")
+    assert {tuple(r) for r in fuzzylines.tiny_links(tiny, 0.75).collect()} == want
+
+
 def test_licenses(spark, odd, none):
     name, notice = licenses.TEMPLATES[2]
     changed = notice.replace("hereby", "now").replace("sublicense, ", "")
