@@ -134,12 +134,12 @@ def _part(x: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
     return {k: v[rows] for k, v in x.items()}
 
 
-def _grow(x: dict[str, np.ndarray], low: np.ndarray) -> Rule:
-    """Adds the test of highest gain until no row of good quality is covered."""
+def _grow(x: dict[str, np.ndarray], low: np.ndarray, good: float) -> Rule:
+    """Adds the test of highest gain until no row of good quality is covered; each of those counts as `good` rows."""
     rule: list[Test] = []
     rows = np.arange(len(low))
     while len(rule) < 4:
-        p, n = int(low[rows].sum()), int((~low[rows]).sum())
+        p, n = int(low[rows].sum()), good * int((~low[rows]).sum())
         if not p or not n:
             break
         best, gain = None, 1e-9
@@ -149,7 +149,7 @@ def _grow(x: dict[str, np.ndarray], low: np.ndarray) -> Rule:
             for threshold in np.unique(np.quantile(v, np.linspace(0, 1, 65))):
                 over = v > threshold
                 for above, inside in ((True, over), (False, ~over)):
-                    a, b = int((inside & y).sum()), int((inside & ~y).sum())
+                    a, b = int((inside & y).sum()), good * int((inside & ~y).sum())
                     if a and (g := a * (math.log2(a / (a + b)) - base)) > gain:
                         best, gain = Test(name, above, float(threshold)), g
         if best is None:
@@ -159,9 +159,9 @@ def _grow(x: dict[str, np.ndarray], low: np.ndarray) -> Rule:
     return tuple(rule)
 
 
-def _worth(rule: Rule, x: dict[str, np.ndarray], low: np.ndarray) -> tuple[float, int]:
+def _worth(rule: Rule, x: dict[str, np.ndarray], low: np.ndarray, good: float) -> tuple[float, int]:
     inside = covers(rule, x, len(low))
-    p, n = int((inside & low).sum()), int((inside & ~low).sum())
+    p, n = int((inside & low).sum()), good * int((inside & ~low).sum())
     return ((p - n) / (p + n) if p + n else -1.0), p
 
 
@@ -171,23 +171,26 @@ def _halfway(rule: Rule, x: dict[str, np.ndarray], low: np.ndarray) -> Rule:
     return tuple(Test(t.statistic, t.above, float(t.threshold + np.quantile(x[t.statistic][inside], 0.02 if t.above else 0.98)) / 2) for t in rule) if inside.any() else rule
 
 
-def learn(x: dict[str, np.ndarray], low: np.ndarray, seed: int = 5, precision: float = PRECISION) -> list[Rule]:
-    """Rules that reject; low marks rows of low quality. The list is empty without evidence."""
+def learn(x: dict[str, np.ndarray], low: np.ndarray, seed: int = 5, precision: float = PRECISION, good: float = 1.0) -> list[Rule]:
+    """Rules that reject; low marks rows of low quality. The list is empty without evidence.
+
+    A row of good quality stands for `good` times as many rows as one of low quality.
+    """
     order = np.random.default_rng(seed).permutation(len(low))
     grow, prune = order[: 2 * len(order) // 3], order[2 * len(order) // 3 :]
     rules: list[Rule] = []
     least = max(3, int(0.01 * low.sum()))
     while len(rules) < 12 and low[grow].sum() >= least:
-        rule = _grow(_part(x, grow), low[grow])
+        rule = _grow(_part(x, grow), low[grow], good)
         if not rule:
             break
         px, py = _part(x, prune), low[prune]
-        rule = max((rule[:i] for i in range(len(rule), 0, -1)), key=lambda r: _worth(r, px, py))
+        rule = max((rule[:i] for i in range(len(rule), 0, -1)), key=lambda r: _worth(r, px, py, good))
         rule = _halfway(rule, _part(x, grow), low[grow])
-        worth, hits = _worth(rule, px, py)
+        worth, hits = _worth(rule, px, py, good)
         inside = covers(rule, _part(x, grow), len(grow))
-        right = (inside & low[grow]).sum()
-        if worth < 2 * precision - 1 or hits < 2 or right < precision * inside.sum() or right < least:
+        right, wrong = (inside & low[grow]).sum(), good * (inside & ~low[grow]).sum()
+        if worth < 2 * precision - 1 or hits < 2 or right < precision * (right + wrong) or right < least:
             break
         rules.append(rule)
         grow = grow[~inside]
@@ -211,15 +214,21 @@ def _over(sql: str, column: str) -> str:
     return sql
 
 
+def standing(size: int, sampled: int) -> float:
+    """How many rows of a class of this size each of the sampled ones, at most so many, stands for."""
+    return max(1.0, size / max(sampled, 1))
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[Rule]:
-    """Learns the list from at most rows labelled documents."""
+    """Learns the list from at most rows labelled documents, in which the classes weigh as in all labels."""
     ids = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    sizes = ids.agg(F.count_if(F.col("quality") == 0).alias("low"), F.count_if(F.col("quality") != 0).alias("good")).first()
     halves = [ids.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for c in ("quality = 0", "quality <> 0")]
     # rows ids at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(halves[0].union(halves[1])), "doc_id")
     stats = measured(texts).select("doc_id", "quality", *(F.expr(_over(sql, "_counts")).alias(name) for name, sql in STATISTICS.items()))
     got = scratch.table(stats).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    return learn({name: got[name].to_numpy(float) for name in STATISTICS}, (got["quality"] == 0).to_numpy())
+    return learn({name: got[name].to_numpy(float) for name in STATISTICS}, (got["quality"] == 0).to_numpy(), good=standing(sizes.good, rows // 2) / standing(sizes.low, rows // 2))
 
 
 def base_failed(column: str = "_counts") -> Column:

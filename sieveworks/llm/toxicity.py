@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveworks.llm import scratch
+from sieveworks.llm import quality, scratch
 from sieveworks.llm import textkit as tk
 
 #: Labelled rows that the lexicon and the regression are fitted on at most, half of them toxic.
@@ -177,13 +177,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def regress(x: np.ndarray, y: np.ndarray, prior: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps; the bias comes last and has no prior."""
+def regress(x: np.ndarray, y: np.ndarray, prior: float = 1.0, weights: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by Newton steps on weighted rows; the bias comes last and has no prior."""
     x = np.hstack([x, np.ones((len(x), 1))])
+    much = np.ones(len(x)) if weights is None else weights
     w, keep = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, prior), 1e-6)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
+        step = np.linalg.solve((x * (much * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(keep), x.T @ (much * (y - p)) - keep * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -222,12 +223,15 @@ def fold(doc_id: Column | str) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 3
 
 
-def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, float, float]:
+    """The labelled texts, and how many rows each toxic one and each other one stands for."""
     ids = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where(fold("doc_id") != 1)
+    sizes = ids.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") != 1).alias("clean")).first()
     halves = [ids.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for c in ("toxic = 1", "toxic <> 1")]
     # rows ids at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return scratch.table(texts.join(F.broadcast(halves[0].union(halves[1])), "doc_id").dropDuplicates(["doc_id"]))
+    sample = scratch.table(texts.join(F.broadcast(halves[0].union(halves[1])), "doc_id").dropDuplicates(["doc_id"]))
+    return sample, quality.standing(sizes.toxic, rows // 2), quality.standing(sizes.clean, rows // 2)
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,27 +270,31 @@ def _near_counts(shared: scratch.Shared):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Learns lexicon and weights from at most rows labelled documents outside the held-out fold."""
+    """Learns lexicon and weights from at most rows labelled documents outside the held-out fold, in which the classes weigh as in all labels."""
     spark = docs.sparkSession
-    sample = _sample(docs, labels, rows)
+    sample, per_toxic, per_clean = _sample(docs, labels, rows)
+    ratio = per_clean / per_toxic
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sum(n for t, n in sizes.items() if t != 1)
     part = sample.select("text", F.col("toxic").cast("int")).repartition(16)
     counted = part.mapInArrow(_listed, "term string, toxic int").groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") != 1).alias("b"))
-    likely = counted.where((F.col("a") >= max(3, 0.01 * toxic)) & (F.col("b") * 20 <= F.col("a") + 20)).orderBy(F.desc("a"), "b", "term").limit(20_000)
+    likely = counted.where((F.col("a") >= max(3, 0.01 * toxic)) & (F.col("b") * 20 * ratio <= F.col("a") + 20 * ratio)).orderBy(F.desc("a"), "b", "term").limit(20_000)
     terms, stems = chosen_terms([(r.term, r.a, r.b) for r in likely.collect()], toxic, clean) if toxic else ([], [])
     terms = list(dict.fromkeys([*terms, *(w for w in SEED if not any(w.startswith(s) for s in stems))]))
     near = [t for t in terms if len(t) >= 5 and t.isascii()]
     trial = scratch.Shared(spark, Lexicon(terms, stems, near))
     for r in part.mapInArrow(_near_counts(trial), "term string, toxic int").groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") != 1).alias("b")).collect():
-        if r.b > max(1, 0.001 * clean) or r.b > 0.1 * r.a + 1:
+        if r.b > max(1, 0.001 * clean) or r.b > 0.1 * r.a / ratio + 1:
             near.remove(r.term)  # its misspellings are words of the language
     lexicon = Lexicon(terms, stems, near)
     got = part.mapInArrow(_featured(scratch.Shared(spark, lexicon)), "x array<double>, toxic int").collect()
     base = np.array([[1, 0.7, 0, 0.7, 0, 0, 0.3, 0.7], [0] * 8, [1, 0, 0.7, 0.7, 0, 0, 0.3, 0.7], [1, 0.7, 0, 0, 0.7, 0, 0.2, 0.7]], dtype=float)
     x = np.vstack([np.array([r.x for r in got]).reshape(-1, len(FEATURES)), base])
     y = np.array([int(r.toxic == 1) for r in got] + [1, 0, 1, 0])
-    return Model(lexicon, regress(x, y))
+    # as many as there are rows in all, so that the prior counts the same
+    much = np.where(y[:-4] == 1, per_toxic, per_clean)
+    much = np.append(much * (len(much) / max(much.sum(), 1)), np.ones(4))
+    return Model(lexicon, regress(x, y, weights=much))
 
 
 def score(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:

@@ -183,6 +183,14 @@ def test_toxicity_odd(spark, odd, none):
     assert toxicity.score(none, toxicity.fit(none, labels.limit(0))).count() == 0
 
 
+def test_toxicity_means_the_same_on_a_capped_sample(spark):
+    docs = spark.createDataFrame([(i, "the idiot came home" if i < 300 or i % 10 == 0 else "the man came home") for i in range(2700)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 300).cast("int").alias("toxic"))
+    for rows in (100_000, 400, 100):
+        got = toxicity.score(docs, toxicity.fit(docs, labels, rows)).where("doc_id < 3").agg(F.max("_score")).first()[0]
+        assert 0.35 < got < toxicity.REJECT, (rows, got)
+
+
 def test_mix_odd(spark, odd, none):
     got = mixing.mixed(odd)
     assert got.count() == len(ODD)
@@ -301,6 +309,15 @@ def test_edit_distance_brute_force():
         assert fuzzylines.edit_distance(a, b) == row[-1]
 
 
+def test_quality_rules_mean_the_same_on_a_capped_sample(spark):
+    docs = spark.createDataFrame([(i, "AA BB CC DD" if i < 300 or i % 33 == 0 else "aa bb cc dd") for i in range(3600)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") >= 300).cast("int").alias("quality"))
+    for rows in (100_000, 600):
+        assert quality.fit(docs, labels, rows) == [], rows
+    sure = docs.withColumn("text", F.when(F.col("doc_id") < 300, F.col("text")).otherwise("aa bb cc dd"))
+    assert quality.fit(sure, labels, 600)
+
+
 def test_fuzzy_lines(spark, odd, none):
     line = "this is a line of text with many plain words in it and some more words to follow number "
     docs = spark.createDataFrame([(1, f"{line}1\nunique here\n\n{line}2"), (2, f"other\n{line}34\r\nunique here"), (3, None), (None, "other")], "doc_id long, text string")
