@@ -366,6 +366,20 @@ def _(v):
     return temporal(v.p_facts, v.p_mentions.where("fact_id % 4 = 0"))
 
 
+@query("i15_assertion_all", None)
+def _(v):
+    from sieveworks.operators.contradictions import assertions
+
+    return assertions(v.p_facts, v.p_mentions)
+
+
+@query("i17_temporal_all", None)
+def _(v):
+    from sieveworks.operators.contradictions import temporal
+
+    return temporal(v.p_facts, v.p_mentions)
+
+
 _BOOST = case(C.CONFIDENCE_BOOSTS, "source_type", "0.1::DOUBLE")
 
 
