@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,6 +147,52 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
+#: Pivots whose searches run in one task over the edges of their component.
+PIVOTS = 256
+
+
+def _depended(rows: pd.DataFrame) -> pd.DataFrame:
+    """Brandes over one component from the pivots of one block; rows: src, dst, and pivots as src without a dst."""
+    links: dict[str, list[str]] = {}
+    pivots = rows["src"][rows["dst"].isna()].tolist()
+    for src, dst in rows[["src", "dst"]].dropna().itertuples(index=False):
+        links.setdefault(src, []).append(dst)
+    score: dict[str, float] = {}
+    for pivot in pivots:
+        order, level, paths, before = [pivot], {pivot: 0}, {pivot: 1.0}, {}
+        for at in order:
+            for to in links.get(at, ()):
+                if to not in level:
+                    level[to], paths[to], before[to] = level[at] + 1, 0.0, []
+                    order.append(to)
+                if level[to] == level[at] + 1:
+                    paths[to] += paths[at]
+                    before[to].append(at)
+        depend = dict.fromkeys(order, 0.0)
+        for at in reversed(order[1:]):
+            for up in before[at]:
+                depend[up] += paths[up] / paths[at] * (1 + depend[at])
+            score[at] = score.get(at, 0.0) + depend[at]
+    return pd.DataFrame({"id": list(score), "d": list(score.values())}, columns=["id", "d"])
+
+
+def betweenness_of_all(edges: DataFrame) -> DataFrame:
+    """(id, score) of every vertex: directed shortest paths between all others through it, divided by (n - 1)(n - 2).
+
+    Every vertex is a pivot; blocks of about PIVOTS of one component are searched in one task each.
+    """
+    links = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    vertices = cut(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    placed = cut(vertices.join(clusters(links), "id"))
+    blocks = placed.groupBy("component").agg(F.ceil(F.count("*") / PIVOTS).alias("blocks"))
+    pivots = placed.join(blocks, "component").select("component", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"))
+    inside = links.join(placed.withColumnRenamed("id", "src"), "src").join(blocks, "component")
+    inside = inside.select("component", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "src", "dst")
+    sums = pivots.union(inside).groupBy("component", "block").applyInPandas(_depended, "id string, d double").groupBy("id").agg(F.sum("d").alias("d"))
+    n = vertices.count()
+    return vertices.join(sums, "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) / max(1, (n - 1) * (n - 2))).alias("score"))
+
+
 def betweenness(edges: DataFrame, pivots: list[str], most: int = 6) -> DataFrame:
     """(id, score): share of shortest paths from the pivots through each vertex, by levels of joins."""
     both = cut(undirected(edges))

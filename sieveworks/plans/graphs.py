@@ -87,7 +87,7 @@ def _(v):
 
 @query("j13_betweenness", None)
 def _(v):
-    return G.betweenness(v.p_pairs, ["Fact:0", "Fact:3", "Fact:9"])
+    return G.betweenness_of_all(v.p_pairs)
 
 
 @query("j17_node_name", "SELECT DISTINCT 'Entity:' || canonical AS id, coalesce(nullif(canonical, ''), 'Entity:' || canonical) AS shown FROM p_mentions")

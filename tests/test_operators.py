@@ -1,5 +1,7 @@
 """Operators on small inputs: nulls, blanks, ties, repeats."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,32 @@ def test_graph(spark):
         G.run("nothing", edges)
 
 
+def test_betweenness_of_all_vertices(spark, monkeypatch):
+    monkeypatch.setattr(G, "PIVOTS", 7)
+    rng = random.Random(2)
+    pairs = [(f"F:{i}", f"F:{i + 1}") for i in range(12)] + [(f"F:{rng.randrange(30)}", f"F:{rng.randrange(30)}") for _ in range(30)] + [("X", "Y"), ("Z", "Z"), ("X", "Y")]
+    ids = sorted({x for p in pairs for x in p})
+    to = {x: {b for a, b in pairs if a == x and b != x} for x in ids}
+    far, ways = {}, {}
+    for s in ids:
+        level, count, front = {s: 0}, {s: 1}, [s]
+        while front:
+            new = {}
+            for x in front:
+                for y in to[x]:
+                    if y not in level:
+                        new[y] = new.get(y, 0) + count[x]
+            front = list(new)
+            level |= dict.fromkeys(new, max(level.values()) + 1)
+            count |= new
+        far[s], ways[s] = level, count
+    n = len(ids)
+    want = {v: sum(ways[s][v] * ways[v][t] / ways[s][t] for s in ids for t in far[s] if v not in (s, t) and s != t and v in far[s] and t in far[v] and far[s][v] + far[v][t] == far[s][t]) / ((n - 1) * (n - 2)) for v in ids}
+    got = {r.id: r.score for r in G.betweenness_of_all(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert max(max(f.values()) for f in far.values()) > 6
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in ids)
+
+
 def test_nearest(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in V.nearest(v, v.where("vec_id = 1"), 1).collect()] == [(1, 2)]
