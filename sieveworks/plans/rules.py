@@ -469,6 +469,20 @@ def _(v):
     return numeric(v.p_facts, ["investigation_id", "claim_text"]).select("a", "b", F.lit("numeric").alias("kind"))
 
 
+@query("c09_contradictions_all", None)
+def _(v):
+    from sieveworks.operators.contradictions import contradictions
+
+    return contradictions(v.p_facts, v.p_mentions)
+
+
+@query("i16_numeric_all", None)
+def _(v):
+    from sieveworks.operators.contradictions import values
+
+    return values(v.p_facts, v.p_mentions)
+
+
 @query("c18_authority_lookup", f"SELECT fact_id, {_BASE} AS authority FROM ({_SCORED})")
 def _(v):
     return scored(v).select("fact_id", F.col("base").alias("authority"))

@@ -1,7 +1,11 @@
 """Contradiction rules over all facts and mentions, against brute force."""
 
+import random
+
 import pytest
 
+from sieveworks.functions import constants
+from sieveworks.operators import contradictions
 from sieveworks.plans import catalog
 from sieveworks.plans.proxies import Views
 
@@ -38,3 +42,38 @@ def test_times_of_all_mentions(spark, facts):
         if a["fact_id"] < b["fact_id"] and a["investigation_id"] == b["investigation_id"] and a["temporal_precision"] == b["temporal_precision"] and a["temporal_value"] != b["temporal_value"] and m & n
     }
     assert any(a % 4 or b % 4 for a, b in want) and found(spark, "i17_temporal_all") == want
+
+
+def test_contradictions_first_rule_wins(spark):
+    rng = random.Random(3)
+    texts = ["troops crossed the border", "troops never crossed the border", "rain fell", "no rain fell today"]
+    rows, names = [], {}
+    for i in range(150):
+        low = rng.choice([None, 0.0, 5.0, 10.0])
+        kind = rng.choice(["statement", "denial", "prediction"])
+        rows.append((i, rng.randrange(2), rng.choice(texts), kind, low, None if low is None else low + rng.choice([0.0, 6.0]), rng.choice(["", None, "10", "20"]), rng.choice(["explicit", "inferred"]), rng.choice(["day", "month"]), rng.choice([None, "1", "2"])))
+        names[i] = {rng.choice("abc")}
+    schema = "fact_id long, investigation_id long, claim_text string, assertion_type string, low_value double, high_value double, value_original string, temporal_kind string, temporal_precision string, temporal_value string"
+    mentions = spark.createDataFrame([(i, x.upper()) for i, n in names.items() for x in n], "fact_id long, canonical string")
+
+    def rule(x, y):
+        shared = names[x[0]] & names[y[0]]
+        if {x[3], y[3]} == {"statement", "denial"} and shared:
+            return "assertion", 0.8
+        a, b = (set(t[2].split()) for t in (x, y))
+        agree = (a & b) - set(constants.NEGATION_WORDS) - set(constants.STOP_WORDS)
+        if bool(a & set(constants.NEGATION_WORDS)) != bool(b & set(constants.NEGATION_WORDS)) and len(agree) >= 2:
+            return "negation", min(0.9, 0.5 + 0.1 * len(agree))
+        if x[4] is not None and y[4] is not None:
+            if x[5] < y[4] or y[5] < x[4]:
+                return "numeric", 0.8
+        elif x[6] and y[6] and x[6] != y[6] and shared:
+            return "numeric", 0.6
+        if x[7] == y[7] == "explicit" and x[8] == y[8] and x[9] and y[9] and x[9] != y[9] and shared:
+            return "temporal", 0.7
+        return None
+
+    want = {(x[0], y[0]): r for x in rows for y in rows if x[0] < y[0] and x[1] == y[1] and (r := rule(x, y))}
+    got = {(r.a, r.b): (r.kind, round(r.confidence, 9)) for r in contradictions.contradictions(spark.createDataFrame(rows, schema), mentions).collect()}
+    assert {k for k, _ in want.values()} == {"assertion", "negation", "numeric", "temporal"} and {c for k, c in want.values() if k == "numeric"} == {0.6, 0.8}
+    assert got == {p: (k, round(c, 9)) for p, (k, c) in want.items()}
