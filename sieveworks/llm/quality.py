@@ -63,9 +63,7 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     runs = tk.grams(hashes, 3)
     repeat, distinct, dup, full = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     lines = tk.Words(data, offsets, _NOT_NEWLINE)
-    c = tk.prefix_hashes(data)
-    _, down = tk.POWERS.upto(len(data))
-    line_hash = tk.mix((c[lines.ends] - c[lines.starts]) * down[lines.starts] + np.uint64(1))
+    line_hash = lines.hashes()
     worded = np.diff(np.searchsorted(words.starts, np.stack([lines.starts, lines.ends], axis=1)), axis=1)[:, 0] > 0
     for d in range(n):
         low, high = int(words.first[d]), int(words.first[d + 1])

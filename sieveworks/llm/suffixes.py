@@ -35,18 +35,24 @@ GRAM = 24
 BATCH_BYTES = 8 << 20
 #: Bytes of one text that are looked at together.
 PIECE = 1 << 20
+_LANES = tk.mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
 
 
-def keyed(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def keyed(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, tk.Prefix]:
     """Key of the string at each start, and the prefix hashes of data."""
-    c = tk.prefix_hashes(data)
+    c = tk.Prefix(data)
     if len(data) < width:
         return np.zeros(0, _U), c
-    _, down = tk.POWERS.upto(len(data))
+    # any mixture of the gram's bytes serves: what collides here is told apart later
+    eight = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
     n = len(data) - gram + 1
-    low = tk.mix((c[gram:] - c[:n]) * down[:n])
+    low = np.zeros(n, _U)
+    for i, at in enumerate([*range(0, gram - 8, 8), gram - 8]):
+        low += eight[at : at + n] * _LANES[i % len(_LANES)]
+        low ^= low >> _U(29)
+    low = tk.mix(low)
     span, have = width - gram + 1, 1
     while 2 * have <= span:
         low = np.minimum(low[:-have], low[have:])
@@ -88,8 +94,7 @@ class Runs:
         last = np.flatnonzero(closed)
         self.key = keys[begin]
         self.text = np.array([p[0] for p in parts])[np.searchsorted([p[1] - low for p in parts], begin, "right") - 1]
-        _, down = tk.POWERS.upto(high - low)
-        self.hash = tk.mix((c[last + width] - c[begin]) * down[begin] + _U(1))
+        self.hash = c.of(begin, last + width)
         self.begin, self.last = begin + low, last + low
 
 
@@ -100,8 +105,7 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, group: np.ndarray, width
     its rank in the run beside its own by binary search.
     """
     n = len(starts)
-    c = tk.prefix_hashes(data)
-    _, down = tk.POWERS.upto(len(data))
+    c = tk.Prefix(data)
 
     def extension(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Common bytes of the suffixes at i and j, at most width."""
@@ -110,8 +114,10 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, group: np.ndarray, width
             more = lcp + step
             fits = np.flatnonzero(more <= width)
             a, b, m = i[fits], j[fits], more[fits]
-            same = (c[a + m] - c[a]) * down[a] == (c[b + m] - c[b]) * down[b]
-            lcp[fits[same]] = m[same]
+            same = np.flatnonzero(c.half(0, a, a + m) == c.half(0, b, b + m))
+            a, b, m = a[same], b[same], m[same]
+            good = c.half(1, a, a + m) == c.half(1, b, b + m)
+            lcp[fits[same[good]]] = m[good]
             step >>= 1
         return lcp
 
@@ -331,9 +337,7 @@ def _decide(width: int):
         rows: list[tuple[int, int, int, int, int]] = []
         keys = []
         sizes = np.cumsum([0, *(len(b) for b in of)])
-        c = tk.prefix_hashes(np.frombuffer(b"".join(of), np.uint8))
-        _, down = tk.POWERS.upto(int(sizes[-1]))
-        prints = tk.mix((c[sizes[1:]] - c[sizes[:-1]]) * down[sizes[:-1]] + _U(1))
+        prints = tk.Prefix(np.frombuffer(b"".join(of), np.uint8)).of(sizes[:-1], sizes[1:])
         for i, (block, (key, doc, more, batches)) in enumerate(of.items()):
             keys.append(key)
             found = least.get(block)

@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
+#: Strings are hashed as polynomials modulo this prime, at two fixed points that were drawn once.
+PRIME = (1 << 31) - 1
+_POINTS = (1_290_472_953, 1_837_110_379)
+_P, _HALF = U64(PRIME), U64(31)
 
 
 def _table(separators) -> np.ndarray:
@@ -37,11 +39,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, or a few above it."""
+    x = (x & _P) + (x >> _HALF)
+    return (x & _P) + (x >> _HALF)
+
+
 class Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of the points and of their inverses modulo the prime, grown on demand."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=U64)
+        self.tables = [np.ones(1, np.uint32)] * 4
 
     def __getstate__(self) -> dict:
         return {}
@@ -49,25 +57,64 @@ class Powers:
     def __setstate__(self, state: dict) -> None:
         self.__init__()
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n + 1:
+    def upto(self, n: int) -> list[np.ndarray]:
+        """First point, its inverse, second point, its inverse: powers 0 to n at least."""
+        if len(self.tables[0]) < n + 1:
             size = max(n + 1, 1 << 20)
-            for name, base in (("up", _R), ("down", _R_INV)):
-                powers = np.full(size, U64(base), dtype=U64)
-                powers[0] = 1
-                setattr(self, name, np.multiply.accumulate(powers))
-        return self.up, self.down
+            bases = [x for point in _POINTS for x in (point, pow(point, -1, PRIME))]
+            for i, base in enumerate(bases):
+                powers = np.ones(size, np.uint32)
+                have = 1
+                while have < size:
+                    more = min(have, size - have)
+                    powers[have : have + more] = powers[:more].astype(U64) * U64(pow(base, have, PRIME)) % _P
+                    have += more
+                self.tables[i] = powers
+        return self.tables
 
 
 POWERS = Powers()
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """C with (C[e] - C[s]) * base**-s as the hash of data[s:e]."""
-    up, _ = POWERS.upto(len(data))
-    out = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=out[1:])
-    return out
+class Prefix:
+    """Hashes of all strings in a run of bytes, or of symbols, from sums over its prefixes.
+
+    A modulus of 2**64 would be quicker, but there are short words that collide under
+    every odd base; modulo a prime only chance is left.
+    """
+
+    def __init__(self, data: np.ndarray) -> None:
+        n = len(data)
+        tables = POWERS.upto(n)
+        self.down = tables[1], tables[3]
+        plain = data.dtype == np.uint8
+        self.raw = plain and n <= 1 << 24  # sums below 2**63 ascend and are reduced where they are used
+        symbols = (data, data) if plain else (data & _P, data >> U64(33))
+        self.sums = []
+        for part, up in zip(symbols, tables[::2], strict=True):
+            out = np.zeros(n + 1, U64)
+            for low in range(0, n, 1 << 24):
+                high = min(n, low + (1 << 24))
+                terms = part[low:high].astype(U64)
+                terms += U64(1)
+                terms *= up[low:high]
+                np.cumsum(terms if plain else _folded(terms), out=out[low + 1 : high + 1])
+                if not self.raw:
+                    out[low + 1 : high + 1] = _folded(_folded(out[low + 1 : high + 1]) + out[low])
+            self.sums.append(out)
+
+    def half(self, i: int, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+        """The strings' values under one of the points."""
+        out = self.sums[i][ends] - self.sums[i][starts] if self.raw else self.sums[i][ends] + U64(2 * PRIME) - self.sums[i][starts]
+        out = _folded(out)
+        out *= self.down[i][starts]
+        out = _folded(out)
+        out[out >= _P] -= _P
+        return out
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15)
+        return mix((self.half(0, starts, ends) << _HALF | self.half(1, starts, ends)) + size)
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +164,7 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        c = prefix_hashes(self.data)
-        _, down = POWERS.upto(len(self.data))
-        return mix((c[self.ends] - c[self.starts]) * down[self.starts])
+        return Prefix(self.data).of(self.starts, self.ends)
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
