@@ -102,28 +102,36 @@ def linked(facts: DataFrame, words: int, differ: int, texts_of: Callable[[DataFr
     a token, differ in at most differ bits and agree; alike() decides on whole texts,
     which texts_of() gives as (node, text).
 
-    First all nodes with a token meet one of them, drawn anew for each token. Then only
-    nodes of different components meet, in blocks of bounded size, each pair at the
-    first token that both have; of a block come the links that join components, never
-    all pairs.
+    First all nodes with a token meet one of them, drawn anew for each token; a token of
+    two nodes is done with that. Of the others, nodes of different components meet, in
+    blocks of bounded size: of the token's largest component only blocks beside the rest
+    of its nodes, so that a large component with a few strays takes time linear in it. Of
+    a block come the links that join components, never all pairs.
     """
     close = _apart(words) <= differ
     close = close if agree is None else close & agree
-    posts = facts.select("node", F.explode("tokens").alias("token"))
-    leads = posts.groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token")).alias("lead"))
-    near = posts.join(leads, "token").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    # one exchange for all that goes by token
+    posts = facts.select("node", F.explode("tokens").alias("token")).repartition("token")
+    leads = posts.groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token")).alias("lead"), F.count("*").alias("n"))
+    near = posts.join(leads.where("n > 1"), "token").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     near = scratch.table(near.join(_sided(facts, "a", "a"), "a").join(_sided(facts, "b", "b"), "b").where(close).select("a", "b"))
     texts = texts_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     both = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     links = scratch.table(both.select("a", "b", "x", "y").mapInArrow(_confirmed(prepare, alike), "a long, b long"))
 
     found = graph.components(links)
-    placed = scratch.table(facts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    rest = [c for c in placed.columns if c != "node"]
-    listed = placed.select("node", F.explode("tokens").alias("token"), *rest)
-    mixed = listed.select("token", "component").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-    blocks = listed.join(mixed.select("token", F.ceil(F.col("n") / BLOCK).alias("parts")), "token").withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
-    blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+    many = posts.join(leads.where("n > 2").select("token"), "token")
+    placed = scratch.table(many.join(found, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component")))
+    sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("big"), F.sum("size").alias("n")).where("n > big.size")
+    mixed = mixed.select("token", F.col("big.component").alias("big"), F.ceil((F.col("n") - F.col("big.size")) / BLOCK).alias("small_parts"), F.ceil(F.col("big.size") / BLOCK).alias("big_parts"))
+    listed = placed.join(mixed, "token").withColumn("rest", F.col("component") != F.col("big"))
+    # parts of the rest count up from 0, those of the largest component down from -1
+    own = F.when(F.col("rest"), F.pmod(F.xxhash64("node"), "small_parts")).otherwise(-1 - F.pmod(F.xxhash64("node"), "big_parts"))
+    other = F.when(F.col("rest"), F.expr("sequence(-big_parts, small_parts - 1)")).otherwise(F.expr("sequence(0L, small_parts - 1)"))
+    blocks = listed.withColumn("own", own).withColumn("other", F.explode(other)).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+    blocks = blocks.select("token", "p", "q", "node", "own", "component").join(facts.select("node", "tokens", *(c for c in facts.columns if c not in ("node", "tokens"))), "node")
+    rest = ["component", *(c for c in facts.columns if c != "node")]
     x, y = (blocks.select("token", "p", "q", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "own", *rest))) for side in "ab")
     once = F.array_intersect("tokens_a", "tokens_b")[0] == F.col("x.token")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("token", "p", "q")]

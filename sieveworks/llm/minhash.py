@@ -27,12 +27,12 @@ from sieveworks.llm import textkit as tk
 
 SHINGLE = 5
 SIMILARITY = 0.75
-COORDINATES = 32
-#: Of 32 coordinates, a pair at similarity 0.75 agrees in 24 on average and in 15 or fewer once in 2,000.
-MATCHES = 16
-#: One-bit coordinates of the sketch; two sets at similarity 0.75 differ in 64 of them on average, in more than 92 once in 10,000.
+COORDINATES = 64
+#: Of 64 coordinates, a pair at similarity 0.75 agrees in 48 on average and in 29 or fewer once in 2.6 million.
+MATCHES = 30
+#: One-bit coordinates of the sketch; two sets at similarity 0.75 differ in 64 of them on average, in more than 104 once in 4.3 million.
 BITS = 512
-DIFFER = 92
+DIFFER = 104
 #: Identifiers sent to every executor at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
