@@ -1,11 +1,15 @@
-"""Fuzzy line dedup: MinHash bands of character and word grams, edit similarity, connected groups.
+"""Fuzzy line dedup: SimHash of quarter lines, joined on pigeonhole blocks, edit similarity, connected groups.
 
 Lines are compared in a normal form (letters A-Z folded, digits as 0, runs of other ASCII
-signs as one blank). Forms of fewer than TINY letters meet exactly, by pieces of which an
-edit spares one. Longer ones meet in bands of minimum hashes, in tiers by length that
-overlap so far that any two forms of edit similarity 0.75 have a tier in common: grams of
-four bytes in short lines, pairs of neighbouring words in long ones. Pairs are verified
-by edit distance, and of each connected group the first occurrence stays.
+signs as one blank). A form of seven words or more is cut into four blocks of equal
+numbers of words, two from its start and two from its end, and each block has a SimHash
+of its own. Two forms whose edits lie in two of the blocks agree in the other two, so
+they meet in one of six pairs of blocks. SimHash blocks cannot find edits that are spread
+over all four; forms of SPREAD words or more therefore also meet in bands of minimum
+hashes of neighbouring words. Forms of eight words or fewer meet without one of their
+words, and in their halves; tiny ones by exact pieces. Candidates are held apart by the
+SimHash of the whole line, pairs are verified by edit distance, and of each connected
+group the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -21,21 +25,34 @@ from sieveworks.llm import graph, linking, scratch
 from sieveworks.llm import textkit as tk
 from sieveworks.llm.minhash import only
 
-#: Of the 64 sketch bits of a candidate; similar lines with half of their grams in common differ in 16.
-DIFFER = 30
+#: Of the 64 bits of the lines' SimHashes; lines with half of their words in common differ in 21, lines of chance in 29 or more.
+DIFFER = 32
 SIMILARITY = 0.75
-#: Forms of fewer letters meet by exact pieces.
-TINY = 16
-BANDS = 24
-#: Minimum hashes in a band, by tier: grams of forms below 64 letters, of those below 134, word pairs from 100 on.
-_IN_BAND = {1: 2, 2: 3, 3: 3}
-_SEEDS = tk.mix(np.arange(1, 73, dtype=np.uint64)) | np.uint64(1)
+#: Forms of fewer letters meet by exact pieces; those of MEETING letters and more meet as longer ones do, too.
+TINY, MEETING = 16, 12
+#: Words up to which forms meet without one of them, and from which they have quarters and bands.
+FEW, QUARTERS, SPREAD = 8, 7, 16
+BITS, BLOCK_BITS = 64, 32
+BANDS, IN_BAND = 6, 4
+_SEEDS = tk.mix(np.arange(1, 1 + max(BITS, BANDS * IN_BAND), dtype=np.uint64)) | np.uint64(1)
+_K = np.uint64(0xD6E8FEB86659FD93)
 _NOT_NEWLINE = tk._table([(0x0A, 0x0A)])
 _NORMAL = tk.FOLD.copy()
 _NORMAL[49:58] = 48
 LAST = 2**63 - 1
 
 
+def _steps(last: int, factor: float) -> np.ndarray:
+    """0, 1, 2 and on in steps that grow by the factor."""
+    out = [0]
+    while out[-1] < last:
+        out.append(max(out[-1] + 1, int(out[-1] * factor)))
+    return np.array(out)
+
+
+_WORD_STEPS, _BYTE_STEPS = _steps(1 << 40, 1.2), _steps(1 << 40, 1.25)
+
+
 def _line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start of each line, index of each text's first line, number of the line in its text."""
     marks = np.flatnonzero(data == 10) + 1
@@ -48,107 +65,143 @@ def _line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, first, np.arange(len(starts)) - first[texts]
 
 
-def tiers(letters: np.ndarray, count: np.ndarray) -> dict[int, np.ndarray]:
-    """Which forms belong to each tier, by letters and words; beyond 100 letters forms of very long words have grams of bytes too."""
-    return {1: (letters >= 12) & (letters < 64), 2: (letters >= 48) & ((letters < 134) | (letters > 10 * count)), 3: (letters >= 100) & (letters <= 24 * count)}
-
-
-def _grams(words: tk.Words, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of four bytes of some lines, each word with a blank behind it, and where those of each line begin."""
-    of = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    size = words.ends[of] - words.starts[of] + 1
-    ends = np.cumsum(size)
-    at = np.repeat(words.starts[of] - ends + size, size) + np.arange(ends[-1])
-    at[ends - 1] = 0
-    raw = words.data[at]
-    raw[ends - 1] = 32
-    raw = raw.astype(np.uint64)
-    last = np.cumsum(count) - 1
-    n = np.diff(np.append(0, ends[last])) - 3
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    at = np.repeat(ends[last] - n - 3 - first, n) + np.arange(n.sum())
-    return tk.mix(raw[at] | raw[at + 1] << np.uint64(8) | raw[at + 2] << np.uint64(16) | raw[at + 3] << np.uint64(24)), first
-
-
-def _pairs(hashes: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of neighbouring words of some lines, with the first and the last word alone."""
-    n = count + 1
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    at = np.repeat(begin - first, n) + np.arange(n.sum())
-    left, right = hashes[at - 1], hashes[np.minimum(at, len(hashes) - 1)]
-    left[first] = 1
-    right[first + count] = 2
-    return tk.mix(left * np.uint64(0xD6E8FEB86659FD93) + right), first
-
-
-def _signed(features: np.ndarray, first: np.ndarray, tier: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each line a token for each band, and a sketch of one bit of 64 minimum hashes."""
-    rows = _IN_BAND[tier]
-    tokens, bits = np.zeros((len(first), BANDS), np.uint64), np.zeros((len(first), 64), np.uint8)
-    for i in range(max(64, BANDS * rows)):
-        least = tk.mix(np.minimum.reduceat(features * _SEEDS[i], first))
-        if i < 64:
-            bits[:, i] = least >> np.uint64(63)
-        if i < BANDS * rows:
-            tokens[:, i // rows] = tk.mix(tokens[:, i // rows] + least)
-    low = np.arange(BANDS, dtype=np.uint64) << np.uint64(2) | np.uint64(tier)
-    return tokens & ~np.uint64(127) | low, np.packbits(bits, axis=1).view(np.uint64)[:, 0]
-
-
-def hashed_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the lines with words: text, number in it, hash of the normal form (its low bits are 0), letters, words, and by tier (lines, tokens, sketches)."""
-    starts, first, number = _line_starts(data, offsets)
-    words = tk.Words(_NORMAL[data], offsets, tk.ALNUM_WORDS)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    # of lines that start at one byte, all but the last are empty
-    of_word = np.searchsorted(starts, words.starts, "right") - 1
-    begin = np.flatnonzero(np.append(True, np.diff(of_word) > 0)) if len(of_word) else np.zeros(0, np.int64)
-    line = of_word[begin]
-    count = np.diff(np.append(begin, len(of_word)))
-    hashes = words.hashes()
-    up, down = tk.POWERS.upto(len(hashes))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
-    ends = begin + count
-    normal = tk.mix((total[ends] - total[begin]) * down[begin] + count.astype(np.uint64)) & ~np.uint64(3)
-    points = tk.code_points(data)
-    total = np.concatenate([[0], np.cumsum(points[words.ends] - points[words.starts])])
-    letters = total[ends] - total[begin] + count - 1
-    signed = {}
-    for tier, member in tiers(letters, count).items():
-        at = np.flatnonzero(member)
-        if len(at):
-            found = _pairs(hashes, begin[at], count[at]) if tier == 3 else _grams(words, begin[at], count[at])
-            signed[tier] = (at, *_signed(*found, tier))
-    return text[line], number[line], normal, letters, count, signed
+class Lines:
+    """The lines with words of some texts: text, number in it, words, letters of the normal form, its hash in two halves."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        starts, first, number = _line_starts(data, offsets)
+        words = self.words = tk.Words(_NORMAL[data], offsets, tk.ALNUM_WORDS)
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        # of lines that start at one byte, all but the last are empty
+        of_word = np.searchsorted(starts, words.starts, "right") - 1
+        self.begin = np.flatnonzero(np.append(True, np.diff(of_word) > 0)) if len(of_word) else np.zeros(0, np.int64)
+        line = of_word[self.begin]
+        self.text, self.number = text[line], number[line]
+        self.count = np.diff(np.append(self.begin, len(of_word)))
+        self.hashes = words.hashes()
+        ends = self.begin + self.count
+        self.high, self.low = tk.Prefix(self.hashes).of(self.begin, ends), tk.Prefix(self.hashes * _K ^ self.hashes >> np.uint64(23)).of(self.begin, ends)
+        points = tk.code_points(data)
+        total = np.concatenate([[0], np.cumsum(points[words.ends] - points[words.starts])])
+        self.letters = total[ends] - total[self.begin] + self.count - 1
+
+    def form(self, i: int) -> str:
+        a, b = int(self.begin[i]), int(self.begin[i] + self.count[i])
+        return b" ".join(self.words.data[x:y].tobytes() for x, y in zip(self.words.starts[a:b], self.words.ends[a:b], strict=True)).decode("utf-8", "replace")
+
+    def simhashes(self, starts: list[np.ndarray], ends: list[np.ndarray], bits: int) -> list[np.ndarray]:
+        """SimHashes of several runs of words: each bit is the sign of a sum of the words' numbers between -1 and 1."""
+        out = [np.zeros(len(s), np.uint64) for s in starts]
+        total = np.zeros(len(self.hashes) + 1, np.int64)
+        for b in range(bits):
+            np.cumsum((self.hashes * _SEEDS[b]).view(np.int64) >> 32, out=total[1:])
+            for x, s, e in zip(out, starts, ends, strict=True):
+                x |= (total[e] > total[s]).astype(np.uint64) << np.uint64(b)
+        return out
+
+    def sketches(self) -> np.ndarray:
+        return self.simhashes([self.begin], [self.begin + self.count], BITS)[0]
+
+    def quarters(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, token) of each pair of blocks; a form that is one word short of a longer step has the tokens of that, too."""
+        step = lambda c: _WORD_STEPS[np.searchsorted(_WORD_STEPS, c // 4, "right") - 1]
+        now, next_ = step(self.count), step(self.count + 1)
+        some, more = np.flatnonzero((self.count >= QUARTERS) & (now > 1)), np.flatnonzero((self.count >= QUARTERS) & (next_ > np.maximum(now, 1)))
+        line, size = np.concatenate([some, more]), np.concatenate([now[some], next_[more]])
+        low, high = self.begin[line], self.begin[line] + self.count[line]
+        starts = [low, low + size, high - 2 * size, high - size]
+        parts = self.simhashes(starts, [s + size for s in starts], BLOCK_BITS)
+        base = tk.mix(size.astype(np.uint64))
+        tokens = [tk.mix((base + (parts[i] << np.uint64(32) | parts[j])) * _SEEDS[4 * i + j]) for i in range(4) for j in range(i + 1, 4)]
+        return np.tile(line, 6), np.concatenate(tokens)
+
+    def bands(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, token) of each band of minimum hashes over neighbouring words, the ends of the line included."""
+        line = np.flatnonzero(self.count >= SPREAD)
+        if not len(line):
+            return line, np.zeros(0, np.uint64)
+        n = self.count[line] + 1
+        first = np.concatenate([[0], np.cumsum(n)[:-1]])
+        at = np.repeat(self.begin[line] - first, n) + np.arange(n.sum())
+        left, right = self.hashes[at - 1], self.hashes[np.minimum(at, len(self.hashes) - 1)]
+        left[first], right[first + n - 1] = 1, 2
+        pairs = tk.mix(left * _K + right)
+        tokens = []
+        for band in range(BANDS):
+            token = np.full(len(line), band + 1, np.uint64)
+            for i in range(band * IN_BAND, (band + 1) * IN_BAND):
+                token = tk.mix(token * _K + np.minimum.reduceat(pairs * _SEEDS[i], first))
+            tokens.append(token)
+        return np.tile(line, BANDS), np.concatenate(tokens)
+
+    def shorter(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, token) of forms of few words: whole, without each one of the words, and by halves of their bytes."""
+        lines, tokens = [], []
+        for c in range(1, FEW + 1):
+            line = np.flatnonzero((self.count == c) & (self.letters >= MEETING))
+            if not len(line):
+                continue
+            words = self.hashes[self.begin[line][:, None] + np.arange(c)]
+            for left_out in range(-1, c if c > 2 else 0):
+                token = np.full(len(line), 99, np.uint64)
+                for i in range(c):
+                    if i != left_out:
+                        token = tk.mix(token * _K + words[:, i])
+                lines.append(line)
+                tokens.append(token)
+        few = np.flatnonzero((self.count <= FEW) & (self.letters >= MEETING))
+        if len(few):
+            # the bytes of these lines' words, one after the other
+            n = self.count[few]
+            of = np.repeat(self.begin[few] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            size = self.words.ends[of] - self.words.starts[of]
+            upto = np.cumsum(size)
+            raw = self.words.data[np.repeat(self.words.starts[of] - upto + size, size) + np.arange(upto[-1])]
+            ends = upto[np.cumsum(n) - 1]
+            starts = np.concatenate([[0], ends[:-1]])
+            prefix = tk.Prefix(raw)
+            level = np.searchsorted(_BYTE_STEPS, (ends - starts) // 2, "right") - 1
+            for down in (0, 1):
+                half = _BYTE_STEPS[np.maximum(level - down, 1)]
+                for i, (s, e) in enumerate(((starts, starts + half), (ends - half, ends))):
+                    lines.append(few)
+                    tokens.append(tk.mix(prefix.of(s, e) + np.uint64(i + 1)))
+        return (np.concatenate(lines), np.concatenate(tokens)) if lines else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each line's tokens begin, and all tokens; tokens of 48 bits are apart enough."""
+        line, token = (np.concatenate(x) for x in zip(self.quarters(), self.bands(), self.shorter(), strict=True))
+        token = token >> np.uint64(16)
+        order = np.lexsort((token, line))
+        line, token = line[order], token[order]
+        new = np.append(True, (line[1:] != line[:-1]) | (token[1:] != token[:-1])) if len(line) else np.zeros(0, bool)
+        return np.searchsorted(line[new], np.arange(len(self.begin) + 1)), token[new]
 
 
 def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text the numbers and hashes of its lines."""
     for batch in batches:
         data, offsets = tk.buffers(batch.column(2))
         for low, high, part, at in tk.chunks(data, offsets, 1 << 18):
-            text, number, normal, *_ = hashed_lines(part, at)
-            where = pa.array(np.searchsorted(text, np.arange(high - low + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(where, pa.array(x)) for x in (number.astype(np.int32), normal.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(np.diff(where.to_numpy()), pa.int64()), *lists], ["doc_id", "row", "n_lines", "number", "normal"])
+            lines = Lines(part, at)
+            where = pa.array(np.searchsorted(lines.text, np.arange(high - low + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(where, pa.array(x)) for x in (lines.number.astype(np.int32), lines.high.view(np.int64), lines.low.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(np.diff(where.to_numpy()), pa.int64()), *lists], ["doc", "row", "n_lines", "number", "high", "low"])
 
 
-def signatures(forms: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Tier, and of its forms the indices, tokens and sketches."""
-    data, offsets = tk.buffers(pa.array(forms, pa.string()))
-    text, _, _, _, _, signed = hashed_lines(data, offsets)
-    for tier, (at, tokens, sketch) in signed.items():
-        yield tier, text[at], tokens, sketch
-
-
-def _tokened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each distinct form a row for each of its tiers, which the low bits of the node give; tiny forms come as they are."""
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each line its place, tokens and sketch; tiny forms come as they are."""
     for batch in batches:
-        nodes, forms = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        tiny = [i for i, x in enumerate(forms) if len(x) < TINY]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[tiny], pa.int64()), pa.array([[]] * len(tiny), pa.list_(pa.int64())), pa.array([0] * len(tiny), pa.int64()), pa.array([forms[i] for i in tiny], pa.string())], ["node", "tokens", "sketch", "form"])
-        for tier, at, tokens, sketch in signatures(forms):
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tokens.size + 1, BANDS), pa.int32()), pa.array(tokens.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[at] | tier), lists, pa.array(sketch.view(np.int64)), pa.nulls(len(at), pa.string())], ["node", "tokens", "sketch", "form"])
+        data, offsets = tk.buffers(batch.column(2))
+        doc, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for low, _, part, at in tk.chunks(data, offsets, 1 << 18):
+            lines = Lines(part, at)
+            where, tokens = lines.tokens()
+            lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(tokens.view(np.int64)))
+            tiny = set(np.flatnonzero(lines.letters < TINY).tolist())
+            forms = pa.array([lines.form(i) if i in tiny else None for i in range(len(lines.begin))], pa.string())
+            text = lines.text + low
+            yield pa.RecordBatch.from_arrays([pa.array(lines.high.view(np.int64)), pa.array(lines.low.view(np.int64)), pa.array(doc[text]), pa.array(row[text]), pa.array(lines.number, pa.int32()), lists, pa.array(lines.sketches().view(np.int64)), forms], ["high", "low", "doc", "row", "number", "tokens", "sketch", "form"])
 
 
 def _cut(size: int, pieces: int) -> list[tuple[int, int]]:
@@ -186,12 +239,6 @@ def tiny_links(tiny: DataFrame, similarity: float) -> DataFrame:
     return x.alias("x").join(y.alias("y"), near).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
 
-def normal_form(line: bytes) -> str:
-    raw = _NORMAL[np.frombuffer(line, np.uint8)]
-    words = tk.Words(raw, np.array([0, len(raw)]), tk.ALNUM_WORDS)
-    return b" ".join(raw[a:b].tobytes() for a, b in zip(words.starts, words.ends, strict=True)).decode("utf-8", "replace")
-
-
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance by bit vectors over the letters of a."""
     if not a or not b:
@@ -211,6 +258,18 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """a and b without their common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return a[low:], b[low:]
+
+
 class Alike:
     """Whether the edit distance of two normal forms is small enough."""
 
@@ -218,8 +277,12 @@ class Alike:
         self.share = 1 - similarity
 
     def __call__(self, a: str, b: str) -> bool:
-        most = self.share * max(len(a), len(b))
-        return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+        most = self.share * max(len(a), len(b)) + 1e-9
+        if abs(len(a) - len(b)) > most:
+            return False
+        a, b = _trimmed(a, b)
+        a, b = (x[::-1] for x in _trimmed(a[::-1], b[::-1]))
+        return max(len(a), len(b)) <= most or edit_distance(a, b) <= most
 
 
 def _as_it_is(form: str) -> str:
@@ -227,55 +290,51 @@ def _as_it_is(form: str) -> str:
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forms of the lines that are wanted of each text."""
     for batch in batches:
-        nodes, forms = [], []
-        for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            lines = text.encode().split(b"\n")
-            for node, number in {(w["node"], w["number"]) for w in wanted}:
-                nodes.append(node)
-                forms.append(normal_form(lines[number]))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(forms, pa.string())], ["node", "text"])
+        data, offsets = tk.buffers(batch.column(1))
+        wanted = batch.column(0).to_pylist()
+        for low, high, part, at in tk.chunks(data, offsets, 1 << 18):
+            lines = Lines(part, at)
+            of = {(t + low, n): i for i, (t, n) in enumerate(zip(lines.text.tolist(), lines.number.tolist(), strict=True))}
+            asked = {w["node"]: of[t, w["number"]] for t in range(low, high) for w in wanted[t]}
+            yield pa.RecordBatch.from_arrays([pa.array(list(asked), pa.int64()), pa.array([lines.form(i) for i in asked.values()], pa.string())], ["node", "text"])
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: doc_id, n_lines (with words), removed (numbers of lines that repeat, from 0).
+    """One row per row of docs: doc_id, n_lines (with words), removed (numbers of lines that repeat, from 0), row.
 
     The first occurrence of a group, by doc_id (null last) and number, stays. Lines without
     words are never removed; null or empty texts have no lines. Rows of one id and text
     are one document. Only doc_id and text are read. cleaned() gives the texts. similarity is 0.75 or more.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"))
-    rows = scratch.table(thin.mapInArrow(_lined, "doc_id long, row long, n_lines long, number array<int>, normal array<long>"))
-    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("row"), F.col("x.number").alias("number"))
-    lines = rows.select("doc_id", "row", F.explode(F.arrays_zip("number", "normal")).alias("x")).select(F.col("x.normal").alias("node"), place.alias("place"))
-    nodes = scratch.table(lines.groupBy("node").agg(F.min("place").alias("place"), F.count("*").alias("n")))
-
-    def forms_of(wanted: DataFrame) -> DataFrame:
-        places = scratch.table(wanted.groupBy(F.col("place.row").alias("row")).agg(F.collect_list(F.struct("node", F.col("place.number").alias("number"))).alias("wanted")))
-        texts = only(thin, places.select("row"), "row").dropDuplicates(["row"]).join(places, "row").select("wanted", "text")
-        return texts.mapInArrow(_picked, "node long, text string")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    thin = docs.select(doc.alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"))
+    rows = scratch.table(thin.mapInArrow(_lined, "doc long, row long, n_lines long, number array<int>, high array<long>, low array<long>"))
+    signed = thin.mapInArrow(_signed, "high long, low long, doc long, row long, number int, tokens array<long>, sketch long, form string")
+    distinct = signed.groupBy("high", "low").agg(F.min(F.struct("doc", "row", "number")).alias("place"), F.count("*").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"), F.first("form").alias("form"))
+    # forms get numbers once they are stored; their hashes of 124 bits tell them apart
+    nodes = scratch.table(distinct).withColumn("node", F.monotonically_increasing_id())
+    nodes = scratch.table(nodes)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        asked = wanted.select(F.col("node").alias("asked"), F.col("node").bitwiseAND(-4).alias("node")).distinct()
-        forms = forms_of(nodes.join(asked.select("node").distinct(), "node"))
-        return scratch.table(forms.join(asked, "node").select(F.col("asked").alias("node"), "text"))
-
-    signed = scratch.table(forms_of(nodes).mapInArrow(_tokened, "node long, tokens array<long>, sketch long, form string"))
-    wide = signed.where("form IS NULL")
-    posts = wide.select("node", "sketch", F.explode("tokens").alias("token"))
-    # most lines that share a token do so by chance; a semi-join keeps those with a close line, one row for each post at most
-    near = F.expr(f"x.token = y.token AND x.node <> y.node AND bit_count(x.sketch ^ y.sketch) <= {DIFFER}")
-    alive = posts.alias("x").join(posts.alias("y"), near, "left_semi").select("node").distinct()
-    facts = scratch.table(wide.join(alive, "node", "left_semi").select("node", "tokens", F.array("sketch").alias("sketch")))
-
-    links = linking.linked(facts, 1, DIFFER, texts_of, _as_it_is, Alike(similarity)).select(F.col("a").bitwiseAND(-4).alias("a"), F.col("b").bitwiseAND(-4).alias("b"))
-    found = graph.components(scratch.table(links.union(tiny_links(signed.where("form IS NOT NULL"), similarity))))
-    grouped = nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).select("node", "group", "place", "n")
+        places = nodes.select("node", "place").join(wanted, "node", "left_semi")
+        places = scratch.table(places.groupBy("place.doc", "place.row").agg(F.collect_list(F.struct("node", F.col("place.number").alias("number"))).alias("wanted")))
+        texts = only(thin, places.select("row"), "row").dropDuplicates(["doc", "row"]).join(places, ["doc", "row"]).select("wanted", "text")
+        return scratch.table(texts.mapInArrow(_picked, "node long, text string"))
+
+    facts = nodes.where("size(tokens) > 0").select("node", "tokens", F.array("sketch").alias("sketch"))
+    links = linking.linked(facts, 1, DIFFER, texts_of, _as_it_is, Alike(similarity))
+    found = graph.components(scratch.table(links.union(tiny_links(nodes.where("form IS NOT NULL"), similarity))))
+    grouped = nodes.select("high", "low", "node", "place", "n").join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
     stay = grouped.groupBy("group").agg(F.min("place").alias("stay"), F.sum("n").alias("n")).where("n > 1")
-    repeats = grouped.select("node", "group").join(stay.select("group", "stay"), "group").select("node", "stay")
-    gone = lines.select("node", "place").join(repeats, "node").where("place <> stay").groupBy(F.col("place.row").alias("row")).agg(F.array_sort(F.collect_set("place.number")).alias("removed"))
-    return rows.select("doc_id", "row", "n_lines").join(gone, "row", "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "row")
+    repeats = grouped.select("high", "low", "group").join(stay.select("group", "stay"), "group").select("high", "low", "stay")
+    place = F.struct("doc", "row", F.col("x.number").alias("number"))
+    lines = rows.select("doc", "row", F.explode(F.arrays_zip("number", "high", "low")).alias("x")).select("doc", "row", F.col("x.high").alias("high"), F.col("x.low").alias("low"), place.alias("place"))
+    gone = lines.join(repeats, ["high", "low"]).where("place <> stay").groupBy("doc", "row").agg(F.array_sort(F.collect_set("place.number")).alias("removed"))
+    out = rows.select("doc", "row", "n_lines").join(gone, ["doc", "row"], "left")
+    return out.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "row")
 
 
 def cleaned(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -59,6 +59,27 @@ def arrow(parts):
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
 
 
+def test_hashes_of_words_that_defeat_wrapping_ones():
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = one.translate({97: 98, 98: 97})
+    data, offsets = arrow([f"{one} {other}", f"{one}\n{other}"])
+    assert len(np.unique(textkit.Words(data, offsets, textkit.BLANK_WORDS).hashes())) == 2
+    assert quality.counts(data, offsets)[1, quality.COUNTS.index("n_dup_lines")] == 0
+    symbols = np.array([[7, 9][bin(i).count("1") & 1] for i in range(4096)], np.uint64)
+    whole = textkit.Prefix(np.concatenate([symbols, np.uint64(16) - symbols]))
+    assert len(np.unique(whole.of(np.array([0, 4096]), np.array([4096, 8192])))) == 2
+
+
+def test_prefix_hashes_of_long_data():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, (1 << 24) + 5000).astype(np.uint8)
+    at = np.array([5, (1 << 24) - 40, (1 << 24) - 4])
+    data[at[1] : at[1] + 90] = data[at[0] : at[0] + 90]
+    got = textkit.Prefix(data).of(at, at + 90)
+    short = textkit.Prefix(data[at[0] : at[0] + 90].copy()).of(np.array([0]), np.array([90]))
+    assert got[0] == got[1] == short[0] != got[2]
+
+
 def test_words_of_neighbouring_texts():
     data, offsets = arrow(["ab c", "d", "", "é f"])
     words = textkit.Words(data, offsets, textkit.BLANK_WORDS)
@@ -353,6 +374,57 @@ def test_fuzzy_lines_recall(spark):
     assert len(missed) <= 0.02 * len(pairs), [(forms[a], forms[b]) for a, b in missed]
 
 
+@pytest.mark.parametrize("words", [5, 8, 12, 20, 40])
+def test_fuzzy_lines_find_one_edit(spark, words):
+    """One word replaced, or one letter changed, dropped or put in: all that the verifier accepts meet."""
+    rng = np.random.default_rng(words)
+    letters = list("abcdefghijklmnoprstuvwxy")
+    make = lambda: "".join(rng.choice(letters, size=int(rng.integers(2, 9))))
+    forms = []
+    for i in range(300):
+        line = [make() for _ in range(words)]
+        at = int(rng.integers(words))
+        place = int(rng.integers(len(line[at])))
+        w = line[at]
+        new = (make(), w[:place] + "z" + w[place + 1 :], w[:place] + w[place + 1 :], w[:place] + "z" + w[place:])[i % 4]
+        forms += [" ".join(line), " ".join([*line[:at], new, *line[at + 1 :]])]
+    alike = fuzzylines.Alike(0.75)
+    pairs = [i for i in range(0, 600, 2) if alike(forms[i], forms[i + 1])]
+    docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    gone = {r.doc_id for r in fuzzylines.repeated_lines(docs).where("size(removed) > 0").collect()}
+    assert len(pairs) > 250 and len([i for i in pairs if i + 1 not in gone]) <= 0.02 * len(pairs)
+
+
+def by_components(forms, alike):
+    """Brute force over all pairs of forms; a bag of letters spares most edit distances."""
+    bags = np.zeros((len(forms), 256), np.int32)
+    for i, f in enumerate(forms):
+        np.add.at(bags[i], [ord(c) % 256 for c in f], 1)
+    size = np.array([len(f) for f in forms])
+    return [(i, int(j)) for i in range(len(forms)) for j in i + 1 + np.flatnonzero(np.maximum(size[i], size[i + 1 :]) * 0.25 >= np.abs(bags[i + 1 :] - bags[i]).sum(axis=1) / 2) if alike(forms[i], forms[j])]
+
+
+def test_fuzzy_lines_brute_force(spark, docs):
+    """Of the pairs of similar lines of a table, nine in ten are in one group; no group joins what pairs would not."""
+    signed = docs.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("row"), F.col("text")).orderBy("doc")
+    forms = {}
+    for r in signed.collect():
+        data, offsets = arrow([r.text or ""])
+        lines = fuzzylines.Lines(data, offsets)
+        for i, number in enumerate(lines.number.tolist()):
+            forms.setdefault(lines.form(i), []).append((r.doc, number))
+    found = {r.doc_id: set(r.removed) for r in fuzzylines.repeated_lines(docs).collect()}
+    names = list(forms)
+    pairs = by_components(names, fuzzylines.Alike(0.75))
+    hit = 0
+    for i, j in pairs:  # of two similar lines all but one occurrence go
+        places = sorted(forms[names[i]] + forms[names[j]])
+        hit += all(n in found[d] for d, n in places[1:])
+    assert len(pairs) > 40 and hit >= 0.9 * len(pairs), (hit, len(pairs))
+    alone = set(range(len(names))) - {x for p in pairs for x in p}
+    assert all(n not in found[d] for i in alone for d, n in sorted(forms[names[i]])[:1])
+
+
 def test_tiny_lines_brute_force(spark):
     rng = np.random.default_rng(6)
     forms = sorted({"".join(rng.choice(list("abc "), size=int(rng.integers(1, fuzzylines.TINY)))).strip() for _ in range(300)} - {""})
