@@ -14,6 +14,7 @@ group the first occurrence stays.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +26,16 @@ from sieveworks.llm import graph, linking, scratch
 from sieveworks.llm import textkit as tk
 from sieveworks.llm.minhash import only
 
-#: Of the 64 bits of the lines' SimHashes; lines with half of their words in common differ in 21, lines of chance in 29 or more.
-DIFFER = 32
+#: Of the 128 bits of the lines' SimHashes; lines that agree in two quarters differ in 32, in more than 52 once in three million.
+DIFFER = 52
 SIMILARITY = 0.75
 #: Forms of fewer letters meet by exact pieces; those of MEETING letters and more meet as longer ones do, too.
 TINY, MEETING = 16, 12
 #: Words up to which forms meet without one of them, and from which they have quarters and bands.
 FEW, QUARTERS, SPREAD = 8, 7, 16
-BITS, BLOCK_BITS = 64, 32
+BITS = 32
 BANDS, IN_BAND = 6, 4
-_SEEDS = tk.mix(np.arange(1, 1 + max(BITS, BANDS * IN_BAND), dtype=np.uint64)) | np.uint64(1)
+_SEEDS = tk.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _K = np.uint64(0xD6E8FEB86659FD93)
 _NOT_NEWLINE = tk._table([(0x0A, 0x0A)])
 _NORMAL = tk.FOLD.copy()
@@ -79,41 +80,49 @@ class Lines:
         self.text, self.number = text[line], number[line]
         self.count = np.diff(np.append(self.begin, len(of_word)))
         self.hashes = words.hashes()
-        ends = self.begin + self.count
-        self.high, self.low = tk.Prefix(self.hashes).of(self.begin, ends), tk.Prefix(self.hashes * _K ^ self.hashes >> np.uint64(23)).of(self.begin, ends)
-        points = tk.code_points(data)
-        total = np.concatenate([[0], np.cumsum(points[words.ends] - points[words.starts])])
-        self.letters = total[ends] - total[self.begin] + self.count - 1
+        self.high, self.low = (tk.runs_hashes(self.hashes, self.begin, self.count, seed) for seed in (1, 2))
+        self.raw = data
+
+    @functools.cached_property
+    def letters(self) -> np.ndarray:
+        points = tk.code_points(self.raw)
+        total = np.concatenate([[0], np.cumsum(points[self.words.ends] - points[self.words.starts])])
+        return total[self.begin + self.count] - total[self.begin] + self.count - 1
 
     def form(self, i: int) -> str:
         a, b = int(self.begin[i]), int(self.begin[i] + self.count[i])
         return b" ".join(self.words.data[x:y].tobytes() for x, y in zip(self.words.starts[a:b], self.words.ends[a:b], strict=True)).decode("utf-8", "replace")
 
-    def simhashes(self, starts: list[np.ndarray], ends: list[np.ndarray], bits: int) -> list[np.ndarray]:
-        """SimHashes of several runs of words: each bit is the sign of a sum of the words' numbers between -1 and 1."""
-        out = [np.zeros(len(s), np.uint64) for s in starts]
-        total = np.zeros(len(self.hashes) + 1, np.int64)
-        for b in range(bits):
-            np.cumsum((self.hashes * _SEEDS[b]).view(np.int64) >> 32, out=total[1:])
-            for x, s, e in zip(out, starts, ends, strict=True):
-                x |= (total[e] > total[s]).astype(np.uint64) << np.uint64(b)
+    def simhashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """SimHash of each run of words: a bit is the sign of a sum of numbers drawn for the words."""
+        out = np.zeros(len(starts), np.uint64)
+        total = np.zeros(len(self.hashes) + 1, np.int32)
+        for i in range(BITS):
+            if i % 8 == 0:
+                x = self.hashes * _SEEDS[i]
+                drawn = (x ^ x >> np.uint64(32)).view(np.int8).reshape(-1, 8)
+            np.cumsum(drawn[:, i % 8], dtype=np.int32, out=total[1:])
+            out |= (total[ends] > total[starts]).astype(np.uint64) << np.uint64(i)
         return out
 
-    def sketches(self) -> np.ndarray:
-        return self.simhashes([self.begin], [self.begin + self.count], BITS)[0]
+    def quarters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, token) of each pair of blocks, and every line's SimHash of four blocks, 0 where there are too few words.
 
-    def quarters(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line, token) of each pair of blocks; a form that is one word short of a longer step has the tokens of that, too."""
+        A form that is one word short of a longer step has the tokens of that, too.
+        """
         step = lambda c: _WORD_STEPS[np.searchsorted(_WORD_STEPS, c // 4, "right") - 1]
         now, next_ = step(self.count), step(self.count + 1)
-        some, more = np.flatnonzero((self.count >= QUARTERS) & (now > 1)), np.flatnonzero((self.count >= QUARTERS) & (next_ > np.maximum(now, 1)))
+        some, more = np.flatnonzero(now > 1), np.flatnonzero((self.count >= QUARTERS) & (next_ > np.maximum(now, 1)))
         line, size = np.concatenate([some, more]), np.concatenate([now[some], next_[more]])
         low, high = self.begin[line], self.begin[line] + self.count[line]
         starts = [low, low + size, high - 2 * size, high - size]
-        parts = self.simhashes(starts, [s + size for s in starts], BLOCK_BITS)
+        parts = self.simhashes(np.concatenate(starts), np.concatenate(starts) + np.tile(size, 4)).reshape(4, -1)
         base = tk.mix(size.astype(np.uint64))
         tokens = [tk.mix((base + (parts[i] << np.uint64(32) | parts[j])) * _SEEDS[4 * i + j]) for i in range(4) for j in range(i + 1, 4)]
-        return np.tile(line, 6), np.concatenate(tokens)
+        sketch = np.zeros((len(self.begin), 2), np.uint64)
+        for i in (0, 1):
+            sketch[some, i] = (parts[2 * i] << np.uint64(32) | parts[2 * i + 1])[: len(some)]
+        return np.tile(line, 6), np.concatenate(tokens), sketch
 
     def bands(self) -> tuple[np.ndarray, np.ndarray]:
         """(line, token) of each band of minimum hashes over neighbouring words, the ends of the line included."""
@@ -168,14 +177,12 @@ class Lines:
                     tokens.append(tk.mix(prefix.of(s, e) + np.uint64(i + 1)))
         return (np.concatenate(lines), np.concatenate(tokens)) if lines else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
-    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where each line's tokens begin, and all tokens; tokens of 48 bits are apart enough."""
-        line, token = (np.concatenate(x) for x in zip(self.quarters(), self.bands(), self.shorter(), strict=True))
-        token = token >> np.uint64(16)
-        order = np.lexsort((token, line))
-        line, token = line[order], token[order]
-        new = np.append(True, (line[1:] != line[:-1]) | (token[1:] != token[:-1])) if len(line) else np.zeros(0, bool)
-        return np.searchsorted(line[new], np.arange(len(self.begin) + 1)), token[new]
+    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each line's tokens begin, all tokens (48 bits keep them apart enough), and the lines' SimHashes."""
+        *quarters, sketch = self.quarters()
+        line, token = (np.concatenate(x) for x in zip(quarters, self.bands(), self.shorter(), strict=True))
+        order = np.argsort(line, kind="stable")
+        return np.searchsorted(line[order], np.arange(len(self.begin) + 1)), token[order] >> np.uint64(16), sketch
 
 
 def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,14 +201,15 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tk.buffers(batch.column(2))
         doc, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for low, _, part, at in tk.chunks(data, offsets, 1 << 18):
+        for low, _, part, at in tk.chunks(data, offsets, 1 << 19):
             lines = Lines(part, at)
-            where, tokens = lines.tokens()
+            where, tokens, sketch = lines.tokens()
             lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(tokens.view(np.int64)))
             tiny = set(np.flatnonzero(lines.letters < TINY).tolist())
             forms = pa.array([lines.form(i) if i in tiny else None for i in range(len(lines.begin))], pa.string())
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(0, sketch.size + 1, 2), pa.int32()), pa.array(sketch.view(np.int64).ravel()))
             text = lines.text + low
-            yield pa.RecordBatch.from_arrays([pa.array(lines.high.view(np.int64)), pa.array(lines.low.view(np.int64)), pa.array(doc[text]), pa.array(row[text]), pa.array(lines.number, pa.int32()), lists, pa.array(lines.sketches().view(np.int64)), forms], ["high", "low", "doc", "row", "number", "tokens", "sketch", "form"])
+            yield pa.RecordBatch.from_arrays([pa.array(lines.high.view(np.int64)), pa.array(lines.low.view(np.int64)), pa.array(doc[text]), pa.array(row[text]), pa.array(lines.number, pa.int32()), lists, sketches, forms], ["high", "low", "doc", "row", "number", "tokens", "sketch", "form"])
 
 
 def _cut(size: int, pieces: int) -> list[tuple[int, int]]:
@@ -239,8 +247,8 @@ def tiny_links(tiny: DataFrame, similarity: float) -> DataFrame:
     return x.alias("x").join(y.alias("y"), near).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by bit vectors over the letters of a."""
+def edit_distance(a: str, b: str, most: float | None = None) -> int:
+    """Levenshtein distance by bit vectors over the letters of a; where it exceeds most, some number beyond that."""
     if not a or not b:
         return len(a) + len(b)
     at: dict[str, int] = {}
@@ -248,13 +256,20 @@ def edit_distance(a: str, b: str) -> int:
         at[ch] = at.get(ch, 0) | 1 << i
     mask, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     plus, minus, distance = mask, 0, len(a)
-    for ch in b:
+    bound = len(b) + (len(a) + len(b) if most is None else most)
+    for j, ch in enumerate(b):
         eq = at.get(ch, 0)
         diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
         up, down = minus | (~(diagonal | plus) & mask), plus & diagonal
-        distance += bool(up & top) - bool(down & top)
-        up, down = (up << 1 | 1) & mask, down << 1 & mask
-        plus, minus = down | (~(diagonal | up) & mask), up & diagonal
+        if up & top:
+            distance += 1
+        elif down & top:
+            distance -= 1
+        # each letter left brings it down by one at most
+        if distance + j + 1 > bound:
+            return distance + j + 1 - len(b)
+        up = up << 1 | 1
+        plus, minus = (down << 1 | ~(diagonal | up)) & mask, up & diagonal & mask
     return distance
 
 
@@ -270,6 +285,23 @@ def _trimmed(a: str, b: str) -> tuple[str, str]:
     return a[low:], b[low:]
 
 
+def _by_words(a: str, b: str, most: float) -> bool:
+    """Whether replacing runs of words, up to the nearest place where both agree again, changes at most so many letters."""
+    x, y = [w + " " for w in a.split(" ")], [w + " " for w in b.split(" ")]
+    i = j = cost = 0
+    while i < len(x) or j < len(y):
+        if x[i : i + 1] == y[j : j + 1]:
+            i, j = i + 1, j + 1
+            continue
+        apart = ((p, far - p) for far in range(1, 7) for p in range(far + 1) if x[i + p : i + p + 1] == y[j + far - p : j + far - p + 1])
+        p, q = next(apart, (len(x) - i, len(y) - j))
+        cost += sum(max(len(u), len(v)) - 1 for u, v in zip(x[i : i + p], y[j : j + q], strict=True)) if p == q else max(sum(map(len, x[i : i + p])), sum(map(len, y[j : j + q])))
+        if cost > most:
+            return False
+        i, j = i + p, j + q
+    return True
+
+
 class Alike:
     """Whether the edit distance of two normal forms is small enough."""
 
@@ -280,9 +312,11 @@ class Alike:
         most = self.share * max(len(a), len(b)) + 1e-9
         if abs(len(a) - len(b)) > most:
             return False
+        if _by_words(a, b, most):
+            return True
         a, b = _trimmed(a, b)
         a, b = (x[::-1] for x in _trimmed(a[::-1], b[::-1]))
-        return max(len(a), len(b)) <= most or edit_distance(a, b) <= most
+        return max(len(a), len(b)) <= most or edit_distance(a, b, most) <= most
 
 
 def _as_it_is(form: str) -> str:
@@ -292,13 +326,14 @@ def _as_it_is(form: str) -> str:
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The forms of the lines that are wanted of each text."""
     for batch in batches:
-        data, offsets = tk.buffers(batch.column(1))
-        wanted = batch.column(0).to_pylist()
-        for low, high, part, at in tk.chunks(data, offsets, 1 << 18):
-            lines = Lines(part, at)
-            of = {(t + low, n): i for i, (t, n) in enumerate(zip(lines.text.tolist(), lines.number.tolist(), strict=True))}
-            asked = {w["node"]: of[t, w["number"]] for t in range(low, high) for w in wanted[t]}
-            yield pa.RecordBatch.from_arrays([pa.array(list(asked), pa.int64()), pa.array([lines.form(i) for i in asked.values()], pa.string())], ["node", "text"])
+        nodes, raw = [], []
+        for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            split = text.encode().split(b"\n")
+            for w in wanted:
+                nodes.append(w["node"])
+                raw.append(split[w["number"]])
+        lines = Lines(*tk.buffers(pa.array(raw, pa.binary())))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([lines.form(i) for i in range(len(raw))], pa.string())], ["node", "text"])
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -312,11 +347,10 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     thin = docs.select(doc.alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"))
     rows = scratch.table(thin.mapInArrow(_lined, "doc long, row long, n_lines long, number array<int>, high array<long>, low array<long>"))
-    signed = thin.mapInArrow(_signed, "high long, low long, doc long, row long, number int, tokens array<long>, sketch long, form string")
+    signed = thin.mapInArrow(_signed, "high long, low long, doc long, row long, number int, tokens array<long>, sketch array<long>, form string")
     distinct = signed.groupBy("high", "low").agg(F.min(F.struct("doc", "row", "number")).alias("place"), F.count("*").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"), F.first("form").alias("form"))
-    # forms get numbers once they are stored; their hashes of 124 bits tell them apart
-    nodes = scratch.table(distinct).withColumn("node", F.monotonically_increasing_id())
-    nodes = scratch.table(nodes)
+    # hashes of 128 bits tell forms apart; their numbers are fixed by storing them
+    nodes = scratch.table(distinct.withColumn("node", F.monotonically_increasing_id()))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         places = nodes.select("node", "place").join(wanted, "node", "left_semi")
@@ -324,8 +358,8 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         texts = only(thin, places.select("row"), "row").dropDuplicates(["doc", "row"]).join(places, ["doc", "row"]).select("wanted", "text")
         return scratch.table(texts.mapInArrow(_picked, "node long, text string"))
 
-    facts = nodes.where("size(tokens) > 0").select("node", "tokens", F.array("sketch").alias("sketch"))
-    links = linking.linked(facts, 1, DIFFER, texts_of, _as_it_is, Alike(similarity))
+    facts = nodes.where("size(tokens) > 0").select("node", "tokens", "sketch")
+    links = linking.linked(facts, 2, DIFFER, texts_of, _as_it_is, Alike(similarity), anew=False)
     found = graph.components(scratch.table(links.union(tiny_links(nodes.where("form IS NOT NULL"), similarity))))
     grouped = nodes.select("high", "low", "node", "place", "n").join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
     stay = grouped.groupBy("group").agg(F.min("place").alias("stay"), F.sum("n").alias("n")).where("n > 1")

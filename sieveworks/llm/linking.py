@@ -22,7 +22,9 @@ def _sided(facts: DataFrame, side: str, node: str) -> DataFrame:
 
 
 def _apart(words: int) -> Column:
-    return sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(words)), F.lit(0))
+    """Bits in which two sketches differ; a sketch that begins with 0 is unknown."""
+    bits = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(words)), F.lit(0))
+    return F.when((F.col("sketch_a")[0] == 0) | (F.col("sketch_b")[0] == 0), 0).otherwise(bits)
 
 
 def _confirmed(prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool]):
@@ -42,6 +44,7 @@ def _resolved(prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool],
         n = rows.num_rows
         nodes, component, own = (rows.column(c).to_numpy() for c in ("node", "component", "own"))
         sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
+        known = sketch[:, 0] != 0
         texts = rows.column("text")
         # tokens that come before this one: a pair that shares one of them has met there
         before = [frozenset(t[: t.index(token)]) for t in rows.column("tokens").to_pylist()]
@@ -57,7 +60,7 @@ def _resolved(prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool],
         left: list[np.ndarray] = []
         right: list[np.ndarray] = []
         for i in range(n - 1):
-            bits = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]).sum(axis=1, dtype=np.uint16)
+            bits = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]).sum(axis=1, dtype=np.uint16) * (known[i + 1 :] & known[i])
             meet = (bits <= differ) & (component[i + 1 :] != component[i]) & (nodes[i + 1 :] != nodes[i])
             if split:
                 meet &= own[i + 1 :] != own[i]
@@ -94,7 +97,7 @@ def _resolved(prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool],
     return run
 
 
-def linked(facts: DataFrame, words: int, differ: int, texts_of: Callable[[DataFrame], DataFrame], prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool], agree: Column | None = None) -> DataFrame:
+def linked(facts: DataFrame, words: int, differ: int, texts_of: Callable[[DataFrame], DataFrame], prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool], agree: Column | None = None, anew: bool = True) -> DataFrame:
     """Pairs (a, b) that are alike and connect what all such pairs would connect.
 
     facts: node, tokens (an array in an order common to all nodes), sketch (an array of
@@ -102,25 +105,26 @@ def linked(facts: DataFrame, words: int, differ: int, texts_of: Callable[[DataFr
     a token, differ in at most differ bits and agree; alike() decides on whole texts,
     which texts_of() gives as (node, text).
 
-    First all nodes with a token meet one of them, drawn anew for each token; a token of
-    two nodes is done with that. Of the others, nodes of different components meet, in
+    First all nodes with a token meet one of them, drawn anew for each token or, for fewer
+    pairs, by one order of all nodes; a token of two nodes is done with that. Of the others, nodes of different components meet, in
     blocks of bounded size: of the token's largest component only blocks beside the rest
     of its nodes, so that a large component with a few strays takes time linear in it. Of
     a block come the links that join components, never all pairs.
     """
     close = _apart(words) <= differ
     close = close if agree is None else close & agree
-    # one exchange for all that goes by token
-    posts = facts.select("node", F.explode("tokens").alias("token")).repartition("token")
-    leads = posts.groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token")).alias("lead"), F.count("*").alias("n"))
-    near = posts.join(leads.where("n > 1"), "token").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    # both sides have the same exchange, so posts are dealt by token once
+    posts = facts.select("node", F.explode("tokens").alias("token")).where("token IS NOT NULL").repartition("token")
+    leads = posts.groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token") if anew else F.xxhash64("node")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    posts = scratch.table(posts.join(leads.hint("shuffle_hash"), "token").select("token", "node", "lead", "n"))
+    near = posts.where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     near = scratch.table(near.join(_sided(facts, "a", "a"), "a").join(_sided(facts, "b", "b"), "b").where(close).select("a", "b"))
     texts = texts_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     both = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     links = scratch.table(both.select("a", "b", "x", "y").mapInArrow(_confirmed(prepare, alike), "a long, b long"))
 
     found = graph.components(links)
-    many = posts.join(leads.where("n > 2").select("token"), "token")
+    many = posts.where("n > 2").select("token", "node").distinct()
     placed = scratch.table(many.join(found, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component")))
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("big"), F.sum("size").alias("n")).where("n > big.size")

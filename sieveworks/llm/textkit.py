@@ -39,6 +39,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+class Weights:
+    """Numbers drawn for places in a string, grown on demand."""
+
+    def __init__(self) -> None:
+        self.table = np.zeros(0, U64)
+
+    def __getstate__(self) -> dict:
+        return {}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__()
+
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.table) < n:
+            self.table = mix(np.arange(1, max(n, 1 << 12) + 1, dtype=U64)) | U64(1)
+        return self.table
+
+
+WEIGHTS = Weights()
+
+
+def runs_hashes(symbols: np.ndarray, first: np.ndarray, size: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Hash of each of some runs of 64-bit symbols that follow one another without gaps."""
+    if not len(first):
+        return np.zeros(0, U64)
+    place = np.arange(len(symbols)) - np.repeat(first, size)
+    terms = symbols * mix(WEIGHTS.upto(int(size.max())) * U64(2 * seed + 1))[place]
+    return mix(np.add.reduceat(terms, first) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
 def _folded(x: np.ndarray) -> np.ndarray:
     """x modulo the prime, or a few above it."""
     x = (x & _P) + (x >> _HALF)
@@ -77,28 +107,26 @@ POWERS = Powers()
 
 
 class Prefix:
-    """Hashes of all strings in a run of bytes, or of symbols, from sums over its prefixes.
+    """Hashes of all strings in a run of bytes from sums over its prefixes.
 
-    A modulus of 2**64 would be quicker, but there are short words that collide under
-    every odd base; modulo a prime only chance is left.
+    A modulus of 2**64 would be quicker, but there are words that collide under every odd
+    base; modulo a prime only chance is left.
     """
 
     def __init__(self, data: np.ndarray) -> None:
         n = len(data)
         tables = POWERS.upto(n)
         self.down = tables[1], tables[3]
-        plain = data.dtype == np.uint8
-        self.raw = plain and n <= 1 << 24  # sums below 2**63 ascend and are reduced where they are used
-        symbols = (data, data) if plain else (data & _P, data >> U64(33))
+        self.raw = n <= 1 << 24  # sums below 2**63 ascend and are reduced where they are used
         self.sums = []
-        for part, up in zip(symbols, tables[::2], strict=True):
+        for up in tables[::2]:
             out = np.zeros(n + 1, U64)
             for low in range(0, n, 1 << 24):
                 high = min(n, low + (1 << 24))
-                terms = part[low:high].astype(U64)
+                terms = data[low:high].astype(U64)
                 terms += U64(1)
                 terms *= up[low:high]
-                np.cumsum(terms if plain else _folded(terms), out=out[low + 1 : high + 1])
+                np.cumsum(terms, out=out[low + 1 : high + 1])
                 if not self.raw:
                     out[low + 1 : high + 1] = _folded(_folded(out[low + 1 : high + 1]) + out[low])
             self.sums.append(out)
@@ -146,7 +174,7 @@ class Words:
     """Words of a run of texts: start, end, index of each text's first word."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> None:
-        self.data, self.offsets = data, offsets
+        self.data, self.offsets, self.letters = data, offsets, letters
         inside = letters[data]
         first, last = inside.copy(), inside.copy()
         if len(data):
@@ -164,7 +192,17 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return Prefix(self.data).of(self.starts, self.ends)
+        """Of each word the sum of its bytes, each times a number drawn for its place in the word."""
+        if not len(self.starts):
+            return np.zeros(0, U64)
+        size = self.ends - self.starts
+        low = int(self.starts[0])
+        gaps = np.diff(np.append(self.starts, len(self.data)))
+        place = np.arange(low, len(self.data)) - np.repeat(self.starts, gaps)
+        # what lies between words counts nothing
+        terms = np.where(self.letters, np.arange(1, 257, dtype=U64), U64(0))[self.data[low:]]
+        terms *= WEIGHTS.upto(int(gaps.max()))[place]
+        return mix(np.add.reduceat(terms, self.starts - low) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)

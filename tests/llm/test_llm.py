@@ -328,6 +328,12 @@ def test_edit_distance_brute_force():
                 new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
             row = new
         assert fuzzylines.edit_distance(a, b) == row[-1]
+        for most in (0, 1, 3):
+            assert (fuzzylines.edit_distance(a, b, most) <= most) == (row[-1] <= most)
+    alike = fuzzylines.Alike(0.75)
+    for _ in range(500):
+        a, b = (" ".join("".join(rng.choice(list("ab"), size=int(rng.integers(1, 4)))) for _ in range(int(rng.integers(1, 8)))) for _ in range(2))
+        assert alike(a, b) == (fuzzylines.edit_distance(a, b) <= 0.25 * max(len(a), len(b)) + 1e-9), (a, b)
 
 
 def test_quality_rules_mean_the_same_on_a_capped_sample(spark):
