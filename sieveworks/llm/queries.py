@@ -38,8 +38,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan, thin = mixing.plans(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixing.decided(thin, plan).select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    thin = mixing.thin_rows(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixing.decided(thin, mixing.plans(thin)).select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,11 +113,18 @@ weighed AS (
 aims AS (
   SELECT source, source_size, CASE WHEN free THEN least((SELECT arg_min(level, cap::DOUBLE / weight) FROM marked WHERE free) * weight, cap::DOUBLE) ELSE cap::DOUBLE END AS target FROM marked
 ), ratios AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS ratio FROM aims),
-plan AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS rest, target - floor(ratio) * source_size AS words FROM ratios),
-ranked AS (
-  SELECT d.*, p.source_size, p.target, p.whole, p.words,
-    CASE WHEN p.rest > 0 THEN (u / (1 - u)) / (p.rest / (1 - p.rest)) END AS rnk
-  FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+rests AS (SELECT *, floor(ratio) AS whole, greatest(0.0, target - floor(ratio) * source_size) AS words FROM ratios),
+propensities AS (SELECT *, (CASE WHEN size < 50 THEN 0.5 ELSE 1.0 END)::DOUBLE AS p FROM docs),
+-- two propensities: once the larger chance stops at 1, the other takes all that is left
+firsts AS (SELECT r.source, r.words / nullif(sum(d.p * d.size), 0) AS c, max(d.p) AS most FROM rests r JOIN propensities d ON r.source IS NOT DISTINCT FROM d.source GROUP BY r.source, r.words),
+scales AS (
+  SELECT r.source, coalesce(CASE WHEN f.c * f.most >= 1 THEN greatest(f.c, coalesce((r.words - sum(CASE WHEN f.c * d.p >= 1 THEN d.size ELSE 0 END)) / nullif(sum(CASE WHEN f.c * d.p >= 1 THEN 0 ELSE d.p * d.size END), 0), f.c)) ELSE f.c END, 0) AS c
+  FROM rests r JOIN firsts f ON r.source IS NOT DISTINCT FROM f.source JOIN propensities d ON r.source IS NOT DISTINCT FROM d.source GROUP BY r.source, r.words, f.c, f.most
+), chances AS (
+  SELECT d.*, p.source_size, p.target, p.whole, p.words, least(1.0::DOUBLE, s.c * d.p) AS pi
+  FROM propensities d JOIN rests p ON d.source IS NOT DISTINCT FROM p.source JOIN scales s ON d.source IS NOT DISTINCT FROM s.source
+), ranked AS (
+  SELECT *, CASE WHEN pi >= 1 THEN 0.0::DOUBLE WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS rnk FROM chances
 ), summed AS (
   SELECT *, rnk IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rnk, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= words AS chosen FROM ranked
 ), gaps AS (SELECT source, first(words) - coalesce(sum(size) FILTER (WHERE chosen), 0) AS gap FROM summed WHERE rnk IS NOT NULL GROUP BY source),

@@ -232,6 +232,29 @@ def test_mix_with_unequal_probabilities(docs):
     assert share[0] > share[1] > 0
 
 
+@pytest.mark.parametrize("one", ["id", "null", "row"])
+def test_mix_meets_targets_with_repeated_ids(spark, one):
+    """Rows of one id, without an id, or equal in all: each source comes within a document of its target."""
+    same = {"id": 7, "null": None, "row": 7}[one]
+    rows = [(same if s == "b" else i, " ".join(f"w{0 if one == 'row' else i}" for _ in range(10)), s) for i in range(100) for s in "ab"]
+    docs = spark.createDataFrame([*rows, (None, None, None)], "doc_id long, text string, source string").withColumn("_size", F.lit("x"))
+    found = scratch.table(mixing.mixed(docs))
+    assert found.count() == 201 and found.columns[:3] == ["doc_id", "text", "source"]
+    got = {r.source: r for r in found.groupBy("source").agg(F.sum(F.col("_copies") * F.col("_size")).alias("t"), F.first("_target").alias("g")).collect()}
+    assert all(0 <= got[s].g - got[s].t <= 10 for s in "ab")
+    thin = mixing.thin_rows(docs)
+    again = {r.source: r.t for r in mixing.decided(thin, mixing.plans(thin)).groupBy("source").agg(F.sum(F.col("_copies") * F.col("_size")).alias("t")).collect()}
+    assert {s: got[s].t for s in "ab"} == {s: again[s] for s in "ab"}
+
+
+def test_mix_chances_stop_at_one(spark):
+    """Where the larger propensity reaches a chance of 1, the others are raised."""
+    docs = spark.createDataFrame([(i, "w " * (100 if i % 2 else 10), "a") for i in range(4000)], "doc_id long, text string, source string")
+    got = mixing.mixed(docs, share=0.95, propensity=F.when(F.col("doc_id") % 2 == 1, 4.0).otherwise(1.0)).groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.avg("_copies").alias("share")).collect()
+    share = {r.odd: r.share for r in got}
+    assert share[1] == 1.0 and 0.4 < share[0] < 0.5
+
+
 def test_counts_brute_force(docs, texts, odd):
     def count(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
