@@ -169,6 +169,48 @@ def test_shards_grow_and_versions_stay(spark, docs, tmp_path):
         store.commit(before, 3)
 
 
+def test_of_two_writers_one_wins(spark, docs, tmp_path, monkeypatch):
+    """Both have passed every check of the version; the loser is told and nothing of the winner changes."""
+    store = sharding.Store(spark, f"{tmp_path}/w")
+    store.append(docs.limit(50))
+    first, second = (sharding.Store(spark, f"{tmp_path}/w") for _ in range(2))
+    monkeypatch.setattr(second, "version", lambda: 1)
+    assert first.append(docs.limit(20)) == 2
+    won = rows(store.manifest(2), "shard", "n_rows")
+    with pytest.raises(RuntimeError):
+        second.append(docs.limit(10))
+    assert store.version() == 2 and rows(store.manifest(2), "shard", "n_rows") == won and store.read().count() == 70
+
+
+@pytest.mark.parametrize("planned", [3, 4096])
+def test_compaction_plan_brute_force(spark, tmp_path, monkeypatch, planned):
+    """Runs by the rule, whatever the number of tasks: tiers by size, cut at multiples of the target, until nothing merges."""
+    monkeypatch.setattr(sharding, "PLANNED", planned)
+    rng = np.random.default_rng(8)
+    known = [(f"s{i:03}", int(rng.choice([5, 30, 200, 900, 2500])), None if i % 17 == 0 else int(rng.integers(1000))) for i in range(60)]
+    target = 2000
+    run = {s: s for s, _, _ in known}
+    while True:
+        size, at = Counter(), {}
+        for s, n, first in known:
+            size[run[s]] += n
+            at[run[s]] = min(at.get(run[s], (2, 0)), (2, 0) if first is None else (1, first))
+        tiers, to = {}, {}
+        for r in sorted((r for r in size if size[r] < target // 2), key=lambda r: ((0, 0) if at[r] == (2, 0) else at[r], r)):
+            tier = tiers.setdefault(int(np.floor(np.log(size[r]) / np.log(sharding.TIER))), [0, {}])
+            tier[1].setdefault(tier[0] // target, []).append(r)
+            tier[0] += size[r]
+        for _, bins in tiers.values():
+            to |= {r: min(group) for group in bins.values() if len(group) > 1 for r in group}
+        if not to:
+            break
+        run = {s: to.get(r, r) for s, r in run.items()}
+    members = Counter(run.values())
+    shards = spark.createDataFrame(known, "shard string, n_bytes long, first_id long")
+    got = {r.shard: r.run for r in sharding.Store(spark, f"{tmp_path}/p").plan(shards, target).collect()}
+    assert got == {s: r if members[r] > 1 else None for s, r in run.items()}
+
+
 def test_levenshtein_automaton_brute_force():
     lexicon = toxicity.Lexicon(["idiot", "scum", "stupid"], ["lowei"], ["idiot", "stupid"])
     words = ["idiot", "idiott", "idot", "1diot", "idito", "scum", "scun", "stupd", "lowei", "loweixyz", "lowe", "xidiot", "stupids", "", "i", "idiots"]
