@@ -5,11 +5,13 @@ only if it contains every shingle of it, so joining one necessary shingle per wi
 the rarest over all documents, loses nothing (the prefix of an exact containment has
 length one). Candidates pass bounds on length and position and are then verified word
 by word. The benchmark is a stated query set: it goes to the executors in blocks of
-bounded size, and every block meets all documents.
+bounded size, and every block meets all documents. Of blocks after the first only what
+they find is stored, by the place of the row, so documents are never rewritten.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,6 +28,8 @@ WINDOW = 13
 SHINGLE = 4
 #: Bytes of item texts that are sent to every executor at once.
 BLOCK_BYTES = 4 << 20
+#: Rows with matches whose spans are sent to every executor at most; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -60,8 +64,8 @@ class Lookup:
 class Block:
     """Windows of some items, and after rank() the one shingle of each that is joined."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, shingle: int) -> None:
-        self.windows: list[tuple[int, tuple[str, ...]]] = []  # item, words
+    def __init__(self, items: list[tuple[str, str]], window: int, shingle: int) -> None:
+        self.windows: list[tuple[str, tuple[str, ...]]] = []  # item, words
         self.shingles: list[list[int]] = []  # of each window in order
         self.sizes: list[int] = []  # words in a shingle of the window
         every: dict[int, list[int]] = defaultdict(list)
@@ -91,11 +95,11 @@ class Block:
             self.joined[k] = lookup, [found[int(v)] for v in lookup.values]
         self.shingles, self.lookups = [], {}
 
-    def match(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[int]]]:
+    def match(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
         """Of each text: number of words, word spans of verified windows, items."""
         words = tk.Words(tk.FOLD[data], offsets, tk.ALNUM_WORDS)
         spans: list[list[tuple[int, int]]] = [[] for _ in range(len(offsets) - 1)]
-        items: list[set[int]] = [set() for _ in range(len(offsets) - 1)]
+        items: list[set[str]] = [set() for _ in range(len(offsets) - 1)]
         hashes = words.hashes() if self.joined else None
         folded = words.data
         for k, (lookup, lists) in self.joined.items():
@@ -139,7 +143,7 @@ def _counted(block):
     return run
 
 
-_RESULT = "struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,items:array<bigint>>"
+_RESULT = "struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,items:array<string>>"
 
 
 def _matcher(block):
@@ -150,20 +154,20 @@ def _matcher(block):
             data, offsets = tk.buffers(column)
             n: list[int] = []
             spans: list[list[dict]] = []
-            items: list[list[int]] = []
+            items: list[list[str]] = []
             for _, _, part, at in tk.chunks(data, offsets):
                 counts, s, i = block.value.match(part, at)
                 n += counts.tolist()
                 spans += [[{"start": a, "stop": b} for a, b in sorted(set(x))] for x in s]
                 items += [sorted(x) for x in i]
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.int64()))], ["n_words", "spans", "items"])
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
 
     return match
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
     block, size = [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").toLocalIterator():
+    for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null").toLocalIterator():
         if block and size + len(text) > BLOCK_BYTES:
             yield block
             block, size = [], 0
@@ -172,32 +176,42 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield block
 
 
+def _ranked(text: DataFrame, items: list[tuple[str, str]], window: int, shingle: int) -> Block:
+    block = Block(items, window, shingle)
+    found = text.mapInArrow(_counted(scratch.Shared(text.sparkSession, block)), "k int, shingle long, n long") if block.windows else None
+    # as many rows as the block has distinct shingles at most
+    counts = {(r.k, r.shingle & (2**64 - 1)): r.n for r in found.groupBy("k", "shingle").agg(F.sum("n").alias("n")).collect()} if found is not None else {}
+    block.rank(counts)
+    return block
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """docs with a column _found: n_words, word spans of verified windows, item ids.
+    """docs with a column _found: n_words, word spans of verified windows, item ids (as strings).
 
     Null or empty texts have no words; items without an id or words give no windows;
     an item_id that repeats is one item. Only doc text is read, so docs may have any
-    other columns.
+    other columns; one named _found gives way, and _row is reserved.
     """
     spark = docs.sparkSession
+    docs = docs.drop("_found")
     text = docs.select(F.col("text").cast("string"))
-    out, blocks = docs, 0
-    for items in _blocks(benchmark):
-        block = Block(items, window, shingle)
-        found = text.mapInArrow(_counted(scratch.Shared(spark, block)), "k int, shingle long, n long") if block.windows else None
-        # as many rows as the block has distinct shingles at most
-        counts = {(r.k, r.shingle & (2**64 - 1)): r.n for r in found.groupBy("k", "shingle").agg(F.sum("n").alias("n")).collect()} if found is not None else {}
-        block.rank(counts)
-        new = _matcher(scratch.Shared(spark, block))(F.col("text").cast("string"))
-        if blocks:
-            out = scratch.table(out)
-            out = out.withColumn("_more", new)
-            merged = F.struct(F.col("_found.n_words").alias("n_words"), F.array_union("_found.spans", "_more.spans").alias("spans"), F.array_union("_found.items", "_more.items").alias("items"))
-            out = out.withColumn("_found", merged).drop("_more")
-        else:
-            out = out.withColumn("_found", new)
-        blocks += 1
-    return out
+    blocks = _blocks(benchmark)
+    matcher = lambda items: _matcher(scratch.Shared(spark, _ranked(text, items, window, shingle)))(F.col("text").cast("string"))
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return docs.withColumn("_found", matcher(first))
+    rows = scratch.placed(docs)
+    thin = rows.select("_row", "text")
+    more = None
+    for items in itertools.chain([second], blocks):
+        found = scratch.table(thin.select("_row", matcher(items).alias("f")).where("size(f.spans) > 0").select("_row", "f.spans", "f.items"))
+        more = found if more is None else more.union(found)
+    # of each row as many rows as there are blocks at most
+    more = scratch.table(more.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items")))
+    out = rows.withColumn("_found", matcher(first)).join(F.broadcast(more) if more.count() <= BROADCAST_ROWS else more, "_row", "left")
+    both = lambda name: F.array_distinct(F.when(F.col(f"_{name}").isNull(), F.col(f"_found.{name}")).otherwise(F.concat(f"_found.{name}", f"_{name}"))).alias(name)
+    whole = F.struct(F.col("_found.n_words").alias("n_words"), both("spans"), both("items"))
+    return out.withColumn("_found", whole).select(*docs.columns, "_found")
 
 
 def n_hit(found: Column) -> Column:

@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from sieveworks.llm import scratch
 
@@ -151,15 +150,6 @@ def thin_rows(docs: DataFrame, propensity: Column | None = None) -> DataFrame:
     return scratch.table(rows)
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """docs with _row: the place in its files where docs is one, else in a stored copy."""
-    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
-    try:
-        return docs.select("*", place.alias("_row"))
-    except AnalysisException:
-        return scratch.table(docs).select("*", place.alias("_row"))
-
-
 def mixed(docs: DataFrame, seed: str = SEED, propensity: Column | None = None, **options) -> DataFrame:
     """docs with _copies, the copies that the mix takes of each row, and _size, _source_size, _target.
 
@@ -170,6 +160,6 @@ def mixed(docs: DataFrame, seed: str = SEED, propensity: Column | None = None, *
     with an underscore are reserved. docs that is not a plain file is stored first.
     """
     clear = docs.drop("_copies", "_size", "_source_size", "_target")
-    placed = _prepared(_placed(clear), propensity)
+    placed = _prepared(scratch.placed(clear), propensity)
     thin = scratch.table(placed.select("_id", "_key", F.col("source").cast("string").alias("source"), "_size", "_propensity", "_tie", "_row"))
     return decided(placed, plans(thin, seed=seed, **options), seed).select(*clear.columns, "_copies", "_size", "_source_size", "_target")

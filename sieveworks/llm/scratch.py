@@ -9,6 +9,8 @@ from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 _WRITTEN: list[str] = []
 
@@ -27,9 +29,11 @@ class Shared:
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The session's ``spark.checkpoint.dir``; one of its own only where it is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sieveworks-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -44,6 +48,15 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with _row, which no two rows share: the place in its files where docs is a scan of some, else in a stored copy."""
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
+    try:
+        return docs.select("*", place.alias("_row"))
+    except AnalysisException:
+        return table(docs).select("*", place.alias("_row"))
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes what this process has written here; results that still read it must be stored first."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
