@@ -136,7 +136,7 @@ def _grow(x: dict[str, np.ndarray], low: np.ndarray, good: float) -> Rule:
     """Adds the test of highest gain until no row of good quality is covered; each of those counts as `good` rows."""
     rule: list[Test] = []
     rows = np.arange(len(low))
-    while len(rule) < 4:
+    while True:
         p, n = int(low[rows].sum()), good * int((~low[rows]).sum())
         if not p or not n:
             break
@@ -178,7 +178,7 @@ def learn(x: dict[str, np.ndarray], low: np.ndarray, seed: int = 5, precision: f
     grow, prune = order[: 2 * len(order) // 3], order[2 * len(order) // 3 :]
     rules: list[Rule] = []
     least = max(3, int(0.01 * low.sum()))
-    while len(rules) < 12 and low[grow].sum() >= least:
+    while low[grow].sum() >= least:
         rule = _grow(_part(x, grow), low[grow], good)
         if not rule:
             break
