@@ -24,7 +24,6 @@ from sieveworks.llm import textkit as tk
 
 #: Labelled rows that the lexicon and the regression are fitted on at most, half of them toxic.
 TRAIN_ROWS = 20_000
-LEXICON_TERMS = 400
 REJECT = 0.7
 WINDOW = 6
 SEED = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "asshole", "bitch", "retard", "dumbass")
@@ -36,6 +35,15 @@ _LETTERS = tk._table([(0x00, 0x23), (0x25, 0x29), (0x2B, 0x2F), (0x3A, 0x3F), (0
 FEATURES = ("any", "log hits", "log near hits", "log open hits", "log quoted hits", "addressed", "hits per word", "kinds")
 
 
+def _written(word: str, at: int) -> set[bytes]:
+    """word in either case of the two letters from at on, A-Z folded."""
+    two = range(at % len(word), min(len(word), at % len(word) + 2))
+    forms = {word}
+    for i in two:
+        forms |= {w[:i] + w[i].upper() + w[i + 1 :] for w in forms if len(w) == len(word)}
+    return {w.translate(tk.ASCII_LOWER).encode() for w in forms}
+
+
 class Lexicon:
     """Terms and stems in one trie, and the automaton that runs words through it."""
 
@@ -61,18 +69,20 @@ class Lexicon:
         self.head = np.zeros(1 << 16, dtype=bool)
         self.tail = np.zeros(1 << 16, dtype=np.uint64)
         for word in [*terms, *stems]:
-            raw = word.encode()
-            self.head[raw[0] | raw[1] << 8] = True
-            if word in self.near:
-                sizes = range(len(raw) - 1, len(raw) + 4)
-                self.tail[raw[-2] | raw[-1] << 8] |= np.uint64(sum(1 << n for n in sizes if n < 64))
+            for raw in _written(word, 0):
+                self.head[raw[0] | raw[1] << 8] = True
+            for raw in _written(word, -2) if word in self.near else ():
+                # one letter of up to four bytes more, less or in place of another; all long words share the last bit
+                sizes = range(max(0, len(raw) - 4), len(raw) + 5)
+                self.tail[raw[-2] | raw[-1] << 8] |= np.uint64(sum({1 << min(n, 63) for n in sizes}))
+        # a state is (node, edits), or (node, letter) halfway through two transposed letters
         self.moves: dict[tuple[frozenset, str], frozenset] = {}
         self.known: dict[str, tuple[str, bool] | None] = {}
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "moves": {}, "known": {}}
 
-    def closure(self, states: set[tuple[int, int]]) -> frozenset:
+    def closure(self, states: set[tuple]) -> frozenset:
         """Adds the states after a letter of the term that the word lacks."""
         more = set(states)
         for node, edits in states:
@@ -83,14 +93,19 @@ class Lexicon:
     def step(self, states: frozenset, ch: str) -> frozenset:
         found = self.moves.get((states, ch))
         if found is None:
-            new: set[tuple[int, int]] = set()
+            new: set[tuple] = set()
             for node, edits in states:
+                if isinstance(edits, str):
+                    if ch == edits:
+                        new.add((node, 1))
+                    continue
                 to = self.next[node].get(ch)
                 if to is not None and (not edits or self.fuzzy[to]):
                     new.add((to, edits))
                 if not edits and self.fuzzy[node]:
                     new.add((node, 1))  # a letter too much
                     new |= {(x, 1) for c, x in self.next[node].items() if c != ch and self.fuzzy[x]}
+                    new |= {(self.next[x][ch], c) for c, x in self.next[node].items() if c != ch and ch in self.next[x] and self.fuzzy[self.next[x][ch]]}
             found = self.closure(new)
             if len(self.moves) < 200_000:
                 self.moves[states, ch] = found
@@ -106,8 +121,8 @@ class Lexicon:
             if not states:
                 break
             if stem is None:
-                stem = next((self.stem[n] for n, e in states if not e and self.stem[n]), None)
-        ends = sorted((e, self.ends[n]) for n, e in states if self.ends[n] and (not e or self.ends[n] in self.near)) if states else []
+                stem = next((self.stem[n] for n, e in states if e == 0 and self.stem[n]), None)
+        ends = sorted((e, self.ends[n]) for n, e in states if e in (0, 1) and self.ends[n] and (not e or self.ends[n] in self.near)) if states else []
         out = (ends[0][1], False) if ends and not ends[0][0] else (stem, False) if stem else (ends[0][1], True) if ends else None
         if len(self.known) < 500_000:
             self.known[word] = out
@@ -117,8 +132,9 @@ class Lexicon:
 def hits(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> tuple[tk.Words, list[tuple[int, int, str, bool]]]:
     """Words of some texts, and (text, word, term, misspelled) of each hit.
 
-    A word within one edit of a term keeps the term's first or last two bytes, so
-    others never reach the automaton.
+    A word within one edit of a term (a letter more, less or in place of another, or two
+    neighbours transposed) keeps the term's first or last two bytes in some case, so others
+    never reach the automaton.
     """
     words = tk.Words(tk.FOLD[data], offsets, _LETTERS)
     low, size = words.data, words.ends - words.starts
@@ -216,7 +232,7 @@ def chosen_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
         if a >= max(4, 0.03 * toxic):
             stems.append(stem)
     terms = [w for w in words if not any(w.startswith(s) for s in stems)]
-    return sorted(terms, key=lambda w: -good[w][0])[:LEXICON_TERMS], stems[:LEXICON_TERMS]
+    return sorted(terms, key=lambda w: (-good[w][0], w)), stems
 
 
 def fold(doc_id: Column | str) -> Column:
@@ -240,7 +256,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = set()
             for word in re.findall(r"[^\W\d_]+", text.lower()):
-                if 3 <= len(word) <= 24:
+                if len(word) >= 3:
                     found.add(word)
                     found |= {word[:k] + "*" for k in range(4, min(8, len(word)))}
             seen += found
@@ -278,10 +294,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     toxic, clean = sizes.get(1, 0), sum(n for t, n in sizes.items() if t != 1)
     part = sample.select("text", F.col("toxic").cast("int")).repartition(16)
     counted = part.mapInArrow(_listed, "term string, toxic int").groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") != 1).alias("b"))
-    likely = counted.where((F.col("a") >= max(3, 0.01 * toxic)) & (F.col("b") * 20 * ratio <= F.col("a") + 20 * ratio)).orderBy(F.desc("a"), "b", "term").limit(20_000)
+    # bounded by the sample: a term is in a hundredth of its toxic texts
+    likely = counted.where((F.col("a") >= max(3, 0.01 * toxic)) & (F.col("b") * 20 * ratio <= F.col("a") + 20 * ratio)).orderBy(F.desc("a"), "b", "term")
     terms, stems = chosen_terms([(r.term, r.a, r.b) for r in likely.collect()], toxic, clean) if toxic else ([], [])
     terms = list(dict.fromkeys([*terms, *(w for w in SEED if not any(w.startswith(s) for s in stems))]))
-    near = [t for t in terms if len(t) >= 5 and t.isascii()]
+    near = [t for t in terms if len(t) >= 5]
     trial = scratch.Shared(spark, Lexicon(terms, stems, near))
     for r in part.mapInArrow(_near_counts(trial), "term string, toxic int").groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") != 1).alias("b")).collect():
         if r.b > max(1, 0.001 * clean) or r.b > 0.1 * r.a / ratio + 1:

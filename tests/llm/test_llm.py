@@ -214,13 +214,22 @@ def test_compaction_plan_brute_force(spark, tmp_path, monkeypatch, planned):
 def test_levenshtein_automaton_brute_force():
     lexicon = toxicity.Lexicon(["idiot", "scum", "stupid"], ["lowei"], ["idiot", "stupid"])
     words = ["idiot", "idiott", "idot", "1diot", "idito", "scum", "scun", "stupd", "lowei", "loweixyz", "lowe", "xidiot", "stupids", "", "i", "idiots"]
+    swapped = lambda t: {t[:i] + t[i + 1] + t[i] + t[i + 2 :] for i in range(len(t) - 1)}
     for w in words:
         exact = w if w in lexicon.terms else "lowei" if w.startswith("lowei") else None
-        near = [t for t in ("idiot", "stupid") if fuzzylines.edit_distance(w, t) <= 1]
+        near = [t for t in ("idiot", "stupid") if fuzzylines.edit_distance(w, t) <= 1 or w in swapped(t)]
         want = (exact, False) if exact else (near[0], True) if near else None
         assert lexicon.match(w) == want, w
 
 
+def test_terms_of_other_letters():
+    """Any case, a misspelling and a sign of four bytes: what the automaton would take is not lost before it."""
+    lexicon = toxicity.Lexicon(["übel", "schwachsinnig", "écœurant"], [], ["schwachsinnig", "écœurant"])
+    words = ["Übel", "ÜBEL", "übel", "Schwachsinnnig", "SCHWACHSINIG", "Écœurant", "ÉCŒURAMT", "éccœurant", "cœurant", "😀schwachsinnig", "schwachsinngi", "harmlos"]
+    data, offsets = arrow([" ".join(words)])
+    assert [words[w] for _, w, _, _ in toxicity.hits(data, offsets, lexicon)[1]] == words[:-1]
+
+
 def test_quotation_scores_lower():
     lexicon = toxicity.Lexicon(["idiot"], [], [])
     data, offsets = arrow(["you are an idiot", 'she said the word "idiot" is rude', "", "nothing here"])
@@ -331,11 +340,17 @@ def test_decision_list_finds_planted_rule(spark):
 def test_contamination_odd(spark, odd, none):
     bench = spark.createDataFrame([(1, "Zeta eta theta iota!"), (1, "Zeta eta theta iota!"), (2, None), (3, ""), (None, "two words"), (4, "two WORDS"), (5, " ".join(["alpha"] * 20))], "item_id long, text string")
     got = {r.doc_id: (r._found["n_words"], r.n, list(r._found["items"])) for r in decontaminate.matches(odd, bench).withColumn("n", decontaminate.n_hit(F.col("_found"))).collect()}
-    assert got[1] == (30, 12, [1]) and got[7] == (2, 2, [4]) and got[3] == (0, 0, []) and got[5][1] == 0
+    assert got[1] == (30, 12, ["1"]) and got[7] == (2, 2, ["4"]) and got[3] == (0, 0, []) and got[5][1] == 0
     assert decontaminate.matches(none, bench).count() == 0
     assert decontaminate.matches(odd, bench.limit(0)).where("size(_found.spans) > 0").count() == 0
 
 
+def test_contamination_with_ids_of_letters(spark, odd):
+    bench = spark.createDataFrame([("item-10", "two WORDS"), ("item-9", "two words")], "item_id string, text string")
+    got = {r.doc_id: r._found["items"] for r in decontaminate.matches(odd, bench).collect()}
+    assert got[7] == ["item-10", "item-9"] and got[1] == []
+
+
 def test_contamination_in_blocks(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = rows(decontaminate.matches(docs, bench).select("doc_id", decontaminate.n_hit(F.col("_found")).alias("n"), F.array_sort("_found.items").cast("string").alias("i")), "doc_id", "n", "i")
