@@ -26,11 +26,18 @@ def corroborations(facts: DataFrame, ver: DataFrame, evidence: DataFrame) -> Dat
 
 
 def shared_entity_denials(facts: DataFrame, mentions: DataFrame, least: int = 2) -> DataFrame:
-    """Denial and statement of a tenant that share at least `least` names: an equality join on the names."""
-    names = mentions.select("fact_id", "canonical").distinct()
-    side = lambda kind, name: facts.where(F.col("assertion_type") == kind).select("fact_id", "investigation_id").join(names, "fact_id").withColumnRenamed("fact_id", name)
-    pairs = side("denial", "denial").join(side("statement", "statement"), ["investigation_id", "canonical"])
-    return pairs.groupBy("denial", "statement").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    """Denial and statement of a tenant that share at least `least` names, two or more.
+
+    Facts are joined on pairs of names, so a name that very many facts share makes no
+    candidates by itself; n shared names are n * (n - 1) / 2 shared pairs.
+    """
+    names = mentions.select("fact_id", "canonical").distinct().groupBy("fact_id").agg(F.sort_array(F.collect_set("canonical")).alias("names"))
+    both = F.explode(F.flatten(F.transform("names", lambda x, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
+    thin = facts.select("fact_id", "investigation_id", "assertion_type").join(names.where("size(names) > 1"), "fact_id")
+    side = lambda kind, name: thin.where(F.col("assertion_type") == kind).select("investigation_id", F.col("fact_id").alias(name), both.alias("both")).select("investigation_id", name, "both.x", "both.y")
+    pairs = side("denial", "denial").join(side("statement", "statement"), ["investigation_id", "x", "y"])
+    shared = F.round((1 + F.sqrt(1 + 8 * F.count("*"))) / 2).cast("long")
+    return pairs.groupBy("denial", "statement").agg(shared.alias("shared")).where(F.col("shared") >= least)
 
 
 def resolution(pairs: DataFrame, ver: DataFrame, a: str, b: str) -> DataFrame:

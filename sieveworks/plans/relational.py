@@ -319,9 +319,9 @@ def _(v):
     return R.corroborations(v.p_facts, v.p_ver, v.p_evidence)
 
 
-@query("c10_conflicting_claims", "WITH n AS (SELECT DISTINCT fact_id, canonical FROM p_mentions) SELECT d.fact_id AS denial, s.fact_id AS statement, count(*) AS shared FROM p_facts d JOIN n nd ON nd.fact_id = d.fact_id JOIN n ns ON ns.canonical = nd.canonical JOIN p_facts s ON s.fact_id = ns.fact_id AND s.investigation_id = d.investigation_id WHERE d.assertion_type = 'denial' AND s.assertion_type = 'statement' GROUP BY ALL HAVING count(*) >= 3")
+@query("c10_conflicting_claims", "WITH n AS (SELECT DISTINCT fact_id, canonical FROM p_mentions) SELECT d.fact_id AS denial, s.fact_id AS statement, count(*) AS shared FROM p_facts d JOIN n nd ON nd.fact_id = d.fact_id JOIN n ns ON ns.canonical = nd.canonical JOIN p_facts s ON s.fact_id = ns.fact_id AND s.investigation_id = d.investigation_id WHERE d.assertion_type = 'denial' AND s.assertion_type = 'statement' GROUP BY ALL HAVING count(*) >= 2")
 def _(v):
-    return R.shared_entity_denials(v.p_facts, v.p_mentions, 3)
+    return R.shared_entity_denials(v.p_facts, v.p_mentions)
 
 
 @query("c11_relationship_edges", "SELECT p.src, p.dst, coalesce(f.claim_text, p.dst) AS target_text FROM p_pairs p LEFT JOIN p_facts f ON 'Fact:' || CAST(f.fact_id AS STRING) = p.dst WHERE p.type = 'CONTRADICTS'")
@@ -600,11 +600,11 @@ def _(v):
     return R.first_time(v.p_tasks, "source_type", [F.col("task_id")]).select("task_id", "diversity")
 
 
-@query("e10_novelty", "WITH n AS (SELECT source_id FROM p_facts WHERE fact_id % 10 = 0), o AS (SELECT DISTINCT source_id FROM p_facts WHERE fact_id % 10 = 1) SELECT count(*) FILTER (WHERE o.source_id IS NULL)::DOUBLE / count(*) AS new_share FROM n LEFT JOIN o ON n.source_id = o.source_id")
+@query("e10_novelty", "WITH n AS (SELECT investigation_id, source_id, fact_id, row_number() OVER (PARTITION BY investigation_id, source_id ORDER BY fact_id) AS k FROM p_facts WHERE source_id <> '') SELECT investigation_id, count(*) FILTER (WHERE k = 1)::DOUBLE / count(*) AS new_share FROM n GROUP BY 1")
 def _(v):
-    old = v.p_facts.where("fact_id % 10 = 1").select("source_id").distinct().withColumn("seen", F.lit(True))
-    new = v.p_facts.where("fact_id % 10 = 0").select("source_id").join(old, "source_id", "left")
-    return new.agg((F.count_if(F.col("seen").isNull()).cast("double") / F.count("*")).alias("new_share"))
+    # of each tenant, the share of facts that bring a source for the first time
+    seen = v.p_facts.where("source_id <> ''").groupBy("investigation_id", "source_id").agg(F.count("*").alias("n"))
+    return seen.groupBy("investigation_id").agg((F.count("*").cast("double") / F.sum("n")).alias("new_share"))
 
 
 # --- F: order and pages ----------------------------------------------------------------

@@ -345,11 +345,11 @@ def _(v):
     return negations(snippets(v).withColumnRenamed("text", "claim_text").withColumnRenamed("id", "fact_id"), least=1).select("a", "b", F.round("confidence", 6).alias("confidence"))
 
 
-@query("i15_assertion", "WITH n AS (SELECT DISTINCT fact_id, lower(canonical) AS c FROM p_mentions WHERE fact_id % 5 = 0) SELECT DISTINCT s.fact_id AS a, d.fact_id AS b, 0.8::DOUBLE AS confidence FROM p_facts s JOIN n x ON x.fact_id = s.fact_id JOIN n y ON y.c = x.c JOIN p_facts d ON d.fact_id = y.fact_id AND d.investigation_id = s.investigation_id WHERE s.assertion_type = 'statement' AND d.assertion_type = 'denial'")
+@query("i15_assertion", "WITH n AS (SELECT DISTINCT fact_id, lower(canonical) AS c FROM p_mentions) SELECT DISTINCT s.fact_id AS a, d.fact_id AS b, 0.8::DOUBLE AS confidence FROM p_facts s JOIN n x ON x.fact_id = s.fact_id JOIN n y ON y.c = x.c JOIN p_facts d ON d.fact_id = y.fact_id AND d.investigation_id = s.investigation_id WHERE s.assertion_type = 'statement' AND d.assertion_type = 'denial'")
 def _(v):
     from sieveworks.operators.contradictions import assertions
 
-    return assertions(v.p_facts, v.p_mentions.where("fact_id % 5 = 0"))
+    return assertions(v.p_facts, v.p_mentions)
 
 
 @query("i16_numeric", "SELECT a.fact_id AS a, b.fact_id AS b, 0.8::DOUBLE AS confidence FROM p_facts a JOIN p_facts b ON a.investigation_id = b.investigation_id AND a.claim_text = b.claim_text AND a.fact_id < b.fact_id AND (a.high_value < b.low_value OR b.high_value < a.low_value)")
@@ -359,21 +359,7 @@ def _(v):
     return numeric(v.p_facts, ["investigation_id", "claim_text"])
 
 
-@query("i17_temporal", "WITH n AS (SELECT DISTINCT fact_id, lower(canonical) AS c FROM p_mentions WHERE fact_id % 4 = 0) SELECT DISTINCT a.fact_id AS a, b.fact_id AS b, 0.7::DOUBLE AS confidence FROM p_facts a JOIN n x ON x.fact_id = a.fact_id JOIN n y ON y.c = x.c JOIN p_facts b ON b.fact_id = y.fact_id AND b.investigation_id = a.investigation_id AND a.fact_id < b.fact_id WHERE a.temporal_kind = 'explicit' AND b.temporal_kind = 'explicit' AND a.temporal_precision = b.temporal_precision AND a.temporal_value <> b.temporal_value")
-def _(v):
-    from sieveworks.operators.contradictions import temporal
-
-    return temporal(v.p_facts, v.p_mentions.where("fact_id % 4 = 0"))
-
-
-@query("i15_assertion_all", None)
-def _(v):
-    from sieveworks.operators.contradictions import assertions
-
-    return assertions(v.p_facts, v.p_mentions)
-
-
-@query("i17_temporal_all", None)
+@query("i17_temporal", "WITH n AS (SELECT DISTINCT fact_id, lower(canonical) AS c FROM p_mentions) SELECT DISTINCT a.fact_id AS a, b.fact_id AS b, 0.7::DOUBLE AS confidence FROM p_facts a JOIN n x ON x.fact_id = a.fact_id JOIN n y ON y.c = x.c JOIN p_facts b ON b.fact_id = y.fact_id AND b.investigation_id = a.investigation_id AND a.fact_id < b.fact_id WHERE a.temporal_kind = 'explicit' AND b.temporal_kind = 'explicit' AND a.temporal_precision = b.temporal_precision AND a.temporal_value <> b.temporal_value")
 def _(v):
     from sieveworks.operators.contradictions import temporal
 
@@ -444,10 +430,13 @@ def _(v):
     return v.p_evidence.groupBy("fact_id").agg(F.round(F.max("authority_score") + C.ECHO_ALPHA * F.log10(1 + F.sum("authority_score")), 6).alias("total"))
 
 
-@query("i27_audit_trail", "SELECT fact_id, impact_tier AS old_tier, 'critical' AS impact_tier FROM p_class WHERE fact_id % 10 = 0")
+@query("i27_audit_trail", "SELECT c.fact_id, c.impact_tier AS old_tier, CASE WHEN r.status = 'confirmed' THEN 'critical' ELSE c.impact_tier END AS impact_tier, CASE WHEN r.status = 'confirmed' AND c.impact_tier <> 'critical' THEN 1 ELSE 0 END AS n_history FROM p_class c LEFT JOIN p_ver r USING (fact_id)")
 def _(v):
-    rows = v.p_class.where("fact_id % 10 = 0").withColumn("history", F.array(F.struct(F.col("impact_tier").alias("tier"))))
-    return rows.select("fact_id", F.col("history")[0]["tier"].alias("old_tier"), F.lit("critical").alias("impact_tier"))
+    rows = v.p_class.join(v.p_ver.select("fact_id", "status"), "fact_id", "left")
+    new = F.when(F.col("status") == "confirmed", F.lit("critical")).otherwise(F.col("impact_tier"))
+    # what changes is kept with the reason for it
+    history = F.filter(F.array(F.struct(F.col("impact_tier").alias("old"), new.alias("new"), F.col("status").alias("reason"))), lambda x: x["old"] != x["new"])
+    return rows.withColumn("history", history).select("fact_id", F.col("impact_tier").alias("old_tier"), new.alias("impact_tier"), F.size("history").alias("n_history"))
 
 
 @query("i28_single_classify", f"SELECT fact_id, round(credibility, 9) AS credibility FROM ({_CRED}) WHERE fact_id = 39")
@@ -488,9 +477,10 @@ def _(v):
     return scored(v).select("fact_id", F.col("base").alias("authority"))
 
 
-@query("g11_keywords", f"SELECT id, array_to_string(list_filter(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 3), lambda x: NOT list_contains({_arr(C.STOP_WORDS)}, x))[1:3], ',') AS words FROM {_VALUES}")
+@query("g11_keywords", f"SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(map_entries(m), lambda e: {{'p': e.value, 'w': e.key}}))[1:10], lambda e: e.w), ',') AS words FROM (SELECT doc_id, map_from_entries(list_transform(list_distinct(w), lambda x: {{'k': x, 'v': list_position(w, x)}})) AS m FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 3 AND NOT list_contains({_arr(C.STOP_WORDS)}, x)) AS w FROM documents))")
 def _(v):
-    w = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: (F.length(x) >= 3) & ~x.isin(*C.STOP_WORDS))
-    return snippets(v).select("id", F.array_join(F.slice(w, 1, 3), ",").alias("words"))
+    # distinct words in order of their first place, ten at most
+    w = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: (F.length(x) >= 3) & ~x.isin(*C.STOP_WORDS)))
+    return v.table("documents").select("doc_id", F.array_join(F.slice(w, 1, 10), ",").alias("words"))
 
 
