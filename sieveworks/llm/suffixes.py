@@ -36,6 +36,8 @@ BATCH_BYTES = 8 << 20
 #: Bytes of one text that are looked at together.
 PIECE = 1 << 20
 _LANES = tk.mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_DOWN = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
 
@@ -105,7 +107,9 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, group: np.ndarray, width
     its rank in the run beside its own by binary search.
     """
     n = len(starts)
-    c = tk.Prefix(data)
+    # at most width bytes are compared: far too few for strings built to collide modulo 2**64
+    up, down = (np.multiply.accumulate(np.append(_U(1), np.full(len(data), base, _U))) for base in (_BASE, _BASE_DOWN))
+    c = np.concatenate([np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)])])
 
     def extension(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Common bytes of the suffixes at i and j, at most width."""
@@ -114,10 +118,8 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, group: np.ndarray, width
             more = lcp + step
             fits = np.flatnonzero(more <= width)
             a, b, m = i[fits], j[fits], more[fits]
-            same = np.flatnonzero(c.half(0, a, a + m) == c.half(0, b, b + m))
-            a, b, m = a[same], b[same], m[same]
-            good = c.half(1, a, a + m) == c.half(1, b, b + m)
-            lcp[fits[same[good]]] = m[good]
+            same = (c[a + m] - c[a]) * down[a] == (c[b + m] - c[b]) * down[b]
+            lcp[fits[same]] = m[same]
             step >>= 1
         return lcp
 
