@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.functions.scores import edge_weight
 from sieveworks.operators.lineage import cut
 
 #: Labels and edge types that the graph accepts.
@@ -46,15 +47,51 @@ def accepted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.where(good), edges.where(~good)
 
 
-def mapped(facts: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Edges of facts: what they mention, where they come from, whom they belong to."""
+def mapped(facts: DataFrame, mentions: DataFrame, ver: DataFrame | None = None) -> DataFrame:
+    """Edges of facts: what they mention, where they come from, whom they belong to and, with ver, where they were verified."""
     fact = F.concat(F.lit("Fact:"), F.col("fact_id").cast("string"))
     part = lambda rows, to, kind, weight: rows.select(fact.alias("src"), to.alias("dst"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"))
     names = mentions.select("fact_id", "investigation_id", "canonical").distinct()
-    return (
+    tenant = F.concat(F.lit("Investigation:"), F.col("investigation_id").cast("string"))
+    out = (
         part(names, F.concat(F.lit("Entity:"), F.col("investigation_id").cast("string"), F.lit(":"), "canonical"), "MENTIONS", 1.0)
         .union(part(facts.where("source_id <> ''"), F.concat(F.lit("Source:"), "source_id"), "SOURCED_FROM", 0.8))
-        .union(part(facts, F.concat(F.lit("Investigation:"), F.col("investigation_id").cast("string")), "PART_OF", 1.0))
+        .union(part(facts, tenant, "PART_OF", 1.0))
+    )
+    return out if ver is None else out.union(part(facts.join(ver.select("fact_id"), "fact_id", "left_semi"), tenant, "VERIFIED_BY", 0.9))
+
+
+def semantic(facts: DataFrame, ver: DataFrame, evidence: DataFrame, mentions: DataFrame, relationships: DataFrame) -> DataFrame:
+    """Edges that follow from checks, stated relationships and names in one fact; all joins are on keys.
+
+    A confirmed fact with two or more supporting items corroborates every fact of its tenant
+    with the same hash or text; a refuted one contradicts its related fact, a superseded one
+    whose contradiction is temporal supersedes it. relationships: fact_id, target_fact_id,
+    type, confidence. People and organisations are located at the places of their fact.
+    """
+    node = lambda c: F.concat(F.lit("Fact:"), F.col(c).cast("string"))
+    edge = lambda rows, src, dst, kind, weight: rows.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), weight.alias("weight"))
+    given = evidence.groupBy("fact_id", "supports_claim").agg(F.count("*").alias("items"), F.avg("authority_score").alias("authority"))
+    strength = edge_weight(F.col("items"), F.col("authority"), F.lit(0))
+    sure = ver.where("status = 'confirmed'").select("fact_id").join(given.where("supports_claim AND items >= 2"), "fact_id").select("fact_id", strength.alias("weight"))
+    keyed = facts.select("fact_id", "investigation_id", F.explode(F.array(F.concat(F.lit("h"), "content_hash"), F.concat(F.lit("t"), "claim_text"))).alias("key"))
+    others = keyed.select(F.col("fact_id").alias("other"), "investigation_id", "key")
+    same = keyed.join(sure, "fact_id").join(others, ["investigation_id", "key"]).where("fact_id <> other").select("fact_id", "other", "weight").distinct()
+    against = ver.where("status = 'refuted' AND related_fact_id IS NOT NULL").join(given.where("NOT supports_claim"), "fact_id")
+    newer = ver.where("status = 'superseded' AND contradiction_type = 'temporal' AND related_fact_id IS NOT NULL")
+    said = lambda *kinds: relationships.where(F.col("type").isin(*kinds))
+    names = mentions.select("fact_id", "investigation_id", "entity_type", F.coalesce(F.nullif(F.col("canonical"), F.lit("")), "name").alias("shown")).distinct()
+    entity = F.concat(F.lit("Entity:"), F.col("investigation_id").cast("string"), F.lit(":"), "shown")
+    actors = names.where("entity_type IN ('PERSON', 'ORGANIZATION')").select("fact_id", entity.alias("src")).distinct()
+    places = names.where("entity_type = 'LOCATION'").select("fact_id", entity.alias("dst")).distinct()
+    met = actors.join(places, "fact_id").join(facts.select("fact_id", "claim_type"), "fact_id")
+    return (
+        edge(same, node("fact_id"), node("other"), "CORROBORATES", F.col("weight"))
+        .union(edge(against, node("fact_id"), node("related_fact_id"), "CONTRADICTS", strength))
+        .union(edge(said("contradicts"), node("fact_id"), node("target_fact_id"), "CONTRADICTS", F.col("confidence")))
+        .union(edge(newer, node("fact_id"), node("related_fact_id"), "SUPERSEDES", F.lit(0.9)))
+        .union(edge(said("supports", "elaborates"), node("fact_id"), node("target_fact_id"), "RELATED_TO", F.col("confidence")))
+        .union(edge(met, F.col("src"), F.col("dst"), "LOCATED_AT", F.when(F.col("claim_type") == "state", 0.8).otherwise(0.7)))
     )
 
 
@@ -84,24 +121,44 @@ def network(edges: DataFrame, start: str, hops: int) -> DataFrame:
     return inside.groupBy("src", "dst", "type").agg(F.max("weight").alias("weight"))
 
 
-def path_length(edges: DataFrame, start: str, goal: str, most: int = 10) -> DataFrame:
-    """(length) of the shortest undirected path, no row without one; 0 for one vertex."""
-    spark = edges.sparkSession
+def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 10) -> DataFrame:
+    """(length, path) of the shortest undirected path, the first by its ids among equals; no row without one, length 0 for one vertex.
+
+    Both ends are searched in turns. A vertex carries the first of the shortest paths to it,
+    at most `most` + 1 ids, so that no step looks back.
+    """
+    spark, schema = edges.sparkSession, "length int, path array<string>"
     if start == goal:
-        return spark.createDataFrame([(0,)], "length int")
+        return spark.createDataFrame([(0, [start])], schema)
     both = cut(undirected(edges))
-    sides = [spark.createDataFrame([(x,)], "id string") for x in (start, goal)]
-    seen, fronts = list(sides), list(sides)
+    fronts = [spark.createDataFrame([(x, [x])], "id string, path array<string>") for x in (start, goal)]
+    seen = [f.select("id") for f in fronts]
     for length in range(1, most + 1):
         k = 0 if length % 2 else 1  # the two ends take turns
-        new = both.join(fronts[k].select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        grown = F.concat("path", F.array("dst")) if k == 0 else F.concat(F.array("dst"), "path")
+        new = both.join(fronts[k].withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(grown).alias("path"))
         fronts[k] = cut(new.join(seen[k], "id", "left_anti"))
         if fronts[k].isEmpty():
             break
-        seen[k] = seen[k].union(fronts[k])
-        if not fronts[k].join(seen[1 - k], "id", "left_semi").isEmpty():
-            return spark.createDataFrame([(length,)], "length int")
-    return spark.createDataFrame([], "length int")
+        seen[k] = seen[k].union(fronts[k].select("id"))
+        met = fronts[0].join(fronts[1].withColumnRenamed("path", "rest"), "id").select(F.concat("path", F.expr("slice(rest, 2, size(rest))")).alias("path"))
+        found = met.agg(F.min("path").alias("path")).where("path IS NOT NULL")
+        if not found.isEmpty():
+            return found.select(F.lit(length).alias("length"), "path")
+    return spark.createDataFrame([], schema)
+
+
+def path_length(edges: DataFrame, start: str, goal: str, most: int = 10) -> DataFrame:
+    """(length) of the shortest undirected path."""
+    return shortest_path(edges, start, goal, most).select("length")
+
+
+def tenant_clusters(edges: DataFrame) -> DataFrame:
+    """Corroborating and contradicting edges (investigation_id, src, dst, weight) with the component that they form in their tenant."""
+    mine = edges.where("type IN ('CORROBORATES', 'CONTRADICTS')")
+    tag = lambda c: F.concat(F.col("investigation_id").cast("string"), F.lit("|"), c)
+    found = clusters(mine.select(tag("src").alias("src"), tag("dst").alias("dst"))).select(F.split("id", "\\|", 2)[0].alias("_t"), F.split("id", "\\|", 2)[1].alias("src"), F.split("component", "\\|", 2)[1].alias("component"))
+    return mine.withColumn("_t", F.col("investigation_id").cast("string")).join(found, ["_t", "src"]).select("investigation_id", "src", "dst", "type", "weight", "component")
 
 
 def clusters(edges: DataFrame) -> DataFrame:
@@ -218,7 +275,7 @@ def betweenness(edges: DataFrame, pivots: list[str], most: int = 6) -> DataFrame
 
 def run(name: str, edges: DataFrame, facts: DataFrame | None = None, **options) -> DataFrame:
     """A graph query by name."""
-    known = {"entity_network": network, "corroboration_clusters": clusters, "corroboration": clusters, "shortest_path": path_length, "pagerank": pagerank, "communities": communities}
+    known = {"entity_network": network, "corroboration_clusters": clusters, "corroboration": clusters, "shortest_path": shortest_path, "pagerank": pagerank, "communities": communities}
     if name == "timeline":
         return timeline(edges, facts, **options)
     if name not in known:

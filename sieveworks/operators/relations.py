@@ -101,6 +101,12 @@ def export_entities(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("investigation_id", key.alias("entity_key")).agg(F.min_by("name", "ord").alias("name"), F.count_distinct("fact_id").alias("fact_count"), F.min_by("fact_id", "ord").alias("first_fact"))
 
 
+def entity_facts(mentions: DataFrame) -> DataFrame:
+    """The facts of each entity, once, with the place where it is first seen: rows in place of a list, which a frequent name would make endless."""
+    key = F.concat(blank_as("canonical", F.col("name")), F.lit(":"), F.col("entity_type"))
+    return mentions.groupBy("investigation_id", key.alias("entity_key"), "fact_id").agg(F.min("ord").alias("first_seen"))
+
+
 def source_inventory(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     """Sources with the highest authority that any evidence gives them, clamped to 0..1, and their newest fact."""
     best = evidence.groupBy("fact_id").agg(F.max("authority_score").alias("a"))
@@ -108,6 +114,17 @@ def source_inventory(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.groupBy("investigation_id", "source_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.max("a"), F.lit(0.5)))).alias("authority"), F.max("stored_at").alias("last_seen"), F.count("*").alias("fact_count"))
 
 
+def overall_confidence(tenants: DataFrame, ver: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Mean confidence of each tenant with its level, number of sources and highest authority; low and 0 without any check."""
+    items = evidence.groupBy("fact_id").agg(F.count_distinct("source_domain").alias("s"), F.max("authority_score").alias("m"))
+    checks = ver.join(items, "fact_id", "left").groupBy("investigation_id").agg(F.avg("original_confidence").alias("a"), F.count("*").alias("n"), F.sum("s").alias("sources"), F.max("m").alias("authority"))
+    a = F.col("a")
+    level = F.when(a > 0.7, "high").when(a >= 0.4, "moderate").otherwise("low")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    rows = tenants.join(checks, "investigation_id", "left")
+    return rows.select("investigation_id", level.alias("level"), F.round(F.coalesce(a, F.lit(0.0)), 3).alias("numeric_score"), zero("n"), zero("sources"), F.coalesce("authority", F.lit(0.0)).alias("authority"))
+
+
 def recurring_entities(mentions: DataFrame, least: int = 3) -> DataFrame:
     """Names in at least `least` facts of a tenant; count has every mention."""
     out = mentions.groupBy("investigation_id", "canonical").agg(F.count("*").alias("count"), F.count_distinct("fact_id").alias("facts"), F.min_by("entity_type", "ord").alias("entity_type"))
@@ -161,6 +178,46 @@ def consolidated(facts: DataFrame) -> DataFrame:
     return out.select("investigation_id", "content_hash", "fact_id", "n", F.expr("transform(slice(all, 2, size(all)), x -> x.fact_id)").alias("variants"))
 
 
+def additional_sources(facts: DataFrame) -> DataFrame:
+    """Of each hash the sources of its later facts, once: what the first fact takes over from its variants."""
+    ids = facts.where("fact_id IS NOT NULL")
+    firsts = ids.groupBy("investigation_id", "content_hash").agg(F.min_by("fact_id", "ord").alias("fact_id"), F.min("ord").alias("first"))
+    later = ids.where("source_id <> ''").select("investigation_id", "content_hash", "source_id", "ord").join(firsts, ["investigation_id", "content_hash"]).where("ord > first")
+    return later.select("investigation_id", "content_hash", "fact_id", "source_id").distinct()
+
+
+def variant_links(table: DataFrame, new: DataFrame) -> DataFrame:
+    """(investigation_id, fact_id, variant_id), both ways: each inserted fact and the first that the tenant holds with its hash.
+
+    Stored facts come before new ones; new facts with a stored id or without an id are skipped.
+    """
+    columns = ["investigation_id", "content_hash", "fact_id", "ord"]
+    fresh = first_per(new.where("fact_id IS NOT NULL").select(*columns).join(table.select("fact_id"), "fact_id", "left_anti"), ["fact_id"], [F.col("ord")]).select(*columns)
+    every = table.select(*columns, F.lit(0).alias("late")).union(fresh.withColumn("late", F.lit(1))).where("content_hash <> ''")
+    firsts = every.groupBy("investigation_id", "content_hash").agg(F.min_by("fact_id", F.struct("late", "ord")).alias("variant_id"))
+    pairs = fresh.join(firsts, ["investigation_id", "content_hash"]).where("fact_id <> variant_id").select("investigation_id", "fact_id", "variant_id")
+    return pairs.union(pairs.select("investigation_id", F.col("variant_id").alias("fact_id"), F.col("fact_id").alias("variant_id")))
+
+
+#: Legal next states of an investigation; the others are terminal.
+TRANSITIONS = {"pending": ("running", "cancelled"), "running": ("completed", "failed", "cancelled")}
+
+
+def transitions(requests: DataFrame, key: str, order: str) -> DataFrame:
+    """requests (expected, wanted) with a column verdict: ok, or conflict where the state is not as expected or the step illegal.
+
+    Every key starts as pending. A legal path has two steps at most, so the first request that
+    leaves pending and the first after it that leaves running are found by aggregation.
+    """
+    legal = lambda state: (F.col("expected") == state) & F.col("wanted").isin(*TRANSITIONS[state])
+    one = requests.where(legal("pending")).groupBy(key).agg(F.min(F.struct(order, "wanted")).alias("one"))
+    asked = requests.join(one, key, "left")
+    started = (F.col("one.wanted") == "running") & legal("running") & (F.col(order) > F.col(f"one.{order}"))
+    two = asked.where(started).groupBy(key).agg(F.min(order).alias("two"))
+    done = (F.col(order) == F.col(f"one.{order}")) | (F.col(order) == F.col("two"))
+    return asked.join(two, key, "left").withColumn("verdict", F.when(done, "ok").otherwise("conflict")).drop("one", "two")
+
+
 def heaviest_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "type").agg(F.max("weight").alias("weight"))
 

@@ -101,7 +101,13 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
 
 
 def fact_statistics(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("investigation_id").agg(F.count("*").alias("total"), F.count_distinct(F.nullif(F.col("content_hash"), F.lit(""))).alias("hashes"), F.count_distinct(F.nullif(F.col("source_id"), F.lit(""))).alias("sources"))
+    """Of each tenant: facts, distinct hashes, facts that share theirs with another, distinct sources and the facts of each."""
+    alike = facts.groupBy("investigation_id", blank_as("content_hash", "").alias("h")).agg(F.count("*").alias("n"))
+    some = (F.col("n") > 1) & (F.col("h") != "")
+    totals = alike.groupBy("investigation_id").agg(F.sum("n").alias("total"), F.count_if(F.col("h") != "").alias("hashes"), F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("with_variants"))
+    each = source_counts(facts, "source_id", "").where("source <> ''").groupBy("investigation_id")
+    sources = each.agg(F.count("*").alias("sources"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("by_source"))
+    return totals.join(sources, "investigation_id", "left").withColumn("sources", F.coalesce("sources", F.lit(0)))
 
 
 def source_counts(rows: DataFrame, column: str, default: str) -> DataFrame:

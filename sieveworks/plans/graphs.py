@@ -36,15 +36,31 @@ def _(v):
     return edges.groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("j05_fact_mapping", "SELECT type, count(*) AS n, count(DISTINCT dst) AS targets FROM (SELECT DISTINCT fact_id, investigation_id || ':' || canonical AS dst, 'MENTIONS' AS type FROM p_mentions UNION ALL SELECT fact_id, source_id, 'SOURCED_FROM' FROM p_facts WHERE source_id <> '' UNION ALL SELECT fact_id, investigation_id::VARCHAR, 'PART_OF' FROM p_facts) GROUP BY 1")
+@query("j05_fact_mapping", "SELECT type, count(*) AS n, count(DISTINCT dst) AS targets, max(weight) AS weight FROM (SELECT DISTINCT fact_id, investigation_id || ':' || canonical AS dst, 'MENTIONS' AS type, 1.0E0 AS weight FROM p_mentions UNION ALL SELECT fact_id, source_id, 'SOURCED_FROM', 0.8E0 FROM p_facts WHERE source_id <> '' UNION ALL SELECT fact_id, CAST(investigation_id AS STRING), 'PART_OF', 1.0E0 FROM p_facts UNION ALL SELECT fact_id, CAST(investigation_id AS STRING), 'VERIFIED_BY', 0.9E0 FROM p_ver) GROUP BY type")
 def _(v):
-    return G.mapped(v.p_facts, v.p_mentions).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("dst").alias("targets"))
+    return G.mapped(v.p_facts, v.p_mentions, v.p_ver).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("dst").alias("targets"), F.max("weight").alias("weight"))
 
 
-@query("j06_semantic_edges", "SELECT type, count(*) AS n FROM p_pairs WHERE weight >= 0.5 GROUP BY 1")
+_STATED = "SELECT CAST(substr(src, 6) AS BIGINT) AS fact_id, CAST(substr(dst, 6) AS BIGINT) AS target_fact_id, CASE WHEN type = 'CONTRADICTS' THEN 'contradicts' WHEN weight < 0.5E0 THEN 'supports' ELSE 'elaborates' END AS type, weight AS confidence FROM p_pairs"
+#: Every fourth of the facts with a related one counts as superseded in time.
+_CHECKED = "SELECT fact_id, related_fact_id, CASE WHEN related_fact_id IS NOT NULL AND fact_id % 32 = 1 THEN 'superseded' ELSE status END AS status, CASE WHEN fact_id % 64 = 1 THEN 'temporal' ELSE 'other' END AS contradiction_type FROM p_ver"
+
+
+@query("j06_semantic_edges", f"""
+WITH ver AS ({_CHECKED}), rel AS ({_STATED}), ev AS (SELECT fact_id, supports_claim, greatest(0.0E0, least(1.0E0, 0.5E0 + 0.3E0 * avg(authority_score) + least(0.2E0, 0.05E0 * ln(1 + count(*))))) AS weight, count(*) AS items FROM p_evidence GROUP BY 1, 2),
+names AS (SELECT DISTINCT fact_id, entity_type, 'Entity:' || investigation_id || ':' || coalesce(nullif(canonical, ''), name) AS id FROM p_mentions)
+SELECT type, src, dst, round(weight, 6) AS weight FROM (
+SELECT 'CORROBORATES' AS type, 'Fact:' || f.fact_id AS src, 'Fact:' || o.fact_id AS dst, ev.weight FROM ver JOIN ev ON ev.fact_id = ver.fact_id AND supports_claim AND items >= 2 JOIN p_facts f ON f.fact_id = ver.fact_id
+  JOIN (SELECT a.fact_id AS x, b.fact_id FROM p_facts a JOIN p_facts b ON a.investigation_id = b.investigation_id AND a.content_hash = b.content_hash UNION SELECT a.fact_id, b.fact_id FROM p_facts a JOIN p_facts b ON a.investigation_id = b.investigation_id AND a.claim_text = b.claim_text) o ON o.x = f.fact_id AND o.fact_id <> f.fact_id WHERE ver.status = 'confirmed'
+UNION ALL SELECT 'CONTRADICTS', 'Fact:' || ver.fact_id, 'Fact:' || related_fact_id, ev.weight FROM ver JOIN ev ON ev.fact_id = ver.fact_id AND NOT supports_claim WHERE status = 'refuted' AND related_fact_id IS NOT NULL
+UNION ALL SELECT 'CONTRADICTS', 'Fact:' || fact_id, 'Fact:' || target_fact_id, confidence FROM rel WHERE type = 'contradicts'
+UNION ALL SELECT 'SUPERSEDES', 'Fact:' || fact_id, 'Fact:' || related_fact_id, 0.9E0 FROM ver WHERE status = 'superseded' AND contradiction_type = 'temporal' AND related_fact_id IS NOT NULL
+UNION ALL SELECT 'RELATED_TO', 'Fact:' || fact_id, 'Fact:' || target_fact_id, confidence FROM rel WHERE type IN ('supports', 'elaborates')
+UNION ALL SELECT 'LOCATED_AT', a.id, b.id, CASE WHEN claim_type = 'state' THEN 0.8E0 ELSE 0.7E0 END FROM (SELECT DISTINCT fact_id, id FROM names WHERE entity_type IN ('PERSON', 'ORGANIZATION')) a JOIN (SELECT DISTINCT fact_id, id FROM names WHERE entity_type = 'LOCATION') b ON a.fact_id = b.fact_id JOIN p_facts f ON f.fact_id = a.fact_id)""")
 def _(v):
-    good, _bad = G.accepted(v.p_pairs)
-    return good.where("weight >= 0.5").groupBy("type").agg(F.count("*").alias("n"))
+    checked = v.spark.sql(_CHECKED.replace("FROM p_ver", "FROM {p_ver}"), p_ver=v.p_ver)
+    stated = v.spark.sql(_STATED.replace("FROM p_pairs", "FROM {p_pairs}"), p_pairs=v.p_pairs)
+    return G.semantic(v.p_facts, checked, v.p_evidence, v.p_mentions, stated).select("type", "src", "dst", F.round("weight", 6).alias("weight"))
 
 
 _HOPS = "WITH RECURSIVE u AS (SELECT DISTINCT src AS a, dst AS b FROM p_edges UNION SELECT DISTINCT dst, src FROM p_edges), r AS (SELECT '{start}' AS id, 0 AS hop UNION SELECT u.b, r.hop + 1 FROM r JOIN u ON u.a = r.id WHERE r.hop < {hops})"
@@ -55,14 +71,19 @@ def _(v):
     return G.neighbourhood(v.p_edges, "Entity:1", 2)
 
 
-@query("j08_clusters", "WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM p_pairs WHERE investigation_id = 1 AND type = 'CORROBORATES' UNION SELECT dst, src FROM p_pairs WHERE investigation_id = 1 AND type = 'CORROBORATES'), r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS id, min(b) AS component FROM r GROUP BY a")
+_CLUSTERS = "WITH RECURSIVE e AS (SELECT investigation_id AS t, src AS a, dst AS b FROM p_pairs UNION SELECT investigation_id, dst, src FROM p_pairs), r AS (SELECT t, a, a AS b FROM e UNION SELECT r.t, r.a, e.b FROM r JOIN e ON e.t = r.t AND e.a = r.b), c AS (SELECT t, a, min(b) AS component FROM r GROUP BY t, a) "
+
+
+@query("j08_clusters", _CLUSTERS + "SELECT investigation_id, src, dst, type, weight, component FROM p_pairs JOIN c ON t = investigation_id AND a = src WHERE type IN ('CORROBORATES', 'CONTRADICTS')")
 def _(v):
-    return G.clusters(v.p_pairs.where("investigation_id = 1 AND type = 'CORROBORATES'"))
+    return G.tenant_clusters(v.p_pairs).orderBy("investigation_id", F.desc("weight"), "src", "dst")
 
 
-@query("d31_graph_summary", "SELECT count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM p_edges")
+@query("d31_graph_summary", _CLUSTERS + "SELECT investigation_id, count(*) AS edges, count(DISTINCT component) AS clusters, any_value(n) AS nodes FROM p_pairs JOIN c ON t = investigation_id AND a = src JOIN (SELECT t, count(*) AS n FROM c GROUP BY t) m ON m.t = investigation_id GROUP BY 1")
 def _(v):
-    return v.p_edges.agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+    found = v.p_pairs
+    nodes = found.select("investigation_id", F.explode(F.array("src", "dst")).alias("id")).groupBy("investigation_id").agg(F.count_distinct("id").alias("nodes"))
+    return G.tenant_clusters(found).groupBy("investigation_id").agg(F.count("*").alias("edges"), F.count_distinct("component").alias("clusters")).join(nodes, "investigation_id")
 
 
 @query("j09_timeline", "SELECT DISTINCT f.fact_id, f.temporal_value FROM p_edges e JOIN p_facts f ON e.src = 'Fact:' || f.fact_id WHERE e.type = 'MENTIONS' AND e.dst = 'Entity:1' AND f.temporal_value IS NOT NULL")
@@ -70,9 +91,12 @@ def _(v):
     return G.timeline(v.p_edges, v.p_facts, "Entity:1").select("fact_id", "temporal_value")
 
 
-@query("j10_shortest_path", _HOPS.format(start="Entity:1", hops=4) + " SELECT min(hop) AS length FROM r WHERE id = 'Entity:2'")
+_PATH = _HOPS.format(start="Entity:2", hops=4) + ", h AS (SELECT id, min(hop) AS hop FROM r GROUP BY id), w AS (SELECT id, hop, [id] AS path FROM h WHERE id = 'Entity:1' UNION ALL SELECT h.id, h.hop, list_append(w.path, h.id) FROM w JOIN u ON u.a = w.id JOIN h ON h.id = u.b AND h.hop = w.hop - 1) "
+
+
+@query("j10_shortest_path", _PATH + "SELECT len(min(path)) - 1 AS length, array_to_string(min(path), ' > ') AS path FROM w WHERE hop = 0")
 def _(v):
-    return G.path_length(v.p_edges, "Entity:1", "Entity:2")
+    return G.shortest_path(v.p_edges, "Entity:1", "Entity:2").select("length", F.concat_ws(" > ", "path").alias("path"))
 
 
 @query("j11_pagerank", None)
@@ -90,6 +114,14 @@ def _(v):
     return G.betweenness_of_all(v.p_pairs)
 
 
+@query("j15_dispatch", _PATH + "SELECT 'shortest_path' AS pattern, CAST(len(min(path)) - 1 AS BIGINT) AS n FROM w WHERE hop = 0 UNION ALL SELECT 'timeline', count(DISTINCT f.fact_id) FROM p_edges e JOIN p_facts f ON e.src = 'Fact:' || f.fact_id WHERE e.type = 'MENTIONS' AND e.dst = 'Entity:1' AND f.temporal_value IS NOT NULL UNION ALL SELECT 'pagerank', count(*) FROM (SELECT src FROM p_pairs UNION SELECT dst FROM p_pairs) UNION ALL SELECT 'corroboration', count(*) FROM (SELECT src FROM p_pairs UNION SELECT dst FROM p_pairs)")
+def _(v):
+    some = lambda pattern, value, edges, **more: G.run(pattern, edges, **more).select(F.lit(pattern).alias("pattern"), value.alias("n"))
+    out = some("shortest_path", F.col("length").cast("long"), v.p_edges, start="Entity:1", goal="Entity:2")
+    out = out.union(some("timeline", F.count("*"), v.p_edges, facts=v.p_facts, entity="Entity:1"))
+    return out.union(some("pagerank", F.count("*"), v.p_pairs)).union(some("corroboration", F.count("*"), v.p_pairs))
+
+
 @query("j17_node_name", "SELECT DISTINCT 'Entity:' || canonical AS id, coalesce(nullif(canonical, ''), 'Entity:' || canonical) AS shown FROM p_mentions")
 def _(v):
     id_ = F.concat(F.lit("Entity:"), "canonical")

@@ -390,9 +390,10 @@ def _(v):
     return v.p_facts.agg(F.count("*").alias("n"), *(F.count_distinct(c).alias(n) for c, n in (("investigation_id", "tenants"), ("content_hash", "hashes"), ("source_id", "sources"))))
 
 
-@query("d04_fact_stats", "SELECT investigation_id, count(*) AS total, count(DISTINCT nullif(content_hash, '')) AS hashes, count(DISTINCT nullif(source_id, '')) AS sources FROM p_facts GROUP BY investigation_id")
+@query("d04_fact_stats", "SELECT t.*, coalesce(sources, 0) AS sources, coalesce(by_source, '') AS by_source FROM (SELECT investigation_id, sum(n) AS total, count(*) FILTER (WHERE h <> '') AS hashes, coalesce(sum(n) FILTER (WHERE n > 1 AND h <> ''), 0) AS with_variants FROM (SELECT investigation_id, coalesce(content_hash, '') AS h, count(*) AS n FROM p_facts GROUP BY 1, 2) GROUP BY 1) t LEFT JOIN (SELECT investigation_id, count(*) AS sources, string_agg(source_id || ':' || n, ',' ORDER BY source_id) AS by_source FROM (SELECT investigation_id, source_id, count(*) AS n FROM p_facts WHERE source_id <> '' GROUP BY 1, 2) GROUP BY 1) USING (investigation_id)")
 def _(v):
-    return S.fact_statistics(v.p_facts)
+    shown = F.expr("array_join(transform(array_sort(map_entries(by_source)), x -> x.key || ':' || x.value), ',')")
+    return S.fact_statistics(v.p_facts).withColumn("by_source", F.coalesce(shown, F.lit("")))
 
 
 @query("d05_article_stats", "SELECT investigation_id, coalesce(nullif(source_name, ''), 'Unknown') AS source, count(*) AS n FROM p_articles GROUP BY ALL")
@@ -430,6 +431,11 @@ def _(v):
     return R.export_entities(v.p_mentions)
 
 
+@query("d10_entity_facts", "SELECT investigation_id, coalesce(nullif(canonical, ''), name) || ':' || entity_type AS entity_key, fact_id, min(ord) AS first_seen FROM p_mentions GROUP BY 1, 2, 3")
+def _(v):
+    return R.entity_facts(v.p_mentions)
+
+
 @query("d11_article_sources", "SELECT source_name, first(source_kind ORDER BY ord) AS kind, max(authority_score) AS authority, count(*) AS n FROM p_articles GROUP BY source_name")
 def _(v):
     g = v.p_articles.groupBy("source_name").agg(F.min_by(F.struct("source_kind"), "ord").alias("f"), F.max("authority_score").alias("authority"), F.count("*").alias("n"))
@@ -446,12 +452,15 @@ def _(v):
     return v.p_ver.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("d14_snapshot", "SELECT f.investigation_id, f.n AS facts, coalesce(c.n, 0) AS classified, coalesce(c.d, 0) AS dubious, coalesce(r.n, 0) AS verified FROM (SELECT investigation_id, count(*) AS n FROM p_facts GROUP BY 1) f LEFT JOIN (SELECT investigation_id, count(*) AS n, count(*) FILTER (WHERE len(dubious_flags) > 0) AS d FROM p_class GROUP BY 1) c USING (investigation_id) LEFT JOIN (SELECT investigation_id, count(*) AS n FROM p_ver GROUP BY 1) r USING (investigation_id)")
+@query("d14_snapshot", "SELECT f.*, coalesce(c.n, 0) AS classified, coalesce(c.d, 0) AS dubious, coalesce(c.k, 0) AS critical, coalesce(r.n, 0) AS verified, coalesce(r.y, 0) AS confirmed, coalesce(r.x, 0) AS refuted, coalesce(i.n, 0) AS sources, i.best FROM (SELECT investigation_id, count(*) AS facts, count(*) FILTER (WHERE temporal_value <> '') AS dated, min(nullif(temporal_value, '')) AS earliest, max(nullif(temporal_value, '')) AS latest FROM p_facts GROUP BY 1) f LEFT JOIN (SELECT investigation_id, count(*) AS n, count(*) FILTER (WHERE len(dubious_flags) > 0) AS d, count(*) FILTER (WHERE impact_tier = 'critical') AS k FROM p_class GROUP BY 1) c USING (investigation_id) LEFT JOIN (SELECT investigation_id, count(*) AS n, count(*) FILTER (WHERE status = 'confirmed') AS y, count(*) FILTER (WHERE status = 'refuted') AS x FROM p_ver GROUP BY 1) r USING (investigation_id) LEFT JOIN (SELECT investigation_id, count(DISTINCT source_id) AS n, greatest(0.0E0, least(1.0E0, max(coalesce(a, 0.5E0)))) AS best FROM p_facts LEFT JOIN (SELECT fact_id, max(authority_score) AS a FROM p_evidence GROUP BY 1) USING (fact_id) WHERE source_id <> '' GROUP BY 1) i USING (investigation_id)")
 def _(v):
-    f = v.p_facts.groupBy("investigation_id").agg(F.count("*").alias("facts"))
-    c = v.p_class.groupBy("investigation_id").agg(F.count("*").alias("classified"), F.count_if(F.size("dubious_flags") > 0).alias("dubious"))
-    r = v.p_ver.groupBy("investigation_id").agg(F.count("*").alias("verified"))
-    return f.join(c, "investigation_id", "left").join(r, "investigation_id", "left").fillna(0)
+    dated = F.nullif(F.col("temporal_value"), F.lit(""))
+    f = v.p_facts.groupBy("investigation_id").agg(F.count("*").alias("facts"), F.count(dated).alias("dated"), F.min(dated).alias("earliest"), F.max(dated).alias("latest"))
+    c = v.p_class.groupBy("investigation_id").agg(F.count("*").alias("classified"), F.count_if(F.size("dubious_flags") > 0).alias("dubious"), F.count_if(F.col("impact_tier") == "critical").alias("critical"))
+    r = v.p_ver.groupBy("investigation_id").agg(F.count("*").alias("verified"), F.count_if(F.col("status") == "confirmed").alias("confirmed"), F.count_if(F.col("status") == "refuted").alias("refuted"))
+    i = R.source_inventory(v.p_facts, v.p_evidence).groupBy("investigation_id").agg(F.count("*").alias("sources"), F.max("authority").alias("best"))
+    counts = ["classified", "dubious", "critical", "verified", "confirmed", "refuted", "sources"]
+    return f.join(c, "investigation_id", "left").join(r, "investigation_id", "left").join(i, "investigation_id", "left").fillna(0, counts)
 
 
 @query("d15_recurring_entities", "SELECT investigation_id, canonical, count(*) AS count, count(DISTINCT fact_id) AS facts, first(entity_type ORDER BY ord) AS entity_type FROM p_mentions GROUP BY 1, 2 HAVING count(DISTINCT fact_id) >= 3")
@@ -459,9 +468,11 @@ def _(v):
     return R.recurring_entities(v.p_mentions)
 
 
-@query("d16_source_clusters", "SELECT investigation_id, coalesce(source_type, 'unknown') AS source_type, count(*) AS n, min(fact_id) AS first_fact FROM p_facts GROUP BY 1, 2")
+@query("d16_source_clusters", "SELECT investigation_id, coalesce(source_type, 'unknown') AS source_type, fact_id, count(*) OVER (PARTITION BY investigation_id, coalesce(source_type, 'unknown')) AS n FROM p_facts")
 def _(v):
-    return v.p_facts.groupBy("investigation_id", F.coalesce("source_type", F.lit("unknown")).alias("source_type")).agg(F.count("*").alias("n"), F.min("fact_id").alias("first_fact"))
+    rows = v.p_facts.select("investigation_id", F.coalesce("source_type", F.lit("unknown")).alias("source_type"), "fact_id")
+    sizes = rows.groupBy("investigation_id", "source_type").agg(F.count("*").alias("n"))
+    return rows.join(sizes, ["investigation_id", "source_type"])
 
 
 @query("d17_day_clusters", "SELECT investigation_id, substring(temporal_value, 1, 10) AS day_key, count(*) AS n FROM p_facts WHERE temporal_value <> '' GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -475,15 +486,30 @@ def _(v):
     return g.select(F.coalesce(F.col("investigation_id").cast("string"), F.lit("all")).alias("tenant"), F.coalesce("status", F.lit("all")).alias("status"), "n")
 
 
-@query("d19_dashboard", "SELECT f.investigation_id, f.n AS facts, r.v AS version FROM (SELECT investigation_id, count(*) AS n FROM p_facts GROUP BY 1) f LEFT JOIN (SELECT investigation_id, max(version) AS v FROM p_reports GROUP BY 1) r USING (investigation_id)")
+_STATS = "SELECT f.investigation_id, f.n AS f, f.h, coalesce(c.n, 0) AS c, coalesce(c.k, 0) AS k, coalesce(c.d, 0) AS d, coalesce(r.n, 0) AS r, coalesce(r.y, 0) AS y, coalesce(r.p, 0) AS p FROM (SELECT investigation_id, count(*) AS n, count(DISTINCT content_hash) AS h FROM p_facts GROUP BY 1) f LEFT JOIN (SELECT investigation_id, count(*) AS n, count(*) FILTER (WHERE impact_tier = 'critical') AS k, count(*) FILTER (WHERE len(dubious_flags) > 0) AS d FROM p_class GROUP BY 1) c USING (investigation_id) LEFT JOIN (SELECT investigation_id, count(*) AS n, count(*) FILTER (WHERE status = 'confirmed') AS y, count(*) FILTER (WHERE requires_human_review AND NOT human_review_completed) AS p FROM p_ver GROUP BY 1) r USING (investigation_id)"
+
+
+def _stats(v):
+    """Per tenant: facts and hashes; classified, critical, dubious; verified, confirmed, awaiting review."""
+    f = S.fact_statistics(v.p_facts).select("investigation_id", F.col("total").alias("f"), F.col("hashes").alias("h"))
+    c = S.classification_statistics(v.p_class).select("investigation_id", F.col("total").alias("c"), F.col("critical").alias("k"), F.col("dubious").alias("d"))
+    r = S.verification_statistics(v.p_ver).groupBy("investigation_id").agg(F.sum("n").alias("r"), F.sum(F.when(F.col("status") == "confirmed", F.col("n")).otherwise(0)).alias("y"), F.sum("pending_review").alias("p"))
+    return f.join(c, "investigation_id", "left").join(r, "investigation_id", "left").fillna(0, list("ckdryp"))
+
+
+@query("d19_dashboard", f"SELECT s.*, r.version FROM ({_STATS}) s LEFT JOIN (SELECT investigation_id, max(version) AS version FROM p_reports GROUP BY 1) r USING (investigation_id)")
 def _(v):
-    return v.p_facts.groupBy("investigation_id").agg(F.count("*").alias("facts")).join(v.p_reports.groupBy("investigation_id").agg(F.max("version").alias("version")), "investigation_id", "left")
+    return _stats(v).join(v.p_reports.groupBy("investigation_id").agg(F.max("version").alias("version")), "investigation_id", "left")
+
+
+_JSON = """'{"facts":{"total":' || f || ',"hashes":' || h || '},"classifications":{"total":' || c || ',"critical":' || k || ',"dubious":' || d || '},"verifications":{"total":' || r || ',"confirmed":' || y || ',"pending_review":' || p || '}}'"""
 
 
-@query("d20_stats_json", "SELECT investigation_id, count(*) FILTER (WHERE impact_tier = 'critical') AS critical, count(*) AS total FROM p_class GROUP BY 1")
+@query("d20_stats_json", f"SELECT investigation_id, {_JSON} AS stats FROM ({_STATS})")
 def _(v):
-    g = v.p_class.groupBy("investigation_id").agg(F.struct(F.count_if(F.col("impact_tier") == "critical").alias("critical"), F.count("*").alias("total")).alias("s"))
-    return g.select("investigation_id", "s.*")
+    part = lambda **names: F.struct(*(F.col(c).alias(n) for n, c in names.items()))
+    stats = F.struct(part(total="f", hashes="h").alias("facts"), part(total="c", critical="k", dubious="d").alias("classifications"), part(total="r", confirmed="y", pending_review="p").alias("verifications"))
+    return _stats(v).select("investigation_id", F.to_json(stats).alias("stats"))
 
 
 @query("d21_queue_stats", "SELECT status, count(*) AS n, count(DISTINCT source_type) AS sources FROM p_tasks GROUP BY status")
@@ -526,10 +552,10 @@ def _(v):
     return v.p_facts.groupBy("investigation_id").agg(part(F.count_distinct("source_id"), 10).alias("sources"), part(F.count_distinct("source_type"), 5).alias("topics"), part(days, 30).alias("span"))
 
 
-@query("d28_overall_confidence", "SELECT investigation_id, CASE WHEN a > 0.7 THEN 'high' WHEN a >= 0.4 THEN 'moderate' ELSE 'low' END AS level, n FROM (SELECT investigation_id, avg(original_confidence) AS a, count(*) AS n FROM p_ver GROUP BY 1)")
+@query("d28_overall_confidence", "SELECT investigation_id, CASE WHEN a > 0.7 THEN 'high' WHEN a >= 0.4 THEN 'moderate' ELSE 'low' END AS level, round(coalesce(a, 0.0E0), 3) AS numeric_score, n, sources, authority FROM (SELECT t.investigation_id, avg(original_confidence) AS a, count(fact_id) AS n, coalesce(sum(s), 0) AS sources, coalesce(max(m), 0.0E0) AS authority FROM (SELECT investigation_id FROM p_reports UNION SELECT investigation_id FROM p_facts) t LEFT JOIN (SELECT p_ver.*, e.s, e.m FROM p_ver LEFT JOIN (SELECT fact_id, count(DISTINCT source_domain) AS s, max(authority_score) AS m FROM p_evidence GROUP BY 1) e USING (fact_id)) USING (investigation_id) GROUP BY 1)")
 def _(v):
-    a = F.col("a")
-    return v.p_ver.groupBy("investigation_id").agg(F.avg("original_confidence").alias("a"), F.count("*").alias("n")).select("investigation_id", F.when(a > 0.7, "high").when(a >= 0.4, "moderate").otherwise("low").alias("level"), "n")
+    tenants = v.p_reports.select("investigation_id").union(v.p_facts.select("investigation_id")).distinct()
+    return R.overall_confidence(tenants, v.p_ver, v.p_evidence)
 
 
 @query("d29_drop_reasons", "SELECT CASE WHEN k > 1 THEN 'duplicate' WHEN source_id IS NULL OR source_id = '' THEN 'no_source' ELSE 'kept' END AS reason, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY ord) AS k FROM p_facts) GROUP BY 1")
@@ -702,6 +728,11 @@ def _(v):
     return R.consolidated(v.p_facts).withColumn("variants", F.concat_ws(",", F.col("variants").cast("array<string>")))
 
 
+@query("g05_additional_sources", "SELECT DISTINCT f.investigation_id, f.content_hash, m.fact_id, f.source_id FROM p_facts f JOIN (SELECT investigation_id, content_hash, arg_min(fact_id, ord) AS fact_id, min(ord) AS o FROM p_facts GROUP BY 1, 2) m ON m.investigation_id = f.investigation_id AND m.content_hash = f.content_hash WHERE f.ord > m.o AND f.source_id <> ''")
+def _(v):
+    return R.additional_sources(v.p_facts)
+
+
 @query("g07_edge_dedup", "SELECT src, dst, type, max(weight) AS weight FROM p_edges GROUP BY 1, 2, 3")
 def _(v):
     return R.heaviest_edges(v.p_edges)
@@ -752,6 +783,11 @@ def _(v):
     return new.agg(F.count("*").alias("total"), F.count_if(~fresh).alias("skipped"), F.count_if(fresh).alias("saved"), F.count_if(fresh & F.col("same").isNotNull()).alias("updated"))
 
 
+@query("l01_variant_links", "WITH w AS (SELECT *, first(fact_id) OVER (PARTITION BY investigation_id, content_hash ORDER BY CASE WHEN fact_id % 3 = 0 THEN 0 ELSE 1 END, ord) AS head FROM p_facts), p AS (SELECT investigation_id, fact_id, head FROM w WHERE fact_id % 3 <> 0 AND fact_id <> head) SELECT investigation_id, fact_id, head AS variant_id FROM p UNION ALL SELECT investigation_id, head, fact_id FROM p")
+def _(v):
+    return R.variant_links(v.p_facts.where("fact_id % 3 = 0"), v.p_facts)
+
+
 @query("l02_upsert_articles", "SELECT url, arg_min(investigation_id, ord) AS investigation_id, arg_max(title, ord) AS title FROM p_articles GROUP BY url")
 def _(v):
     old, new = v.p_articles.where("ord < 300"), v.p_articles.where("ord >= 300")
@@ -796,10 +832,14 @@ def _(v):
     return R.inserted(v.p_class.where("fact_id % 4 = 1"), v.p_class, ["fact_id"], [F.col("fact_id")]).select("fact_id")
 
 
-@query("l09_lifecycle", "SELECT event_id, event_type, CASE WHEN b IS NULL OR b <> event_type THEN 'ok' ELSE 'conflict' END AS verdict FROM (SELECT *, lag(event_type) OVER (PARTITION BY investigation_id ORDER BY event_id) AS b FROM p_events)")
+#: Requests made of events: what state they expect and which they want.
+_REQUESTS = "SELECT event_id, investigation_id, CASE WHEN event_id % 3 = 0 THEN 'pending' ELSE 'running' END AS expected, CASE event_id % 5 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'running' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' ELSE 'running' END AS wanted FROM p_events"
+
+
+@query("l09_lifecycle", f"WITH q AS ({_REQUESTS}), a AS (SELECT investigation_id, min(event_id) AS one, arg_min(wanted, event_id) AS became FROM q WHERE expected = 'pending' AND wanted IN ('running', 'cancelled') GROUP BY 1), b AS (SELECT q.investigation_id, min(event_id) AS two FROM q JOIN a ON a.investigation_id = q.investigation_id WHERE became = 'running' AND event_id > one AND expected = 'running' AND wanted IN ('completed', 'failed', 'cancelled') GROUP BY 1) SELECT event_id, expected, wanted, CASE WHEN event_id = one OR event_id = two THEN 'ok' ELSE 'conflict' END AS verdict FROM q LEFT JOIN a ON a.investigation_id = q.investigation_id LEFT JOIN b ON b.investigation_id = q.investigation_id")
 def _(v):
-    before = F.lag("event_type").over(W.partitionBy("investigation_id").orderBy("event_id"))
-    return v.p_events.withColumn("b", before).select("event_id", "event_type", F.when(F.col("b").isNull() | (F.col("b") != F.col("event_type")), "ok").otherwise("conflict").alias("verdict"))
+    requests = v.spark.sql(_REQUESTS.replace("FROM p_events", "FROM {p_events}"), p_events=v.p_events)
+    return R.transitions(requests, "investigation_id", "event_id").select("event_id", "expected", "wanted", "verdict")
 
 
 @query("l10_metadata_touch", "SELECT count(*) > 0 AS found FROM p_class WHERE investigation_id = 6")
