@@ -1,4 +1,4 @@
-"""Text chunks, language guess and rule-based extraction; batches of Arrow rows."""
+"""Language guess as a Column; text chunks and rule-based extraction over batches of Arrow rows."""
 
 from __future__ import annotations
 
@@ -6,29 +6,41 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Frequent words by language.
 COMMON = {"en": {"the", "of", "and", "that", "is"}, "de": {"der", "die", "und", "ist", "ein"}, "fr": {"le", "les", "et", "des", "une"}, "es": {"el", "los", "que", "una", "las"}}
 
 
-def pieces(text: str, size: int) -> list[str]:
-    """Paragraphs packed up to size; longer ones by sentence, then by fixed slices."""
-    parts: list[str] = []
+def _parts(text: str, size: int) -> Iterator[tuple[str, str] | None]:
+    """Paragraphs, sentences of long paragraphs and slices of long sentences, each with what follows it; None ends a chunk."""
     for paragraph in text.split("\n\n"):
         if len(paragraph) <= size:
-            parts.append(paragraph)
+            yield paragraph, "\n\n"
             continue
+        yield None
         for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
-            parts += [sentence[i : i + size] for i in range(0, len(sentence), size)] or [""]
+            if len(sentence) <= size:
+                yield sentence, " "
+                continue
+            for i in range(0, len(sentence), size):
+                yield None
+                yield sentence[i : i + size], ""
+            yield None
+
+
+def pieces(text: str, size: int) -> list[str]:
+    """Chunks of up to size letters: paragraphs as long as they fit, else sentences one space apart, else slices. A short text stays as it is, a blank one has none."""
+    if len(text) <= size:
+        return [text] if text.strip() else []
     out = [""]
-    for part in parts:
-        joined = f"{out[-1]}\n\n{part}" if out[-1] else part
-        if len(joined) <= size:
-            out[-1] = joined
-        else:
-            out.append(part)
-    return [p for p in out if p.strip()]
+    for part in _parts(text, size):
+        if part is None or len(out[-1]) + len(part[0]) + len(part[1]) > size:
+            out.append("")
+        if part:
+            out[-1] += part[0] + part[1]
+    return [p.strip() for p in out if p.strip()]
 
 
 def chunked(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -40,19 +52,17 @@ def chunked(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return rows.select(key, text).mapInPandas(run, "key long, number int, chunk string")
 
 
-def language(text: str | None) -> str:
-    """By frequent words in the first 500 letters; English without evidence."""
-    words = re.findall(r"\w+", (text or "")[:500].lower())
-    scores = {lang: sum(w in known for w in words) for lang, known in COMMON.items()}
-    return max(scores, key=lambda x: (scores[x], x == "en"))
+def language(text: Column) -> Column:
+    """By frequent words in the first 500 letters; English among equals and without evidence."""
+    words = F.split(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 500)), r"[^\p{L}\p{N}_]+")
+    hits = lambda known: F.size(F.filter(words, lambda w: w.isin(*sorted(known))))
+    score = {lang: hits(known) for lang, known in COMMON.items()}
+    most = F.greatest(*score.values())
+    return F.coalesce(*(F.when(n == most, lang) for lang, n in score.items()))
 
 
 def detected(rows: DataFrame, key: str, text: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"key": pdf[key], "language": pdf[text].map(language)})
-
-    return rows.select(key, text).mapInPandas(run, "key long, language string")
+    return rows.select(F.col(key).alias("key"), language(F.col(text)).alias("language"))
 
 
 def sentences(text: str) -> list[dict]:

@@ -55,3 +55,7 @@ MAJOR_EVENTS = ("election", "coup", "assassination", "emergency", "crisis")
 MEETING_EVENTS = ("summit", "diplomatic", "ambassador", "negotiation")
 CLAIM_TYPE_SCORES = {"event": 0.5, "state": 0.3, "relationship": 0.4, "prediction": 0.6, "planned": 0.5}
 LOCATIONS = (r"\b(?:New York|London|Paris|Tokyo|Beijing|Moscow|Washington|Berlin|Sydney)\b", r"\b(?:USA|UK|EU|China|Russia|India|Brazil|Japan|Germany|France)\b")
+#: Signs of a challenge page, of which it shows two.
+CHALLENGE_SIGNS = ("cf-turnstile", "challenge-form", "__cf_chl_f_tk", "cf-browser-verification", "cf_clearance", "Checking your browser", "Enable JavaScript and cookies to continue", r"ray\s+id")
+#: Forms of dates, tried in order after the name of the weekday is taken away.
+DATE_FORMS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss", "d MMM yyyy HH:mm:ss XX", "d MMM yyyy HH:mm:ss z", "MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM", "yyyy")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,3 +81,18 @@ def repaired_json(text: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(text, "(?s)<think>.*?</think>", ""), "```(?:json)?", "")
     array = F.regexp_extract(body, r"(?s)(\[.*\])", 1)
     return F.regexp_replace(F.regexp_replace(array, r"\}\s*\{", "},{"), r",\s*([\]}])", "$1")
+
+
+def challenged(html: Column) -> Column:
+    """A challenge page: short, with two of the signs in its first 5,000 letters."""
+    head = F.substring(html, 1, 5000)
+    signs = [F.rlike(head, F.lit(f"(?i){sign}")).cast("int") for sign in C.CHALLENGE_SIGNS]
+    return (F.length(html) <= 50_000) & (functools.reduce(Column.__add__, signs) >= 2)
+
+
+def instant(text: Column) -> Column:
+    """The moment that a date in one of DATE_FORMS names, UTC where it has no zone; null for any other text."""
+    plain = F.regexp_replace(F.trim(text), "^[A-Za-z]{3,9}, +(?=[0-9])", "")
+    zoned = F.regexp_extract(plain, "([+-][0-9]{2}:?[0-9]{2}|Z|[A-Z]{3})$", 1) != ""
+    found = F.coalesce(*(F.try_to_timestamp(plain, F.lit(form)) for form in C.DATE_FORMS))
+    return F.when(zoned, found).otherwise(F.from_utc_timestamp(found, F.current_timezone()))

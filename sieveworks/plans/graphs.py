@@ -212,11 +212,33 @@ def _(v):
     return asked.join(c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("response")), ["conv_id", "response"]).select("conv_id", "request", "response")
 
 
-@query("a08_feed_entries", None)
+def _landed(v):
+    """Feeds of 25 pages; every tenth is cut off in the middle."""
+    text = lambda *parts: F.concat(*(F.lit(x) if x.startswith("<") else F.col(x).cast("string") for x in parts))
+    link = F.regexp_replace("url", "&", "&amp;").alias("link")
+    item = text("<item><title>", "page_id", "</title><link>", "link", "</link><author>", "writer", "</author><category>pages</category><category/><category>", "writer", "</category></item>")
+    rows = v.table("pages").select("page_id", link, F.expr("'w' || page_id % 3").alias("writer"), F.expr("page_id div 25").alias("n"))
+    feeds_ = rows.groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("item")))), lambda x: x["item"]), "").alias("items"))
+    end = F.when(F.col("n") % 10 == 9, "").otherwise("</channel></rss>")
+    return feeds_.select(F.concat(F.lit("feed"), "n").alias("feed"), F.concat(F.lit("<rss><channel><title>of "), "n", F.lit("</title>"), "items", end).alias("text"))
+
+
+_ENTRIES = "SELECT 'feed' || page_id // 25 AS feed, row_number() OVER (PARTITION BY page_id // 25 ORDER BY page_id) - 1 AS number, CAST(page_id AS STRING) AS title, url AS link, 'w' || page_id % 3 AS author, 'of ' || page_id // 25 AS source, 'pages,w' || page_id % 3 AS tags, url AS id FROM pages WHERE page_id // 25 % 10 <> 9"
+
+
+@query("a08_feed_entries", _ENTRIES)
+def _(v):
+    return feeds.parsed(_landed(v)).select("feed", "number", "title", "link", "author", "source", F.array_join("tags", ",").alias("tags"), "id")
+
+
+@query("a08_feed_reports", "SELECT 'feed' || page_id // 25 AS feed, CASE WHEN page_id // 25 % 10 = 9 THEN 0 ELSE count(*) END AS found, page_id // 25 % 10 = 9 AS malformed FROM pages GROUP BY page_id // 25")
+def _(v):
+    return feeds.reported(_landed(v))
+
+
+@query("a09_feed_poll", f"SELECT feed, number, title FROM ({_ENTRIES}) WHERE number < 20")
 def _(v):
-    item = F.concat(F.lit("<item><title>"), F.col("page_id").cast("string"), F.lit("</title><link>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</link></item>"))
-    landed = v.table("pages").groupBy(F.concat(F.lit("feed"), F.expr("page_id % 7")).alias("feed")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</channel></rss>")).alias("text"))
-    return feeds.polled(feeds.parsed(landed)).select("feed", "number", "title", "link")
+    return feeds.polled(feeds.parsed(_landed(v))).select("feed", "number", "title")
 
 
 @query("a11_page_text", None)
@@ -224,7 +246,11 @@ def _(v):
     return feeds.page_texts(v.table("pages"))
 
 
-@query("h16_language", None)
+_COUNT = "len(list_filter(w, lambda x: list_contains([{}], x)))"
+_SCORES = ", ".join(f"{_COUNT.format(', '.join(repr(x) for x in sorted(known)))} AS {lang}" for lang, known in chunks.COMMON.items())
+
+
+@query("h16_language", f"SELECT doc_id AS key, CASE greatest(en, de, fr, es) WHEN en THEN 'en' WHEN de THEN 'de' WHEN fr THEN 'fr' ELSE 'es' END AS language FROM (SELECT doc_id, {_SCORES} FROM (SELECT doc_id, regexp_split_to_array(lower(substr(coalesce(text, ''), 1, 500)), '[^\\p{{L}}\\p{{N}}_]+') AS w FROM documents))")
 def _(v):
     return chunks.detected(v.table("documents"), "doc_id", "text")
 

@@ -113,9 +113,8 @@ def _(v):
 
 @query("a28_top_comments", "SELECT conv_id, count(*) AS n FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 10 AND text <> '[deleted]' GROUP BY conv_id")
 def _(v):
-    turns = v.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("c"))
-    kept = F.filter(F.slice("c", 1, 10), lambda x: x["text"] != "[deleted]")
-    return turns.select("conv_id", F.size(kept).cast("long").alias("n")).where("n > 0")
+    top = v.table("conversations").withColumn("k", F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))).where("k <= 10 AND text <> '[deleted]'")
+    return top.groupBy("conv_id").agg(F.count("*").alias("n"))
 
 
 @query("a31_redirects", "SELECT p.page_id, m.target FROM p_pages p JOIN (SELECT url, min(page_id) AS target FROM p_pages WHERE page_id % 2 = 0 GROUP BY url) m ON m.url = p.url")

@@ -73,10 +73,14 @@ def _(v):
     return v.p_mentions.select(F.sha2(F.concat_ws(":", F.col("investigation_id").cast("string"), "canonical", "entity_type"), 256).alias("entity_id")).distinct()
 
 
-@query("h07_date_cascade", "SELECT fact_id, epoch(coalesce(try_strptime(t, '%Y-%m-%d'), try_strptime(t, '%Y-%m')))::BIGINT AS at FROM (SELECT fact_id, temporal_value AS t FROM p_facts)")
+@query("h07_date_cascade", "SELECT fact_id, CASE WHEN fact_id % 7 = 0 THEN NULL ELSE CASE fact_id % 6 WHEN 0 THEN day WHEN 1 THEN CAST(epoch(date_trunc('month', CAST(stored_at AS DATE))) AS BIGINT) WHEN 2 THEN day + 37230 WHEN 5 THEN day ELSE day + 30030 END END AS at FROM (SELECT *, CAST(epoch(CAST(stored_at AS DATE)) AS BIGINT) AS day FROM p_facts)")
 def _(v):
-    parsed = F.coalesce(F.try_to_timestamp("temporal_value", F.lit("yyyy-MM-dd")), F.try_to_timestamp("temporal_value", F.lit("yyyy-MM")))
-    return v.p_facts.select("fact_id", F.unix_seconds(parsed.cast("timestamp")).alias("at"))
+    day, form = F.to_date("stored_at"), F.col("fact_id") % 6
+    said = (
+        F.when(F.col("fact_id") % 7 == 0, "soon").when(form == 0, F.col("stored_at")).when(form == 1, F.substring("stored_at", 1, 7)).when(form == 2, F.concat("stored_at", F.lit("T10:20:30Z")))
+        .when(form == 3, F.concat("stored_at", F.lit("T10:20:30+02:00"))).when(form == 4, F.concat(F.date_format(day, "EEE, dd MMM yyyy"), F.lit(" 10:20:30 +0200"))).otherwise(F.date_format(day, "MMM d, yyyy"))
+    )
+    return v.p_facts.select("fact_id", F.unix_seconds(T.instant(said)).alias("at"))
 
 
 @query("h08_age_hours", "SELECT event_id, (1800000000000000 - ts_us)::DOUBLE / 3600000000::DOUBLE AS hours FROM p_events")
@@ -180,10 +184,13 @@ def _(v):
     return v.table("documents").select("doc_id", F.expr("length(text) div 4").alias("tokens"))
 
 
-@query("h28_challenge", "SELECT page_id, (regexp_matches(substr(html, 1, 5000), '(?i)cloudflare'))::INT + (regexp_matches(substr(html, 1, 5000), '(?i)<script'))::INT >= 2 AND length(html) <= 50000 AS challenge FROM pages")
+#: What pages show beside their own text, so that some are challenges.
+_SHOWN = "html || CASE page_id % 4 WHEN 0 THEN '<form id=\"challenge-form\">Ray  ID: 1</form>' WHEN 1 THEN 'Ray ID' ELSE '' END"
+
+
+@query("h28_challenge", f"SELECT page_id, length(h) <= 50000 AND {' + '.join(f'regexp_matches(substr(h, 1, 5000), {chr(39)}(?i){sign}{chr(39)})::INT' for sign in C.CHALLENGE_SIGNS)} >= 2 AS challenge FROM (SELECT page_id, {_SHOWN} AS h FROM pages)")
 def _(v):
-    head = F.substring("html", 1, 5000)
-    return v.table("pages").select("page_id", (((F.rlike(head, F.lit("(?i)cloudflare")).cast("int") + F.rlike(head, F.lit("(?i)<script")).cast("int")) >= 2) & (F.length("html") <= 50000)).alias("challenge"))
+    return v.table("pages").select("page_id", T.challenged(F.expr(_SHOWN)).alias("challenge"))
 
 
 @query("h29_query_text", "SELECT fact_id, flag, CASE flag WHEN 'phantom' THEN 'original source ' || substr(claim_text, 1, 100) WHEN 'fog' THEN 'official statement ' || substr(claim_text, 1, 80) ELSE substr(claim_text, 1, 60) END AS q FROM (SELECT fact_id, unnest(dubious_flags[1:5]) AS flag FROM p_class) JOIN p_facts USING (fact_id)")

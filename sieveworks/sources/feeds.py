@@ -13,34 +13,56 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-ENTRY = "feed string, number int, title string, link string, published string, summary string"
+ENTRY = "feed string, number int, title string, link string, published string, summary string, author string, source string, tags array<string>, content string, id string"
 
 
-def entries(feed: str, text: str) -> list[tuple]:
-    """Entries of an RSS or Atom text; one that cannot be parsed has none."""
+def entries(feed: str, text: str) -> tuple[list[tuple], bool]:
+    """Entries of an RSS or Atom text, and whether it is malformed; a malformed one has none."""
     try:
         root = ET.fromstring(text)
     except ET.ParseError:
-        return []
+        return [], True
     plain = lambda tag: tag.rpartition("}")[2]
+    said = lambda e: (e.text or "").strip()
+    items = [e for e in root.iter() if plain(e.tag) in ("item", "entry")]
+    source = next((said(c) for e in [root, *root] if plain(e.tag) in ("channel", "feed") for c in e if plain(c.tag) == "title"), "")
     out = []
-    for item in (e for e in root.iter() if plain(e.tag) in ("item", "entry")):
-        found = {plain(c.tag): (c.text or c.get("href") or "").strip() for c in item}
-        out.append((feed, len(out), found.get("title", ""), found.get("link", ""), found.get("pubDate") or found.get("published") or found.get("updated"), found.get("description") or found.get("summary") or ""))
-    return out
+    for item in items:
+        first: dict[str, str] = {}
+        for c in item:
+            first[plain(c.tag)] = first.get(plain(c.tag)) or said(c)
+        links = [c for c in item if plain(c.tag) == "link"]
+        link = first.get("link") or next((c.get("href") for c in links if c.get("rel") in ("alternate", None) and c.get("href")), "")
+        author = next((said(n) or said(c) for c in item if plain(c.tag) in ("author", "creator") for n in [*(n for n in c if plain(n.tag) == "name"), c]), "")
+        tags = [t for c in item if plain(c.tag) == "category" for t in [c.get("term") or said(c)] if t]
+        title = first.get("title") or "No title"
+        published = first.get("pubDate") or first.get("published") or first.get("updated")
+        out.append((feed, len(out), title, link, published, first.get("summary") or first.get("description") or "", author, source, tags, first.get("encoded") or first.get("content") or "", first.get("guid") or first.get("id") or link or title))
+    return out, False
 
 
 def parsed(feeds: DataFrame) -> DataFrame:
-    """Entries of landed feeds (feed, text)."""
+    """Entries of landed feeds (feed, text); a malformed one has none, see reported."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [e for f, t in zip(pdf["feed"], pdf["text"], strict=True) for e in entries(f, t or "")]
+            rows = [e for f, t in zip(pdf["feed"], pdf["text"], strict=True) for e in entries(f, t or "")[0]]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")])
 
     return feeds.select("feed", "text").mapInPandas(run, ENTRY)
 
 
+def reported(feeds: DataFrame) -> DataFrame:
+    """(feed, found, malformed) of every landed feed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(f, len(e), bad) for f, t in zip(pdf["feed"], pdf["text"], strict=True) for e, bad in [entries(f, t or "")]]
+            yield pd.DataFrame(rows, columns=["feed", "found", "malformed"])
+
+    return feeds.select("feed", "text").mapInPandas(run, "feed string, found long, malformed boolean")
+
+
 def polled(rows: DataFrame, most: int = 20) -> DataFrame:
     """The first entries of each feed."""
     return rows.withColumn("_r", F.row_number().over(W.partitionBy("feed").orderBy("number"))).where(F.col("_r") <= most).drop("_r")

@@ -15,6 +15,7 @@ from sieveworks.operators import stores as S
 from sieveworks.operators import vectors as V
 from sieveworks.sources import exports, feeds
 from sieveworks.streaming import events as E
+from sieveworks.streaming import limits
 
 
 def one(df, name="x"):
@@ -139,6 +140,18 @@ def test_feeds(spark):
     assert [(r.feed, r.title, r.link, r.published) for r in rows] == [("f", "A", "l", "d")]
 
 
+def test_feeds_of_both_kinds(spark):
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom"><title>T</title><entry><link rel="self" href="s"/><link rel="alternate" href="a"/><author><name>N</name></author>
+    <category term="x"/><category term=""/><summary>S</summary><content>C</content></entry></feed>"""
+    rss = "<rss><channel><title>R</title><item><title>A</title><author>me</author><category>c</category><description>D</description><guid>g</guid></item></channel></rss>"
+    landed = spark.createDataFrame([("a", atom), ("r", rss), ("b", "<broken"), ("n", None)], "feed string, text string")
+    rows = {r.feed: r for r in feeds.parsed(landed).collect()}
+    a, r = rows["a"], rows["r"]
+    assert (a.title, a.link, a.author, a.source, a.tags, a.summary, a.content, a.id) == ("No title", "a", "N", "T", ["x"], "S", "C", "a")
+    assert (r.title, r.link, r.author, r.source, r.tags, r.summary, r.id) == ("A", "", "me", "R", ["c"], "D", "g")
+    assert {x.feed: (x.found, x.malformed) for x in feeds.reported(landed).collect()} == {"a": (1, False), "r": (1, False), "b": (0, True), "n": (0, True)}
+
+
 def test_paged_source(spark):
     df = feeds.paged(spark, "numbers", "page int, n int", lambda p: [(p, p * 10)] if p < 3 else [], 3)
     assert sorted((r.page, r.n) for r in df.collect()) == [(1, 10), (2, 20)]
@@ -147,7 +160,57 @@ def test_paged_source(spark):
 def test_chunks():
     assert chunks.pieces("a\n\nb", 10) == ["a\n\nb"]
     assert chunks.pieces("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
-    assert chunks.language("der Hund und die Katze") == "de" and chunks.language(None) == "en"
+    assert chunks.pieces("One two. Three four.  Five\n\nsix\n\n" + "y" * 23, 20) == ["One two.", "Three four. Five", "six", "y" * 20, "yyy"]
+    assert chunks.pieces(" \n\n ", 3) == [] and chunks.pieces("", 3) == []
+
+
+def test_language(spark):
+    texts = spark.createDataFrame([(1, "der Hund und die Katze"), (2, None), (3, "x"), (4, "the der")], "i int, t string")
+    assert [r.language for r in chunks.detected(texts, "i", "t").orderBy("key").collect()] == ["de", "en", "en", "en"]
+
+
+def test_dates(spark):
+    texts = {"2024-05-01T10:00:00.250+02:00": 1714550400, "Wed, 01 May 2024 08:00:00 GMT": 1714550400, "May 1, 2024": 1714521600, "2024/05/01": 1714521600, "2024": 1704067200, "soon": None, "": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.unix_seconds(T.instant(F.col("t"))).alias("at")).collect()
+    assert {r.t: r.at for r in rows} == texts
+
+
+def test_token_bucket_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = sorted((rng.choice("ab"), round(rng.random() * 60, 3), rng.choice([1.0, 2.0])) for _ in range(80))
+    want, level, last = [], {}, {}
+    for k, at, cost in sorted(rows, key=lambda r: (r[0], r[1])):
+        level[k] = min(3.0, level.get(k, 3.0) + (at - last.get(k, at)) * 0.5)
+        last[k] = at
+        want.append((k, at, cost, cost <= level[k]))
+        level[k] -= cost if want[-1][3] else 0
+    got = limits.admitted(spark.createDataFrame(rows, "k string, at double, cost double"), "k", 0.5, 3.0).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {w[3] for w in want} == {True, False}
+
+
+def test_fan_out(spark, tmp_path):
+    seen = {"a": 0, "b": 0}
+    add = lambda name: lambda batch: seen.__setitem__(name, seen[name] + batch.count())
+    limits.subscribed(E.stream(spark, "/root/testdata/sf0.001/events.parquet"), {n: add(n) for n in seen}, f"{tmp_path}/c").awaitTermination()
+    assert seen["a"] == seen["b"] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_first_of_the_shortest_paths(spark):
+    edges = spark.createDataFrame([("s", "b"), ("s", "a"), ("a", "d"), ("b", "c"), ("c", "g"), ("d", "g"), ("b", "d")], "src string, dst string")
+    assert [tuple(r) for r in G.shortest_path(edges, "s", "g").collect()] == [(3, ["s", "a", "d", "g"])]
+    assert G.shortest_path(edges, "s", "x").isEmpty() and G.shortest_path(edges, "s", "g", 2).isEmpty()
+
+
+def test_lifecycle_equals_a_state_machine(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(6), i, rng.choice(["pending", "running", "failed"]), rng.choice(["running", "cancelled", "completed", "failed", "pending"])) for i in range(120)]
+    state, want = {}, {}
+    for k, i, expected, wanted in rows:
+        fine = state.get(k, "pending") == expected and wanted in R.TRANSITIONS.get(expected, ())
+        want[i] = "ok" if fine else "conflict"
+        state[k] = wanted if fine else state.get(k, "pending")
+    got = R.transitions(spark.createDataFrame(rows, "k int, i int, expected string, wanted string"), "k", "i").collect()
+    assert {r.i: r.verdict for r in got} == want and "ok" in want.values()
 
 
 def test_stream_equals_batch(spark):
