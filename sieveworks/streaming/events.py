@@ -73,7 +73,7 @@ def until_terminal(events: DataFrame, terminal: str = TERMINAL) -> DataFrame:
 
 
 def silent(events: DataFrame, seconds: int) -> DataFrame:
-    """Users whose last event lies so long before the newest one."""
+    """Users whose last event lies so long before the newest one, parts of a second counted."""
     last = events.groupBy("user_id").agg(F.max("ts").alias("last"))
     newest = events.agg(F.max("ts").alias("now"))
-    return last.crossJoin(F.broadcast(newest)).where(F.unix_seconds("now") - F.unix_seconds("last") > seconds).select("user_id")
+    return last.crossJoin(F.broadcast(newest)).where(F.unix_micros("now") / 1e6 - F.unix_micros("last") / 1e6 > seconds).select("user_id")

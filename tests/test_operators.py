@@ -218,3 +218,9 @@ def test_stream_equals_batch(spark):
     got = E.drained(E.numbered(E.stream(spark, path)))
     assert got.count() == spark.read.parquet(path).count()
     assert got.where("number = 1").count() == spark.read.parquet(path).select("user_id").distinct().count()
+
+
+def test_silence_counts_parts_of_a_second(spark):
+    times = [("a", "2024-01-01 00:00:00.250000"), ("b", "2024-01-01 00:00:00.750000"), ("c", "2024-01-01 00:00:00.500000"), ("d", "2024-01-01 01:00:00.500000")]
+    events = spark.createDataFrame(times, "user_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert [r.user_id for r in E.silent(events, 3600).collect()] == ["a"]
