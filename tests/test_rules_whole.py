@@ -1,6 +1,7 @@
 """Contradiction rules over all facts and mentions, against brute force."""
 
 import random
+import re
 
 import pytest
 
@@ -77,3 +78,40 @@ def test_contradictions_first_rule_wins(spark):
     got = {(r.a, r.b): (r.kind, round(r.confidence, 9)) for r in contradictions.contradictions(spark.createDataFrame(rows, schema), mentions).collect()}
     assert {k for k, _ in want.values()} == {"assertion", "negation", "numeric", "temporal"} and {c for k, c in want.values() if k == "numeric"} == {0.6, 0.8}
     assert got == {p: (k, round(c, 9)) for p, (k, c) in want.items()}
+
+
+def _regrouped(rows):
+    """How often the executed plan groups found pairs."""
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"HashAggregate\(keys=\[(?:a|denial)#", plan))
+
+
+def test_pairs_are_not_shuffled_again(spark):
+    for name in ("c10_conflicting_claims", "i15_assertion", "i17_temporal", "i16_numeric_all", "c09_contradictions_all"):
+        found = catalog.queries()[name](spark, SF)
+        assert not _regrouped(found), name
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan, name
+        rows = [(r[0], r[1]) for r in found.select(found.columns[0], found.columns[1]).collect()]
+        assert len(rows) == len(set(rows)) > 0, name
+
+
+def test_shared_names_counted_once(spark):
+    from sieveworks.operators import relations
+
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(2), rng.choice(["statement", "denial", "prediction"])) for i in range(120)]
+    names = {i: set(rng.sample("abcdefg", rng.randrange(1, 6))) for i, *_ in rows}
+    want = {(d[0], s[0], len(names[d[0]] & names[s[0]])) for d in rows for s in rows if d[1] == s[1] and d[2] == "denial" and s[2] == "statement" and len(names[d[0]] & names[s[0]]) >= 3}
+    facts = spark.createDataFrame(rows, "fact_id long, investigation_id long, assertion_type string")
+    mentions = spark.createDataFrame([(i, x) for i, n in names.items() for x in n] * 2, "fact_id long, canonical string")
+    got = [tuple(r) for r in relations.shared_entity_denials(facts, mentions, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_ranges_the_wrong_way_round_are_one_pair(spark):
+    rows = [(i, 1, low, high) for i, (low, high) in enumerate([(5.0, 1.0), (6.0, 2.0), (3.0, 4.0), (9.0, 9.0), (None, 1.0)])]
+    facts = spark.createDataFrame(rows, "fact_id long, investigation_id long, low_value double, high_value double")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and None not in a + b and (a[3] < b[2] or b[3] < a[2])}
+    got = [(r.a, r.b) for r in contradictions.disjoint(facts).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
