@@ -224,3 +224,20 @@ def test_silence_counts_parts_of_a_second(spark):
     times = [("a", "2024-01-01 00:00:00.250000"), ("b", "2024-01-01 00:00:00.750000"), ("c", "2024-01-01 00:00:00.500000"), ("d", "2024-01-01 01:00:00.500000")]
     events = spark.createDataFrame(times, "user_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert [r.user_id for r in E.silent(events, 3600).collect()] == ["a"]
+
+
+def test_nearest_over_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 3)
+    monkeypatch.setattr(V, "STRIP", 2)
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for i in range(90)] + [(90, [1.0, 2.0]), (100, [0.0, 0.0, 0.0]), (150, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+
+    def cosine(x, y):
+        dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+        return 0.0 if len(x) != len(y) or not dot(x, x) * dot(y, y) else max(-1.0, min(1.0, dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5))
+
+    want = {(q, i, s) for q, e in rows if q % 10 == 0 for s, i in sorted(((cosine(x, e), i) for i, x in rows if i != q), key=lambda r: (-r[0], r[1]))[:4]}
+    got = V.nearest(v, v.where("vec_id % 10 = 0"), 4)
+    assert "Join" not in V.nearest(v.where("vec_id < 90"), v.where("vec_id % 10 = 0 AND vec_id < 90"), 4)._jdf.queryExecution().executedPlan().toString()
+    assert {(r.query_id, r.vec_id, r.score) for r in got.collect()} == want and len(want) == 48
