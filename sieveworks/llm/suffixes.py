@@ -4,10 +4,13 @@ A string of WIDTH bytes is filed under the smallest hash among the grams inside
 equal strings meet wherever they stand. Runs of strings with one such key form a block.
 Three steps, each with whole texts dealt into batches of bounded size:
 
-1. Every text sends its distinct keys, cut to 40 bits besides their bucket; those seen in
-   two texts or more survive (with rare others, which do no harm).
+1. Every text sends its distinct keys, cut to 32 bits besides their bucket, with 15 bits
+   of each block's hash; keys seen in two texts or more survive (with rare others, which do
+   no harm), and those of CROWD blocks or more are marked.
 2. Blocks of surviving keys are sent once per batch with the smallest document that
-   holds them. Where a key has several different blocks, their suffixes are dealt by
+   holds them, each key to one task. Blocks of a marked key, which many documents put into
+   different surroundings, are taken apart, and their strings are dealt to all tasks.
+   Where a key has several different blocks, their suffixes are dealt by
    their first eight bytes and sorted by mergesort; two suffixes are compared through prefix hashes and binary search for
    their common extension, and neighbours that agree are verified byte by byte.
    Each string learns the smallest document in which it starts.
@@ -35,6 +38,10 @@ GRAM = 24
 BATCH_BYTES = 8 << 20
 #: Bytes of one text that are looked at together.
 PIECE = 1 << 20
+#: Different blocks of a key (a long one counts for each span of strings) from which on its strings are dealt to all tasks.
+CROWD = 4096
+#: Marks a string that was taken out of its block.
+ALONE = 2
 _LANES = tk.mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_DOWN = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -86,6 +93,7 @@ class Runs:
 
     def __init__(self, data: np.ndarray, low: int, high: int, parts: list[tuple[int, int, int]], width: int, gram: int) -> None:
         keys, c = keyed(data[low:high], width, gram)
+        self.c, self.low, self.width = c, low, width
         valid, fresh = np.zeros(len(keys), bool), np.zeros(len(keys) + 1, bool)
         for _, a, b in parts:
             valid[a - low : b - low - width + 1] = True
@@ -99,6 +107,17 @@ class Runs:
         self.hash = c.of(begin, last + width)
         self.begin, self.last = begin + low, last + low
 
+    def split(self, crowded: np.ndarray) -> int:
+        """Takes these blocks apart into their strings, behind all others; where these begin."""
+        rest, taken = np.flatnonzero(~crowded), np.flatnonzero(crowded)
+        size = (self.last - self.begin + 1)[taken]
+        of = np.repeat(taken, size)
+        at = self.begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        hash_ = self.c.of(at - self.low, at - self.low + self.width)
+        self.key, self.text = (np.concatenate([x[rest], x[of]]) for x in (self.key, self.text))
+        self.begin, self.last, self.hash = (np.concatenate([x[rest], y]) for x, y in ((self.begin, at), (self.last, at), (self.hash, hash_)))
+        return len(rest)
+
 
 def sort_suffixes(data: np.ndarray, starts: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
     """Order of the suffixes at starts within each group, by their first width bytes.
@@ -189,19 +208,28 @@ def smallest_holders(blocks: list[bytes], holders: np.ndarray, group: np.ndarray
     return [out[edges[i] : edges[i + 1]] for i in range(len(blocks))]
 
 
+def _codes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and tag (bits 8 to 39) of each key."""
+    return (keys % _U(buckets)) << _U(32) | _tags(keys)
+
+
 def _tags(keys: np.ndarray) -> np.ndarray:
-    """Bits 8 to 47 of each key as five bytes."""
-    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, 1:6]
+    return keys >> _U(8) & _U((1 << 32) - 1)
 
 
-def _untagged(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return out.view(_U)[:, 0]
+def _packed(tags: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Six bytes each: tag and print."""
+    out = np.empty((len(tags), 6), np.uint8)
+    out[:, :4] = tags.astype("<u4").view(np.uint8).reshape(-1, 4)
+    out[:, 4:] = prints.astype("<u2").view(np.uint8).reshape(-1, 2)
+    return out
 
 
-def _codes(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (keys % _U(buckets)) << _U(40) | (keys >> _U(8) & _U((1 << 40) - 1))
+def _unpacked(blob: bytes) -> np.ndarray:
+    """Tag and print in one number."""
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    tag, print_ = np.ascontiguousarray(raw[:, :4]).view("<u4")[:, 0], np.ascontiguousarray(raw[:, 4:]).view("<u2")[:, 0]
+    return tag.astype(_U) << _U(16) | print_.astype(_U)
 
 
 def _send_keys(buckets: int, width: int, gram: int):
@@ -210,67 +238,111 @@ def _send_keys(buckets: int, width: int, gram: int):
             data, offsets = tk.buffers(rows.column(1))
             owner = rows.column(2).to_numpy()
             found: list[np.ndarray] = []
+            prints: list[np.ndarray] = []
             owners: list[np.ndarray] = []
             for low, high, parts in pieces(offsets, width):
                 runs = Runs(data, low, high, parts, width, gram)
-                # each key once per text
-                at = np.lexsort((runs.key, runs.text))
-                new = np.append(True, (runs.key[at][1:] != runs.key[at][:-1]) | (runs.text[at][1:] != runs.text[at][:-1])) if len(at) else np.zeros(0, bool)
-                found.append(runs.key[at][new])
-                owners.append(owner[runs.text[at][new]])
+                if not len(runs.key):
+                    continue
+                # each key and print once per text; the lowest bit marks the text's first of a key
+                times = (runs.last - runs.begin) // (width - gram + 1) + 1
+                row = np.repeat(np.arange(len(times)), times)
+                print_ = tk.mix(runs.hash[row] + (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)).astype(_U)) >> _U(49)
+                key, text = runs.key[row], runs.text[row]
+                at = np.lexsort((print_, key, text))
+                key, text, print_ = key[at], text[at], print_[at]
+                first = np.append(True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]))
+                new = first | np.append(True, print_[1:] != print_[:-1])
+                found.append(key[new])
+                prints.append((print_ << _U(1) | first.astype(_U))[new].astype(np.uint16))
+                owners.append(owner[text[new]])
             if not found:
                 continue
-            keys, own = np.concatenate(found), np.concatenate(owners)
+            keys, print_, own = np.concatenate(found), np.concatenate(prints), np.concatenate(owners)
             bucket = (keys % _U(buckets)).astype(np.int64)
             order = np.lexsort((bucket, own))
-            keys, own, bucket = keys[order], own[order], bucket[order]
+            keys, print_, own, bucket = keys[order], print_[order], own[order], bucket[order]
             cut = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1])))
-            blobs = [k.tobytes() for k in np.split(_tags(keys), cut[1:])]
+            blobs = [k.tobytes() for k in np.split(_packed(_tags(keys), print_), cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(own[cut], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "batch", "blob"])
 
     return run
 
 
-def _survive(table: pa.Table) -> pa.Table:
-    blobs = [_untagged(b) for b in table.column("blob").to_pylist()]
-    keys = np.concatenate(blobs)
-    batch = np.repeat(table.column("batch").to_numpy(), [len(b) for b in blobs])
-    order = np.argsort(keys, kind="stable")
-    keys, batch = keys[order], batch[order]
-    new = np.append(True, keys[1:] != keys[:-1])
-    seen = np.repeat(np.diff(np.append(np.flatnonzero(new), len(keys))), np.diff(np.append(np.flatnonzero(new), len(keys))))
-    keys, batch = keys[seen > 1], batch[seen > 1]
-    order = np.lexsort((keys, batch))
-    keys, batch = keys[order], batch[order]
-    keep = np.append(True, (keys[1:] != keys[:-1]) | (batch[1:] != batch[:-1])) if len(keys) else np.zeros(0, bool)
-    keys, batch = keys[keep], batch[keep]
-    cut = np.flatnonzero(np.append(True, batch[1:] != batch[:-1])) if len(keys) else np.zeros(0, np.int64)
-    tags = keys.view(np.uint8).reshape(-1, 8)[:, :5]
-    blobs = [k.tobytes() for k in np.split(tags, cut[1:])] if len(cut) else []
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table({"batch": pa.array(batch[cut], pa.int64()), "bucket": pa.array([bucket] * len(cut), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+def _survive(crowd: int):
+    def run(table: pa.Table) -> pa.Table:
+        blobs = [_unpacked(b) for b in table.column("blob").to_pylist()]
+        words = np.concatenate(blobs)
+        batch = np.repeat(table.column("batch").to_numpy(), [len(b) for b in blobs])
+        order = np.argsort(words, kind="stable")
+        words, batch = words[order], batch[order]
+        keys = words >> _U(16)
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        # entries ascend by print within a key
+        different = np.append(True, words[1:] >> _U(1) != words[:-1] >> _U(1))
+        texts, prints = (np.add.reduceat(x, begin, dtype=np.int64) for x in (words & _U(1), different))
+        size = np.diff(np.append(begin, len(keys)))
+        seen, crowded = np.repeat(texts > 1, size), np.repeat(prints >= crowd, size)
+        keys, batch, crowded = keys[seen], batch[seen], crowded[seen]
+        order = np.lexsort((keys, batch))
+        keys, batch, crowded = keys[order], batch[order], crowded[order]
+        keep = np.append(True, (keys[1:] != keys[:-1]) | (batch[1:] != batch[:-1])) if len(keys) else np.zeros(0, bool)
+        keys, batch, crowded = keys[keep].astype(np.uint32), batch[keep], crowded[keep]
+        cut = np.flatnonzero(np.append(True, batch[1:] != batch[:-1])) if len(keys) else np.zeros(0, np.int64)
+        split = [(k.tobytes(), k[c].tobytes()) for k, c in zip(np.split(keys, cut[1:]), np.split(crowded, cut[1:]), strict=True)] if len(cut) else []
+        bucket = table.column("bucket")[0].as_py()
+        blob, marked = (pa.array([x[i] for x in split], pa.binary()) for i in (0, 1))
+        return pa.table({"batch": pa.array(batch[cut], pa.int64()), "bucket": pa.array([bucket] * len(cut), pa.int64()), "blob": blob, "crowd": marked})
+
+    return run
 
 
 def _ids(docs: pa.Table) -> np.ndarray:
     return docs.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy()
 
 
+def _once(data: np.ndarray, found: list[tuple[np.ndarray, ...]], width: int) -> tuple[np.ndarray, ...]:
+    """Of strings (hash, start, key, document) each once: hash, start, key, smallest document, whether there is another."""
+    if not found:
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int8)
+    hash_, start, key, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(hash_, kind="stable")
+    hash_, start, key, doc = hash_[order], start[order], key[order], doc[order]
+    same = np.append(False, hash_[1:] == hash_[:-1])
+    at, reach = np.flatnonzero(same), np.arange(width)
+    for low in range(0, len(at), 1 << 15):
+        part = at[low : low + (1 << 15)]
+        same[part] = (data[start[part - 1][:, None] + reach] == data[start[part][:, None] + reach]).all(axis=1)
+    begin = np.flatnonzero(~same)
+    least = np.minimum.reduceat(doc, begin)
+    return hash_[begin], start[begin], key[begin], least, (np.maximum.reduceat(doc, begin) != least).astype(np.int8)
+
+
 def _send_blocks(buckets: int, width: int, gram: int):
+    def coded(answers: pa.Table, column: str) -> np.ndarray:
+        blobs = zip(answers.column("bucket").to_pylist(), answers.column(column).to_pylist(), strict=True)
+        return np.unique(np.concatenate([np.frombuffer(b, "<u4").astype(_U) | _U(bucket) << _U(32) for bucket, b in blobs]))
+
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        alive = [_untagged(b) | _U(bucket) << _U(40) for bucket, b in zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True)]
         empty = pa.table({"bucket": pa.array([], pa.int64()), "batch": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
-        if not alive or not docs.num_rows:
+        if not answers.num_rows or not docs.num_rows:
             return empty
-        table = np.unique(np.concatenate(alive))
+        table, crowd = coded(answers, "blob"), coded(answers, "crowd")
         data, offsets = tk.buffers(docs.column("text"))
         ids = _ids(docs)
         held: dict[bytes, list] = {}  # block: key, smallest document, whether there is another
+        single: list[tuple[np.ndarray, ...]] = []  # strings of crowded keys: hash, start, key, document
         for low, high, parts in pieces(offsets, width):
             runs = Runs(data, low, high, parts, width, gram)
             codes = _codes(runs.key, buckets)
             at = np.searchsorted(table, codes)
             at[at == len(table)] = 0
-            good = np.flatnonzero(table[at] == codes)
+            good = table[at] == codes
+            if len(crowd) and (crowded := np.isin(codes, crowd)).any():
+                good = good[~crowded]
+                n = runs.split(crowded)
+                single.append((runs.hash[n:], runs.begin[n:], runs.key[n:], ids[runs.text[n:]]))
+            good = np.flatnonzero(good)
             raw = data[low:high].tobytes()
             for a, b, key, doc in zip((runs.begin[good] - low).tolist(), (runs.last[good] - low + width).tolist(), runs.key[good].tolist(), ids[runs.text[good]].tolist(), strict=True):
                 entry = held.get(block := raw[a:b])
@@ -280,17 +352,19 @@ def _send_blocks(buckets: int, width: int, gram: int):
                     entry[1], entry[2] = min(doc, entry[1]), 1
         blocks = list(held)
         facts = list(held.values())
-        keys = np.array([f[0] for f in facts], dtype=_U)
-        bucket = (keys % _U(buckets)).astype(np.int64)
-        low_doc, more = np.array([f[1] for f in facts], dtype=np.int64), np.array([f[2] for f in facts], dtype=np.int8)
-        size = np.array([len(b) for b in blocks], dtype=np.int32)
+        prints, start, own_key, own_low, own_more = _once(data, single, width)
+        keys = np.append(np.array([f[0] for f in facts], dtype=_U), own_key)
+        bucket = (np.append(keys[: len(blocks)], prints) % _U(buckets)).astype(np.int64)
+        low_doc, more = np.append(np.array([f[1] for f in facts], dtype=np.int64), own_low), np.append(np.array([f[2] for f in facts], dtype=np.int8), own_more | np.int8(ALONE))
+        size = np.array([*map(len, blocks)] + [width] * len(start), dtype=np.int32)
         order = np.argsort(bucket, kind="stable")
         cut = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.zeros(0, np.int64)
         out = []
         for part in np.split(order, cut[1:]) if len(cut) else []:
             arrays = [np.int64(len(part)).tobytes(), keys[part].tobytes(), low_doc[part].tobytes(), more[part].tobytes(), size[part].tobytes()]
-            tail = b"".join(blocks[i] for i in part.tolist())
-            whole = b"".join([*arrays, tail])
+            n = np.searchsorted(part, len(blocks))
+            tail = b"".join(blocks[i] for i in part[:n].tolist())
+            whole = b"".join([*arrays, tail, data[start[part[n:] - len(blocks)][:, None] + np.arange(width)].tobytes()])
             out.append(np.int64(len(whole)).tobytes() + pa.compress(whole, codec="zstd", asbytes=True))
         batch = docs.column("batch")[0].as_py()
         return pa.table({"bucket": pa.array(bucket[order][cut], pa.int64()), "batch": pa.array([batch] * len(cut), pa.int64()), "blob": pa.array(out, pa.binary())})
@@ -316,7 +390,7 @@ def _decide(width: int):
                 if entry is None:
                     of[block] = [key, doc, more, [batch]]
                 else:
-                    entry[2] = 1
+                    entry[2] |= 1
                     entry[1] = min(entry[1], doc)
                     entry[3].append(batch)
         groups: dict[int, list[bytes]] = {}
@@ -326,7 +400,7 @@ def _decide(width: int):
         mixed: list[list[bytes]] = []
         size = 0
         for group in [*(v for v in groups.values() if len(v) > 1), None]:
-            if mixed and (group is None or size > PIECE):
+            if mixed and (group is None or size > PIECE >> 2):
                 blocks = [b for v in mixed for b in v]
                 holders = np.array([of[b][1] for b in blocks], dtype=np.int64)
                 least |= zip(blocks, smallest_holders(blocks, holders, np.repeat(np.arange(len(mixed)), [len(v) for v in mixed]), width), strict=True)
@@ -337,18 +411,19 @@ def _decide(width: int):
         del groups
         parts: list[np.ndarray] = []  # batch, row of the block, start, stop, document
         rows: list[tuple[int, int, int, int, int]] = []
-        keys = []
+        keys, alone = [], []
         sizes = np.cumsum([0, *(len(b) for b in of)])
         prints = tk.Prefix(np.frombuffer(b"".join(of), np.uint8)).of(sizes[:-1], sizes[1:])
         for i, (block, (key, doc, more, batches)) in enumerate(of.items()):
             keys.append(key)
+            alone.append(more & ALONE)
             found = least.get(block)
             if found is None:
-                ranges = [(0, len(block) - width + 1, doc)] if more else []
+                ranges = [(0, len(block) - width + 1, doc)] if more & 1 else []
             else:
                 cut = np.append(np.flatnonzero(np.append(True, found[1:] != found[:-1])), len(found)).tolist()
                 ranges = [(a, b, int(found[a])) for a, b in zip(cut, cut[1:], strict=False)]
-                if not more:  # its only holder learns nothing from itself
+                if not more & 1:  # its only holder learns nothing from itself
                     ranges = [r for r in ranges if r[2] < doc]
             rows += [(batch, i, a, b, low) for batch in batches for a, b, low in ranges]
             if len(rows) > 50_000:
@@ -356,11 +431,11 @@ def _decide(width: int):
                 rows = []
         packed = np.concatenate([*parts, np.array(rows, dtype=np.int64).reshape(-1, 5)])
         packed = packed[np.argsort(packed[:, 0], kind="stable")]
-        named = np.array(keys, dtype=_U)
+        named, alone_ = np.array(keys, dtype=_U), np.array(alone, dtype=np.int8)
         cut = np.flatnonzero(np.append(True, np.diff(packed[:, 0]) != 0)) if len(packed) else np.zeros(0, np.int64)
         out = []
         for part in np.split(packed, cut[1:]) if len(cut) else []:
-            fields = [named[part[:, 1]], prints[part[:, 1]], part[:, 4].astype(np.int64), part[:, 2].astype(np.int32), part[:, 3].astype(np.int32)]
+            fields = [named[part[:, 1]], prints[part[:, 1]], part[:, 4].astype(np.int64), part[:, 2].astype(np.int32), part[:, 3].astype(np.int32), alone_[part[:, 1]]]
             whole = np.int64(len(part)).tobytes() + b"".join(np.ascontiguousarray(f).tobytes() for f in fields)
             out.append(np.int64(len(whole)).tobytes() + pa.compress(whole, codec="zstd", asbytes=True))
         return pa.table({"batch": pa.array(packed[cut, 0] if len(cut) else [], pa.int64()), "blob": pa.array(out, pa.binary())})
@@ -369,8 +444,8 @@ def _decide(width: int):
 
 
 def _answers(blobs: list[bytes]) -> list[np.ndarray]:
-    """Key, print, smallest document, first and last start of each range, by print."""
-    kinds = (np.uint64, np.uint64, np.int64, np.int32, np.int32)
+    """Key, print, smallest document, first and last start of each range, and whether it is a string alone, by print."""
+    kinds = (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.int8)
     all_: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
     for blob in blobs:
         raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
@@ -386,12 +461,15 @@ def _answers(blobs: list[bytes]) -> list[np.ndarray]:
 
 def _finish(width: int, gram: int, with_kept: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        key, print_, least, start, stop = _answers(answers.column("blob").to_pylist())
+        key, print_, least, start, stop, alone = _answers(answers.column("blob").to_pylist())
+        crowd = np.unique(key[alone != 0])
         data, offsets = tk.buffers(docs.column("text"))
         ids = _ids(docs)
         delta = np.zeros(len(data) + 1, np.int32)
         for low, high, parts in pieces(offsets, width) if len(print_) else ():
             runs = Runs(data, low, high, parts, width, gram)
+            if len(crowd):
+                runs.split(np.isin(runs.key, crowd))
             a, b = np.searchsorted(print_, runs.hash, "left"), np.searchsorted(print_, runs.hash, "right")
             hit = np.flatnonzero(b > a)
             times = (b - a)[hit]
@@ -417,7 +495,7 @@ def _finish(width: int, gram: int, with_kept: bool):
     return run
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_kept: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_kept: bool = False, batch_bytes: int = BATCH_BYTES, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, spans of removed bytes (maximal), kept_sha256, and kept (bytes) on request.
 
     Null or empty texts have no bytes. A null doc_id counts as larger than all others, and
@@ -429,7 +507,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_kept: bo
     n = int(max(8, -(-total // batch_bytes)))
     dealt = thin.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n))).repartition(n, "batch")
     keys = dealt.mapInArrow(_send_keys(n, width, gram), "bucket long, batch long, blob binary")
-    alive = keys.repartition(n, "bucket").groupBy("bucket").applyInArrow(_survive, "batch long, bucket long, blob binary").repartition(n, "batch")
+    alive = keys.repartition(n, "bucket").groupBy("bucket").applyInArrow(_survive(crowd), "batch long, bucket long, blob binary, crowd binary").repartition(n, "batch")
     blocks = dealt.groupBy("batch").cogroup(alive.groupBy("batch")).applyInArrow(_send_blocks(n, width, gram), "bucket long, batch long, blob binary")
     told = blocks.repartition(n, "bucket").groupBy("bucket").applyInArrow(_decide(width), "batch long, blob binary").repartition(n, "batch")
     kind = "doc_id long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept_sha256 string" + ", kept binary" * with_kept

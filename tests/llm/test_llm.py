@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -387,6 +389,32 @@ def test_repeats_odd(odd, none):
     assert suffixes.repeats(none).count() == 0
 
 
+def crowded_texts(n: int) -> list[tuple[int, str]]:
+    """A passage in n different surroundings, and a line of one word that is longer in each text."""
+    rng = np.random.default_rng(5)
+    passage, drawn = "the committee shall publish its findings within thirty days of the hearing", lambda k: "".join(rng.choice(list("abcdefgh "), size=k))
+    return [(i, drawn(60) + passage + drawn(60) + "\n" + "na " * (30 + i) + drawn(10)) for i in range(n)]
+
+
+def test_repeats_crowded_key(spark):
+    known = crowded_texts(60)
+    docs = spark.createDataFrame(known, "doc_id long, text string")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    got = suffixes.repeats(docs, batch_bytes=2_000, crowd=4).select("doc_id", "n_bytes", removed.alias("n"), "kept_sha256")
+    assert {r.doc_id: (r.n_bytes, r.n, r.kept_sha256) for r in got.collect()} == by_bytes(known)
+
+
+def test_repeats_deal_a_crowded_key_to_all_tasks():
+    known, buckets = crowded_texts(300), 8
+    docs = pa.table({"doc_id": [i for i, _ in known], "text": [t for _, t in known], "batch": [0] * len(known)})
+    sent = pa.Table.from_batches(suffixes._send_keys(buckets, 50, 24)(iter(docs.to_batches())))
+    parts = [suffixes._survive(50)(sent.filter(pc.equal(sent["bucket"], b))) for b in sorted(set(sent["bucket"].to_pylist()))]
+    blobs = suffixes._send_blocks(buckets, 50, 24)(docs, pa.concat_tables(parts))["blob"].to_pylist()
+    sizes = [int.from_bytes(b[:8], "little") for b in blobs]
+    # the passage and the line have a handful of keys, whose blocks filled as many buckets
+    assert len(sizes) == buckets and max(sizes) < 2 * min(sizes), sizes
+
+
 def test_suffix_sort_brute_force():
     rng = np.random.default_rng(2)
     blocks = list(dict.fromkeys(bytes(rng.choice(list(b"ab"), size=int(rng.integers(50, 90)))) for _ in range(25)))
