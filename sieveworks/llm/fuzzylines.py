@@ -93,6 +93,26 @@ class Lines:
         a, b = int(self.begin[i]), int(self.begin[i] + self.count[i])
         return b" ".join(self.words.data[x:y].tobytes() for x, y in zip(self.words.starts[a:b], self.words.ends[a:b], strict=True)).decode("utf-8", "replace")
 
+    def forms(self) -> pa.Array:
+        """The normal forms of all lines."""
+        if not len(self.begin):
+            return pa.array([], pa.string())
+        starts, size = self.words.starts, self.words.ends - self.words.starts
+        # a blank behind each word but a line's last
+        wide = size + 1
+        wide[self.begin + self.count - 1] -= 1
+        before, skipped = np.cumsum(wide) - wide, np.cumsum(size) - size
+        letter = np.arange(size.sum())
+        raw = np.full(wide.sum(), 32, np.uint8)
+        raw[np.repeat(before - skipped, size) + letter] = self.words.data[np.repeat(starts - skipped, size) + letter]
+        offsets = np.append(before[self.begin], len(raw))
+        out = pa.LargeStringArray.from_buffers(len(self.begin), pa.py_buffer(offsets), pa.py_buffer(raw))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            return pa.array([self.form(i) for i in range(len(self.begin))], pa.string())
+        return out.cast(pa.string())
+
     def simhashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """SimHash of each run of words: a bit is the sign of a sum of numbers drawn for the words."""
         out = np.zeros(len(starts), np.uint64)
@@ -333,7 +353,7 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 nodes.append(w["node"])
                 raw.append(split[w["number"]])
         lines = Lines(*tk.buffers(pa.array(raw, pa.binary())))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([lines.form(i) for i in range(len(raw))], pa.string())], ["node", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lines.forms()], ["node", "text"])
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

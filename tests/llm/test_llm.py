@@ -453,6 +453,12 @@ def test_quality_rules_mean_the_same_on_a_capped_sample(spark):
     assert quality.fit(sure, labels, 600)
 
 
+def test_forms_of_all_lines():
+    for raw in ([b"One, 2 words\n\n  \xc3\xa9t\xc3\xa9-now.", b"", b"x"], [b"bad \xff byte", b"a b"], [b"", b"..."]):
+        lines = fuzzylines.Lines(*textkit.buffers(pa.array(raw, pa.binary())))
+        assert lines.forms().to_pylist() == [lines.form(i) for i in range(len(lines.begin))]
+
+
 def test_fuzzy_lines(spark, odd, none):
     line = "this is a line of text with many plain words in it and some more words to follow number "
     docs = spark.createDataFrame([(1, f"{line}1\nunique here\n\n{line}2"), (2, f"other\n{line}34\r\nunique here"), (3, None), (None, "other")], "doc_id long, text string")
