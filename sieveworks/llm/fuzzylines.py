@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveworks.llm import graph, linking, scratch
@@ -35,6 +35,10 @@ TINY, MEETING = 16, 12
 FEW, QUARTERS, SPREAD = 8, 7, 16
 BITS = 32
 BANDS, IN_BAND = 6, 4
+#: Numbers in a table about pairs that are compared side by side, at most if there are many.
+ABREAST = 1 << 21
+#: Tokens that a task holds before it posts them, and those of a part that are looked at together.
+POSTED, FOLDED = 1 << 20, 1 << 21
 _SEEDS = tk.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _K = np.uint64(0xD6E8FEB86659FD93)
 _NOT_NEWLINE = tk._table([(0x0A, 0x0A)])
@@ -205,31 +209,101 @@ class Lines:
         return np.searchsorted(line[order], np.arange(len(self.begin) + 1)), token[order] >> np.uint64(16), sketch
 
 
-def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text the numbers and hashes of its lines."""
-    for batch in batches:
-        data, offsets = tk.buffers(batch.column(2))
-        for low, high, part, at in tk.chunks(data, offsets, 1 << 18):
-            lines = Lines(part, at)
-            where = pa.array(np.searchsorted(lines.text, np.arange(high - low + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(where, pa.array(x)) for x in (lines.number.astype(np.int32), lines.high.view(np.int64), lines.low.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(np.diff(where.to_numpy()), pa.int64()), *lists], ["doc", "row", "n_lines", "number", "high", "low"])
+_LINED = "doc long, row long, n_lines long, number array<int>, high array<long>, low array<long>, left array<long>, right array<long>, tiny array<long>, form array<string>, part int, tokens binary, highs binary"
+
+
+def _lined(parts: int):
+    """Of each text the numbers, hashes and SimHashes of its lines and its tiny forms; then all tokens with their lines' hashes, in rows by part."""
+    schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("n_lines", pa.int64()), ("number", pa.list_(pa.int32())), *((c, pa.list_(pa.int64())) for c in ("high", "low", "left", "right", "tiny")), ("form", pa.list_(pa.string())), ("part", pa.int32()), ("tokens", pa.binary()), ("highs", pa.binary())])
+
+    def full(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def posted(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        high, size, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+        # a line that comes again has posted its tokens
+        once = np.zeros(len(high), bool)
+        once[np.unique(high, return_index=True)[1]] = True
+        tokens, high = tokens[np.repeat(once, size)], np.repeat(high[once], size[once])
+        part = (tokens % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        at = np.searchsorted(part[order], np.arange(parts + 1, dtype=part.dtype if parts < 1 << 16 else np.uint32))
+        some = np.flatnonzero(np.diff(at))
+        where = pa.py_buffer((np.append(at[some], at[-1]) * 8).astype(np.int32))
+        blobs = {k: pa.Array.from_buffers(pa.binary(), len(some), [None, where, pa.py_buffer(x[order])]) for k, x in (("tokens", tokens), ("highs", high))}
+        return full({"part": pa.array(some, pa.int32()), **blobs}, len(some))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            data, offsets = tk.buffers(batch.column(2))
+            for low, high, part, at in tk.chunks(data, offsets, 1 << 18):
+                lines = Lines(part, at)
+                where, tokens, sketch = lines.tokens()
+                held.append((lines.high, np.diff(where), tokens))
+                n += len(tokens)
+                texts = np.arange(high - low + 1)
+                first = pa.array(np.searchsorted(lines.text, texts), pa.int32())
+                lists = [("number", lines.number.astype(np.int32)), ("high", lines.high.view(np.int64)), ("low", lines.low.view(np.int64)), ("left", sketch[:, 0].view(np.int64)), ("right", sketch[:, 1].view(np.int64))]
+                tiny = np.flatnonzero(lines.letters < TINY)
+                of = pa.array(np.searchsorted(lines.text[tiny], texts), pa.int32())
+                columns = {k: pa.ListArray.from_arrays(first, pa.array(x)) for k, x in lists}
+                columns |= {"tiny": pa.ListArray.from_arrays(of, pa.array(lines.high[tiny].view(np.int64))), "form": pa.ListArray.from_arrays(of, pa.array([lines.form(i) for i in tiny.tolist()], pa.string()))}
+                columns |= {"doc": batch.column(0).slice(low, high - low), "row": batch.column(1).slice(low, high - low), "n_lines": pa.array(np.diff(first.to_numpy()), pa.int64())}
+                yield full(columns, high - low)
+                if n >= POSTED:
+                    yield posted(held)
+                    held, n = [], 0
+        if n:
+            yield posted(held)
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posts (token, node, lead, n) of the tokens that two lines or more have; the lead is one of a token's lines.
 
+    What comes is looked at in runs of bounded size, between which one line of each token
+    is kept. If there are several runs, n is 3 for "two or more".
+    """
+    token, node, told = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, runs = 0, 0
+
+    def folded(last: bool) -> pa.RecordBatch:
+        nonlocal token, node, told
+        t, h = np.concatenate([token, *(x[0] for x in held)]), np.concatenate([node, *(x[1] for x in held)])
+        old = np.append(told, np.zeros(len(t) - len(told), bool))
+        order = np.argsort(t)
+        same = np.diff(t[order]) == 0
+        more = np.append(same, False) | np.append(False, same)
+        alone, at = order[~more], order[more]
+        # the line that is told as a token's lead comes first, else the one of the lowest hash
+        at = at[np.lexsort((h[at], ~old[at], t[at]))]
+        new = np.append(True, np.diff(t[at]) != 0)[: len(at)]
+        lead = h[at[new]][np.cumsum(new) - 1]
+        again = np.append(False, (np.diff(h[at]) == 0) & ~new[1:])[: len(at)]
+        stay = new | ~again & (h[at] != lead)
+        at, new, lead = at[stay], new[stay], lead[stay]
+        group = np.cumsum(new) - 1
+        n = np.bincount(group, minlength=1)[group]
+        out = (n > 1) & ~old[at]
+        if not last:
+            first = at[new]
+            token, node, told = np.append(t[alone], t[first]), np.append(h[alone], h[first]), np.append(old[alone], old[first] | (n[new] > 1))
+        n = n[out] if last and not runs else np.full(np.count_nonzero(out), 3)
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (t[at][out].view(np.int64), h[at][out].view(np.int64), lead[out].view(np.int64), n)], ["token", "node", "lead", "n"])
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each line its place, tokens and sketch; tiny forms come as they are."""
     for batch in batches:
-        data, offsets = tk.buffers(batch.column(2))
-        doc, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for low, _, part, at in tk.chunks(data, offsets, 1 << 19):
-            lines = Lines(part, at)
-            where, tokens, sketch = lines.tokens()
-            lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(tokens.view(np.int64)))
-            tiny = set(np.flatnonzero(lines.letters < TINY).tolist())
-            forms = pa.array([lines.form(i) if i in tiny else None for i in range(len(lines.begin))], pa.string())
-            sketches = pa.ListArray.from_arrays(pa.array(np.arange(0, sketch.size + 1, 2), pa.int32()), pa.array(sketch.view(np.int64).ravel()))
-            text = lines.text + low
-            yield pa.RecordBatch.from_arrays([pa.array(lines.high.view(np.int64)), pa.array(lines.low.view(np.int64)), pa.array(doc[text]), pa.array(row[text]), pa.array(lines.number, pa.int32()), lists, sketches, forms], ["high", "low", "doc", "row", "number", "tokens", "sketch", "form"])
+        for x, y in zip(batch.column(0), batch.column(1), strict=True):
+            held.append((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
+            size += len(held[-1][0])
+            if size >= FOLDED:
+                yield folded(False)
+                held, size, runs = [], 0, runs + 1
+    if size:
+        yield folded(True)
 
 
 def _cut(size: int, pieces: int) -> list[tuple[int, int]]:
@@ -322,6 +396,77 @@ def _by_words(a: str, b: str, most: float) -> bool:
     return True
 
 
+def _letters(forms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all forms, the form of each, its place in it."""
+    size = np.array([len(x) for x in forms])
+    form = np.repeat(np.arange(len(forms)), size)
+    return np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32), form, np.arange(len(form)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _side_by_side(a: list[str], b: list[str], most: np.ndarray, words: int) -> np.ndarray:
+    """Whether each a is within so many edits of its b: edit_distance() of all pairs at once, each in a field of one long number.
+
+    A field has so many words of 64 bits, of which the highest bit stays free; the forms of b come longest first.
+    """
+    out = np.zeros(len(a), bool)
+    points, form, place = _letters(a)
+    others, other, behind = _letters(b)
+    names = np.flatnonzero(np.bincount(points))
+    # 0 are letters of no a
+    code = np.zeros(int(max(points.max(), others.max())) + 1, np.int32)
+    code[names] = np.arange(1, len(names) + 1)
+    width = len(names) + 1
+    equal = np.zeros((len(a) * width, words), np.uint64)
+    order = np.argsort(place, kind="stable")
+    ends = np.cumsum(np.bincount(place))
+    for i, (low, high) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+        now = order[low:high]
+        equal[form[now] * width + code[points[now]], i >> 6] |= np.uint64(1 << (i & 63))
+    text = np.zeros((len(b[0]), len(b)), np.int32)
+    text[behind, other] = code[others]
+    base = np.arange(len(a)) * width
+    size, n, pair = np.array([len(x) for x in a]), np.array([len(x) for x in b]), np.arange(len(a))
+
+    def fields(bits: list[int]) -> int:
+        return int.from_bytes(b"".join(x.to_bytes(8 * words, "little") for x in bits), "little")
+
+    def counted(x: int, k: int) -> np.ndarray:
+        return np.bitwise_count(np.frombuffer(x.to_bytes(8 * words * k, "little"), np.uint64)).reshape(k, words).sum(axis=1, dtype=np.int64)
+
+    k = len(a)
+    mask, first = fields([(1 << x) - 1 for x in size.tolist()]), fields([1] * k)
+    plus, minus, full = mask, 0, (1 << 64 * words * k) - 1
+    for j in range(len(b[0])):
+        if n[k - 1] <= j:
+            # the last of them end here
+            left, bits = int(np.searchsorted(-n, -j)), 64 * words
+            out[pair[left:]] = j + counted(plus >> left * bits, k - left) - counted(minus >> left * bits, k - left) <= most[left:]
+            plus, minus, mask, first, full = (x & ((1 << left * bits) - 1) for x in (plus, minus, mask, first, full))
+            base, n, most, pair = (x[:left] for x in (base, n, most, pair))
+            k = left
+            if not k:
+                return out
+        if j % 32 == 0 and j:
+            # each letter left brings it down by one at most
+            stay = np.flatnonzero(j + counted(plus, k) - counted(minus, k) - (n - j) <= most)
+            if 4 * len(stay) < 3 * k:
+                plus, minus, mask, first = (np.frombuffer(x.to_bytes(8 * words * k, "little"), np.uint64).reshape(k, words)[stay] for x in (plus, minus, mask, first))
+                plus, minus, mask, first = (int.from_bytes(x.tobytes(), "little") for x in (plus, minus, mask, first))
+                text, (base, n, most, pair) = text[:, stay], (x[stay] for x in (base, n, most, pair))
+                k = len(stay)
+                full = (1 << 64 * words * k) - 1
+                if not k:
+                    return out
+        # xor in place of ~ keeps the numbers positive, which is quicker
+        eq = int.from_bytes(equal[base + text[j, :k]].tobytes(), "little")
+        diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
+        up, down = minus | (diagonal | plus) & mask ^ mask, (plus & diagonal) << 1
+        up = up << 1 | first
+        plus, minus = (down | (diagonal | up) & full ^ full) & mask, up & diagonal & mask
+    out[pair] = len(b[0]) + counted(plus, k) - counted(minus, k) <= most
+    return out
+
+
 class Alike:
     """Whether the edit distance of two normal forms is small enough."""
 
@@ -329,14 +474,38 @@ class Alike:
         self.share = 1 - similarity
 
     def __call__(self, a: str, b: str) -> bool:
-        most = self.share * max(len(a), len(b)) + 1e-9
-        if abs(len(a) - len(b)) > most:
-            return False
-        if _by_words(a, b, most):
-            return True
-        a, b = _trimmed(a, b)
-        a, b = (x[::-1] for x in _trimmed(a[::-1], b[::-1]))
-        return max(len(a), len(b)) <= most or edit_distance(a, b, most) <= most
+        return self.many([(a, b)])[0]
+
+    def many(self, pairs: list[tuple[str, str]]) -> list[bool]:
+        """The same for many pairs; those that are left after cheaper looks are compared side by side."""
+        out = [False] * len(pairs)
+        rest: dict[int, list[tuple[str, str, float, int]]] = {}
+        for k, (a, b) in enumerate(pairs):
+            most = self.share * max(len(a), len(b)) + 1e-9
+            if abs(len(a) - len(b)) > most:
+                continue
+            a, b = _trimmed(a, b)
+            a, b = (x[::-1] for x in _trimmed(a[::-1], b[::-1]))
+            if max(len(a), len(b)) <= most:
+                out[k] = True
+            elif a and b:
+                a, b = sorted((a, b), key=len)
+                words = int(_WORD_STEPS[np.searchsorted(_WORD_STEPS, len(a) // 64 + 1)])
+                rest.setdefault(words, []).append((a, b, most, k))
+        for words, held in rest.items():
+            held.sort(key=lambda x: -len(x[1]))
+            while held:
+                size = max(1, min(1024, ABREAST // max(64 * words, len(held[0][1]))))
+                size = max(1, min(size, ABREAST // (words * len(set().union(*(x[0] for x in held[:size]))))))
+                now, held = held[:size], held[size:]
+                if len(now) < 3:
+                    for a, b, most, k in now:
+                        out[k] = _by_words(a, b, most) or edit_distance(a, b, most) <= most
+                    continue
+                found = _side_by_side([x[0] for x in now], [x[1] for x in now], np.array([x[2] for x in now]), words)
+                for x, is_ in zip(now, found.tolist(), strict=True):
+                    out[x[3]] = is_
+        return out
 
 
 def _as_it_is(form: str) -> str:
@@ -366,11 +535,20 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     thin = docs.select(doc.alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"))
-    rows = scratch.table(thin.mapInArrow(_lined, "doc long, row long, n_lines long, number array<int>, high array<long>, low array<long>"))
-    signed = thin.mapInArrow(_signed, "high long, low long, doc long, row long, number int, tokens array<long>, sketch array<long>, form string")
-    distinct = signed.groupBy("high", "low").agg(F.min(F.struct("doc", "row", "number")).alias("place"), F.count("*").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"), F.first("form").alias("form"))
-    # hashes of 128 bits tell forms apart; their numbers are fixed by storing them
-    nodes = scratch.table(distinct.withColumn("node", F.monotonically_increasing_id()))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scratch.table(thin.mapInArrow(_lined(parts), _LINED))
+    # lines post by the first half of their hash
+    posts = scratch.table(rows.where("part IS NOT NULL").select("part", "tokens", "highs").repartition("part").select("tokens", "highs").mapInArrow(_met, "token long, node long, lead long, n long"))
+    rows = rows.where("part IS NULL")
+    lines = rows.select("doc", "row", F.explode(F.arrays_zip("number", "high", "low", "left", "right")).alias("x")).select("doc", "row", "x.*")
+    distinct = lines.groupBy("high", "low").agg(F.min(F.struct("doc", "row", "number")).alias("place"), F.count("*").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+    tiny = rows.where("size(tiny) > 0").select(F.explode(F.arrays_zip("tiny", "form")).alias("x")).select(F.col("x.tiny").alias("high"), F.lit(None).cast("long").alias("token"), F.col("x.form").alias("form"))
+    keys = posts.select(F.col("node").alias("high"), "token", F.lit(None).cast("string").alias("form")).union(tiny.distinct())
+    keys = keys.groupBy("high").agg(F.array_sort(F.collect_set("token")).alias("tokens"), F.max("form").alias("form"))
+    # only lines that occur twice or meet another one; hashes of 128 bits tell forms apart, of those that share the first half one has its name
+    nodes = distinct.join(keys, "high", "left").where("n > 1 OR tokens IS NOT NULL").withColumn("at", F.row_number().over(Window.partitionBy("high").orderBy("low")))
+    nodes = nodes.select("high", "low", "place", "n", F.array("left", "right").alias("sketch"), F.expr("CASE WHEN at = 1 THEN tokens END").alias("tokens"), F.expr("CASE WHEN at = 1 THEN form END").alias("form"), F.expr("CASE WHEN at = 1 THEN high ELSE xxhash64(high, low) END").alias("node"))
+    nodes = scratch.table(nodes)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         places = nodes.select("node", "place").join(wanted, "node", "left_semi")
@@ -379,7 +557,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         return scratch.table(texts.mapInArrow(_picked, "node long, text string"))
 
     facts = nodes.where("size(tokens) > 0").select("node", "tokens", "sketch")
-    links = linking.linked(facts, 2, DIFFER, texts_of, _as_it_is, Alike(similarity), anew=False)
+    links = linking.linked(facts, 2, DIFFER, texts_of, _as_it_is, Alike(similarity), posts=posts)
     found = graph.components(scratch.table(links.union(tiny_links(nodes.where("form IS NOT NULL"), similarity))))
     grouped = nodes.select("high", "low", "node", "place", "n").join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
     stay = grouped.groupBy("group").agg(F.min("place").alias("stay"), F.sum("n").alias("n")).where("n > 1")

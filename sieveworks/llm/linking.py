@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Generator, Iterator
 from typing import Any
 
 import numpy as np
@@ -15,6 +16,8 @@ from sieveworks.llm import graph, scratch
 BLOCK = 1024
 #: Rows that are resolved together, about.
 ROWS = 512
+#: Pairs that a block asks about at once, at most.
+TOGETHER = 256
 
 
 def _sided(facts: DataFrame, side: str, node: str) -> DataFrame:
@@ -31,7 +34,8 @@ def _confirmed(prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            kept = batch.filter(pa.array([alike(prepare(x), prepare(y)) for x, y in texts], pa.bool_()))
+            pairs = ((prepare(x), prepare(y)) for x, y in texts)
+            kept = batch.filter(pa.array(alike.many(list(pairs)) if hasattr(alike, "many") else [alike(x, y) for x, y in pairs], pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
     return run
@@ -40,7 +44,10 @@ def _confirmed(prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool])
 def _resolved(prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool], differ: int):
     """Of each block, links that join its components as all links would: the closest pairs first."""
 
-    def block(rows: pa.Table, token: int, split: bool) -> Iterator[tuple[int, int]]:
+    many = getattr(alike, "many", None)
+
+    def block(rows: pa.Table, token: int, split: bool, out: list[tuple[int, int]]) -> Generator[list[tuple[Any, Any]], list[bool], None]:
+        """Gives pairs to be compared, is sent whether they are alike, and puts links into out."""
         n = rows.num_rows
         nodes, component, own = (rows.column(c).to_numpy() for c in ("node", "component", "own"))
         sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
@@ -71,33 +78,56 @@ def _resolved(prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool],
         order = np.argsort(np.concatenate(away), kind="stable") if away else np.zeros(0, np.int64)
         a, b = (np.concatenate(x)[order] if away else np.zeros(0, np.int32) for x in (left, right))
         ready: dict[int, Any] = {}
-        for k in range(len(order)):
-            i, j = int(a[k]), int(b[k])
-            p, q = root(int(component[i])), root(int(component[j]))
-            if p == q:
-                continue
-            if not before[i].isdisjoint(before[j]):
-                continue
-            for m in (i, j):
-                if m not in ready:
-                    ready[m] = prepare(texts[m].as_py())
-            if alike(ready[i], ready[j]):
-                parent[max(p, q)] = min(p, q)
-                yield int(nodes[i]), int(nodes[j])
+        k, size = 0, TOGETHER // 16 if many else 1
+        while k < len(order):
+            asked: list[tuple[int, int]] = []
+            while k < len(order) and len(asked) < size:
+                i, j = int(a[k]), int(b[k])
+                k += 1
+                if root(int(component[i])) == root(int(component[j])) or not before[i].isdisjoint(before[j]):
+                    continue
+                for m in (i, j):
+                    if m not in ready:
+                        ready[m] = prepare(texts[m].as_py())
+                asked.append((i, j))
+            if not asked:
+                return
+            found = yield [(ready[i], ready[j]) for i, j in asked]
+            # what an earlier pair of these has joined was asked in vain, so after links fewer are asked
+            size = min(2 * size, TOGETHER) if many and not any(found) else 1 if not many else TOGETHER // 16
+            for i, j in (x for x, is_ in zip(asked, found, strict=True) if is_):
+                p, q = root(int(component[i])), root(int(component[j]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((int(nodes[i]), int(nodes[j])))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("token", "ascending"), ("p", "ascending"), ("q", "ascending"), ("node", "ascending")])
         keys = [table.column(c).to_numpy() for c in ("token", "p", "q")]
         edges = np.flatnonzero(np.any([np.append(True, k[1:] != k[:-1]) for k in keys], axis=0)).tolist()
+        ends = [*edges[1:], table.num_rows]
         out: list[tuple[int, int]] = []
-        for low, high in zip(edges, [*edges[1:], table.num_rows], strict=True):
-            out += block(table.slice(low, high - low), int(keys[0][low]), bool(keys[1][low] != keys[2][low]))
+        while edges:
+            # blocks of some rows ask together
+            n = max(1, int(np.searchsorted(ends, edges[0] + 8 * ROWS, "right"))) if many else 1
+            open_ = [(block(table.slice(low, high - low), int(keys[0][low]), bool(keys[1][low] != keys[2][low]), out), None) for low, high in zip(edges[:n], ends[:n], strict=True)]
+            edges, ends = edges[n:], ends[n:]
+            while open_:
+                asking = []
+                for pairs, found in open_:
+                    try:
+                        asking.append((pairs, pairs.send(found)))
+                    except StopIteration:
+                        pass
+                asked = [x for _, wanted in asking for x in wanted]
+                found = iter(many(asked) if many else [alike(x, y) for x, y in asked])
+                open_ = [(pairs, list(itertools.islice(found, len(wanted)))) for pairs, wanted in asking]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
 
-def linked(facts: DataFrame, words: int, differ: int, texts_of: Callable[[DataFrame], DataFrame], prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool], agree: Column | None = None, anew: bool = True) -> DataFrame:
+def linked(facts: DataFrame, words: int, differ: int, texts_of: Callable[[DataFrame], DataFrame], prepare: Callable[[str], Any], alike: Callable[[Any, Any], bool], agree: Column | None = None, posts: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) that are alike and connect what all such pairs would connect.
 
     facts: node, tokens (an array in an order common to all nodes), sketch (an array of
@@ -105,18 +135,19 @@ def linked(facts: DataFrame, words: int, differ: int, texts_of: Callable[[DataFr
     a token, differ in at most differ bits and agree; alike() decides on whole texts,
     which texts_of() gives as (node, text).
 
-    First all nodes with a token meet one of them, drawn anew for each token or, for fewer
-    pairs, by one order of all nodes; a token of two nodes is done with that. Of the others, nodes of different components meet, in
+    First all nodes with a token meet one of them, drawn anew for each token or the lead in
+    posts, a stored table (token, node, lead, n) of all tokens of n nodes, two or more; a token of two nodes is done with that. Of the others, nodes of different components meet, in
     blocks of bounded size: of the token's largest component only blocks beside the rest
     of its nodes, so that a large component with a few strays takes time linear in it. Of
     a block come the links that join components, never all pairs.
     """
     close = _apart(words) <= differ
     close = close if agree is None else close & agree
-    # both sides have the same exchange, so posts are dealt by token once
-    posts = facts.select("node", F.explode("tokens").alias("token")).where("token IS NOT NULL").repartition("token")
-    leads = posts.groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token") if anew else F.xxhash64("node")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    posts = scratch.table(posts.join(leads.hint("shuffle_hash"), "token").select("token", "node", "lead", "n"))
+    if posts is None:
+        # both sides have the same exchange, so posts are dealt by token once
+        posts = facts.select("node", F.explode("tokens").alias("token")).where("token IS NOT NULL").repartition("token")
+        leads = posts.groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+        posts = scratch.table(posts.join(leads.hint("shuffle_hash"), "token").select("token", "node", "lead", "n"))
     near = posts.where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     near = scratch.table(near.join(_sided(facts, "a", "a"), "a").join(_sided(facts, "b", "b"), "b").where(close).select("a", "b"))
     texts = texts_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
