@@ -41,6 +41,7 @@ ABREAST = 1 << 21
 POSTED, FOLDED = 1 << 20, 1 << 21
 _SEEDS = tk.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _K = np.uint64(0xD6E8FEB86659FD93)
+_SIGNS, _LANES = np.uint64(0x8080808080808080), np.uint64(0x00FF00FF00FF00FF)
 _NOT_NEWLINE = tk._table([(0x0A, 0x0A)])
 _NORMAL = tk.FOLD.copy()
 _NORMAL[49:58] = 48
@@ -120,13 +121,25 @@ class Lines:
     def simhashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """SimHash of each run of words: a bit is the sign of a sum of numbers drawn for the words."""
         out = np.zeros(len(starts), np.uint64)
-        total = np.zeros(len(self.hashes) + 1, np.int32)
-        for i in range(BITS):
-            if i % 8 == 0:
-                x = self.hashes * _SEEDS[i]
-                drawn = (x ^ x >> np.uint64(32)).view(np.int8).reshape(-1, 8)
-            np.cumsum(drawn[:, i % 8], dtype=np.int32, out=total[1:])
-            out |= (total[ends] > total[starts]).astype(np.uint64) << np.uint64(i)
+        size = ends - starts
+        wide = np.flatnonzero(size > 256)
+        total, one_by_one = np.zeros(len(self.hashes) + 1, np.uint64), np.zeros(len(self.hashes) + 1, np.int32)
+        even = (size << 7).astype(np.uint64)
+        for i in range(0, BITS, 8):
+            x = self.hashes * _SEEDS[i]
+            x ^= x >> np.uint64(32)
+            drawn = x.view(np.int8).reshape(-1, 8)
+            # four sums in the 16 bits of a number each, of bytes from 0 on, hold in runs of 256 words
+            for j in (0, 1):
+                np.cumsum((x ^ _SIGNS) >> np.uint64(8 * j) & _LANES, out=total[1:])
+                sums = total[ends] - total[starts]
+                for k in range(4):
+                    out |= ((sums >> np.uint64(16 * k) & np.uint64(0xFFFF)) > even).astype(np.uint64) << np.uint64(i + 2 * k + j)
+            if len(wide):
+                out[wide] &= ~(np.uint64(255) << np.uint64(i))
+                for k in range(8):
+                    np.cumsum(drawn[:, k], dtype=np.int32, out=one_by_one[1:])
+                    out[wide] |= (one_by_one[ends[wide]] > one_by_one[starts[wide]]).astype(np.uint64) << np.uint64(i + k)
         return out
 
     def quarters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

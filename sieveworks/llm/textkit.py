@@ -33,9 +33,9 @@ ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser with full avalanche over 64 bits."""
     x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
     return x ^ (x >> U64(31))
 
 

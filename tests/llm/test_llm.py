@@ -545,6 +545,55 @@ def test_fuzzy_lines_brute_force(spark, docs):
     assert all(n not in found[d] for i in alone for d, n in sorted(forms[names[i]])[:1])
 
 
+def test_pairs_side_by_side():
+    rng = np.random.default_rng(11)
+    letters = list("abcdefgh äß漢")
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice(letters, int(rng.integers(1, 300))))
+        b = list(a)
+        for _ in range(int(rng.integers(0, 0.5 * len(a) + 1))):
+            at, how = int(rng.integers(len(b) + 1)), int(rng.integers(3))
+            b[at : at + (how > 0)] = [str(rng.choice(letters))] * (how < 2)
+        pairs.append((a, "".join(b)))
+    pairs += [("", ""), ("", "a"), ("a" * 64, "a" * 63 + "b"), ("x" * 700, "y" * 700), ("ab" * 320, "ba" * 320)]
+    want = [abs(len(a) - len(b)) <= 0.25 * max(len(a), len(b)) and fuzzylines.edit_distance(a, b) <= 0.25 * max(len(a), len(b)) + 1e-9 for a, b in pairs]
+    assert fuzzylines.Alike(0.75).many(pairs) == want and 100 < sum(want) < 350
+
+
+@pytest.mark.parametrize("folded", [fuzzylines.FOLDED, 64])
+def test_tokens_meet_in_runs(monkeypatch, folded):
+    monkeypatch.setattr(fuzzylines, "FOLDED", folded)
+    rng = np.random.default_rng(12)
+    token, node = rng.integers(0, 300, 600).astype(np.uint64), rng.integers(0, 40, 600).astype(np.uint64)
+    token[::7] = 5  # one that very many share
+    blobs = [pa.array([x[i : i + 20].tobytes() for i in range(0, 600, 20)], pa.binary()) for x in (token, node)]
+    got = [r for b in fuzzylines._met(iter([pa.RecordBatch.from_arrays(blobs, ["tokens", "highs"])])) for r in b.to_pylist()]
+    nodes = {}
+    for t, n in zip(token.tolist(), node.tolist(), strict=True):
+        nodes.setdefault(t, set()).add(n)
+    want = {t: x for t, x in nodes.items() if len(x) > 1}
+    found, leads = {}, {}
+    for r in got:
+        found.setdefault(r["token"], set()).add(r["node"])
+        leads.setdefault(r["token"], set()).add(r["lead"])
+        assert min(3, r["n"]) >= min(3, len(want[r["token"]])) and (folded == 64 or r["n"] == len(want[r["token"]]))
+    assert found == want and all(len(x) == 1 and x <= want[t] for t, x in leads.items())
+
+
+def test_tokens_become_rows_only_where_lines_meet(spark):
+    parts = 3
+    docs = spark.createDataFrame([(i, i, f"these are twelve words of line number {w} and its own {w}{w} end") for i, w in enumerate(["one", "two", "two", "sixteen"])], "doc long, row long, text string").coalesce(1)
+    rows = docs.mapInArrow(fuzzylines._lined(parts), fuzzylines._LINED).collect()
+    posted = [r for r in rows if r.part is not None]
+    highs = {h for r in posted for h in np.frombuffer(r.highs, np.int64).tolist()}
+    lines = [h for r in rows if r.part is None for h in r.high]
+    # one row for each part, and a line that comes again posts once
+    assert len(posted) <= parts and highs == set(lines) and len(lines) == 4 and len(highs) == 3
+    tokens = [(t, h) for r in posted for t, h in zip(np.frombuffer(r.tokens, np.uint64).tolist(), np.frombuffer(r.highs, np.int64).tolist(), strict=True)]
+    assert len(tokens) == sum(len(fuzzylines.Lines(*arrow([r.text])).tokens()[1]) for r in docs.dropDuplicates(["text"]).collect())
+
+
 def test_tiny_lines_brute_force(spark):
     rng = np.random.default_rng(6)
     forms = sorted({"".join(rng.choice(list("abc "), size=int(rng.integers(1, fuzzylines.TINY)))).strip() for _ in range(300)} - {""})
