@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sieveworks.functions import constants
 from sieveworks.operators import contradictions
@@ -115,3 +116,11 @@ def test_ranges_the_wrong_way_round_are_one_pair(spark):
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and None not in a + b and (a[3] < b[2] or b[3] < a[2])}
     got = [(r.a, r.b) for r in contradictions.disjoint(facts).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_of_a_tenant_are_dealt_evenly(spark):
+    rows = [(i, 1, float(i), float(i)) for i in range(600)]
+    facts = spark.createDataFrame(rows, "fact_id long, investigation_id long, low_value double, high_value double")
+    pairs = contradictions.disjoint(facts)
+    each = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("at")).count().collect()]
+    assert sum(each) == 600 * 599 // 2 and len(each) >= 48 and max(each) <= 4 * sum(each) / len(each)
