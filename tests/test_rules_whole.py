@@ -124,3 +124,16 @@ def test_pairs_of_a_tenant_are_dealt_evenly(spark):
     pairs = contradictions.disjoint(facts)
     each = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("at")).count().collect()]
     assert sum(each) == 600 * 599 // 2 and len(each) >= 48 and max(each) <= 4 * sum(each) / len(each)
+
+
+@pytest.mark.parametrize("nth", [1, 2])
+def test_common_and_rare_names_make_each_pair_once(spark, monkeypatch, nth):
+    monkeypatch.setattr(contradictions, "COMMON", 3)
+    rng = random.Random(7)
+    names = {i: set(rng.sample("abcdefgh", rng.randrange(0, 5))) for i in range(80)}
+    facts = spark.createDataFrame([(i, i % 2) for i in names], "fact_id long, investigation_id long")
+    mentions = spark.createDataFrame([(i, x.upper()) for i, n in names.items() for x in n] * 2, "fact_id long, canonical string")
+    rows = contradictions.listed(facts, mentions)
+    got = [(r[0], r[1]) for r in contradictions.sharing(rows, rows, ["investigation_id"], nth).select("p.fact_id", "q.fact_id").collect()]
+    want = {(a, b) for a in names for b in names if a % 2 == b % 2 and len(names[a] & names[b]) >= nth}
+    assert len(got) == len(set(got)) and set(got) == want and rows.where("common <> 0 AND size(names) > 0").count()
